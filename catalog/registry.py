@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from catalog import records
+from catalog import features, records, scores, tables_out
 
-QUERIES = [*records.QUERIES]
+QUERIES = [*records.QUERIES, *features.QUERIES, *scores.QUERIES, *tables_out.QUERIES]

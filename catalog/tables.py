@@ -290,6 +290,12 @@ CTES = {
            coalesce(abs((total_enrolments - m) / nullif(sd, 0)) > 2, false) AS is_anomaly
     FROM risky AS s, (SELECT avg(total_enrolments) AS m, stddev_pop(total_enrolments) AS sd
                       FROM risky) AS moments""",
+    "four_features": """
+    SELECT s.*, total_enrolments / nullif(mm, 0) - 1 AS seasonal_deviation
+    FROM features AS s JOIN (SELECT month(date) AS m, avg(total_enrolments) AS mm
+                             FROM features GROUP BY 1) AS months ON month(s.date) = m""",
+    "order_windows": _features("order_states", "state"),
+    "order_features": demographic_sql("order_windows"),
     "district_windows": _features("event_districts", "state, district"),
     "district_features": demographic_sql("district_windows"),
     "scored_districts": risk_sql("district_features", PIPELINE_WEIGHTS),

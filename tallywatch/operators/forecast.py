@@ -172,7 +172,7 @@ def holt_fit(
     `series` has one row per key and day, as `daily_series` returns it, so the
     folded array is never longer than the calendar.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("date", F.col("value").cast("double"))))
+    ordered = F.array_sort(F.collect_list(F.struct("date", F.col("value").cast("double").alias("value"))))
     per_key = series.groupBy(*keys).agg(
         ordered.alias("_days"), F.max("date").alias("last_date")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -138,17 +138,56 @@ def _assign(pool: DataFrame, rows: int, trees: int, sample_size: int, seed: int)
 
 
 @dataclass(frozen=True)
-class IsolationForestModel:
+class Scaling:
+    """Median filling and standard scaling, with statistics of the training data."""
+
     feature_cols: tuple[str, ...]
     medians: tuple[float, ...]
     means: tuple[float, ...]
     scales: tuple[float, ...]
+
+    def columns(self, fills: Sequence[Column] | None = None) -> list[Column]:
+        """One `scaled_` column per feature; `fills` replace the training medians."""
+        fills = [F.lit(m) for m in self.medians] if fills is None else fills
+        parts = zip(self.feature_cols, fills, self.means, self.scales)
+        return [
+            ((F.coalesce(F.col(c).cast("double"), fill) - mean) / scale).alias(f"scaled_{c}")
+            for c, fill, mean, scale in parts
+        ]
+
+
+def fit_scaling(df: DataFrame, feature_cols: Sequence[str]) -> Scaling:
+    """Medians, then means and population deviations of the filled features."""
+    cols = list(feature_cols)
+    medians = exact_quantiles(df, {f"m{i}": (c, 0.5) for i, c in enumerate(cols)}).first()
+    if medians is None or any(m is None for m in medians):
+        raise ValueError("every feature needs at least one value")
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(cols, medians)]
+    moments = df.agg(
+        *[F.avg(v).alias(f"mean{i}") for i, v in enumerate(filled)],
+        *[F.stddev_pop(v).alias(f"std{i}") for i, v in enumerate(filled)],
+    ).first()
+    return Scaling(
+        tuple(cols),
+        tuple(float(m) for m in medians),
+        tuple(float(moments[f"mean{i}"]) for i in range(len(cols))),
+        tuple(float(moments[f"std{i}"]) or 1.0 for i in range(len(cols))),
+    )
+
+
+@dataclass(frozen=True)
+class IsolationForestModel:
+    scaling: Scaling
     nodes: pd.DataFrame
     sample_size: int
     cut: float
     score_range: tuple[float, float]
 
-    def _score(self, df: DataFrame, fills: Sequence[Column]) -> Column:
+    @property
+    def feature_cols(self) -> tuple[str, ...]:
+        return self.scaling.feature_cols
+
+    def _score(self, df: DataFrame, fills: Sequence[Column] | None = None) -> Column:
         forest = df.sparkSession.sparkContext.broadcast(_Forest(self.nodes, self.sample_size))
 
         @F.pandas_udf("double")
@@ -156,15 +195,11 @@ class IsolationForestModel:
             points = np.column_stack([f.to_numpy(dtype=float) for f in features])
             return pd.Series(forest.value.score(points))
 
-        scaled = [
-            (F.coalesce(F.col(c).cast("double"), fill) - F.lit(mean)) / F.lit(scale)
-            for c, fill, mean, scale in zip(self.feature_cols, fills, self.means, self.scales)
-        ]
-        return score(*scaled)
+        return score(*self.scaling.columns(fills))
 
     def raw_scores(self, df: DataFrame) -> DataFrame:
         """Training scores: gaps take the training medians."""
-        return df.withColumn("_score", self._score(df, [F.lit(m) for m in self.medians]))
+        return df.withColumn("_score", self._score(df))
 
     def _finish(self, scored: DataFrame, low: Column, high: Column) -> DataFrame:
         anomaly = F.col("_score") - F.lit(self.cut)
@@ -211,30 +246,12 @@ class IsolationForest:
 
     def fit(self, df: DataFrame, feature_cols: Sequence[str]) -> IsolationForestModel:
         cols = list(feature_cols)
-        names = [f"f{i}" for i in range(len(cols))]
         # Several passes follow: keep the few columns they need, lineage cut.
-        train = written(
-            df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]),
-            "forest-input",
-        )
-        medians = exact_quantiles(train, {n: (n, 0.5) for n in names}).first()
-        if medians is None or any(m is None for m in medians):
-            raise ValueError("every feature needs at least one value")
-        filled = train.select(*[F.coalesce(n, F.lit(medians[n])).alias(n) for n in names])
-        moments = filled.agg(
-            F.count("*").alias("rows"),
-            *[F.avg(n).alias(f"mean_{n}") for n in names],
-            *[F.stddev_pop(n).alias(f"std_{n}") for n in names],
-        ).first()
-        means = tuple(float(moments[f"mean_{n}"]) for n in names)
-        scales = tuple(float(moments[f"std_{n}"]) or 1.0 for n in names)
-        scaled = filled.select(
-            *[
-                ((F.col(n) - F.lit(m)) / F.lit(s)).alias(n)
-                for n, m, s in zip(names, means, scales)
-            ]
-        )
-        rows = int(moments["rows"])
+        train = written(df.select(*cols), "forest-input")
+        scaling = fit_scaling(train, cols)
+        scaled = train.select(*scaling.columns())
+        names = scaled.columns
+        rows = train.count()
         sample = min(self.max_samples, rows)
         pool = _pool(scaled, names, rows, min(rows, self.trees * sample), self.seed)
         assigned = _assign(pool, rows, self.trees, sample, self.seed)
@@ -250,20 +267,11 @@ class IsolationForest:
             .applyInPandas(grow, NODE_SCHEMA)
             .toPandas()
         )
-        base = dict(
-            feature_cols=tuple(cols),
-            medians=tuple(float(m) for m in medians),
-            means=means,
-            scales=scales,
-            nodes=nodes,
-            sample_size=sample,
-        )
-        draft = IsolationForestModel(**base, cut=0.0, score_range=(0.0, 0.0))
-        scores = draft.raw_scores(train.withColumnsRenamed(dict(zip(names, cols)))).select("_score")
-        scores = written(scores, "forest-scores")
+        draft = IsolationForestModel(scaling, nodes, sample, 0.0, (0.0, 0.0))
+        scores = written(draft.raw_scores(train).select("_score"), "forest-scores")
         cut = exact_quantiles(scores, {"cut": ("_score", 1 - self.contamination)}).first()[0]
         ends = scores.agg(F.min("_score"), F.max("_score")).first()
-        return IsolationForestModel(**base, cut=float(cut), score_range=(ends[0], ends[1]))
+        return replace(draft, cut=float(cut), score_range=(ends[0], ends[1]))
 
     def fit_predict(self, df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
         return self.fit(df, feature_cols).transform_training(df)
