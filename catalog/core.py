@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from catalog.tables import CTES, Tables
 
 # Suffix -> (Spark expression, SQL expression). Doubles are compared to six
-# places; adding 0.0 turns a negative zero into zero.
+# places, ties to even on both sides; adding 0.0 turns a negative zero into zero.
 _CASTS = {
-    "d": ("round(cast({0} as double), 6) + 0.0D", "round(CAST({0} AS DOUBLE), 6) + 0.0"),
+    "d": (
+        "rint(cast({0} as double) * 1e6D) / 1e6D + 0.0D",
+        "round_even(CAST({0} AS DOUBLE) * 1e6, 0) / 1e6 + 0.0",
+    ),
     "l": ("cast({0} as bigint)", "CAST({0} AS BIGINT)"),
     "i": ("cast({0} as int)", "CAST({0} AS INTEGER)"),
     "s": ("cast({0} as string)", "CAST({0} AS VARCHAR)"),
