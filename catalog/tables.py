@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import flag
+from tallywatch.functions.scale import written
 from tallywatch.operators import aggregate, demographic, outliers, risk, temporal
 from tallywatch.plans.pipeline import score_states, state_features
 
@@ -113,7 +114,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return state_features(self.event_states)
+        return state_features(written(self.event_states, "state-daily"))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -127,7 +128,7 @@ class Tables:
     def scored_districts(self) -> DataFrame:
         keys = ["state", "district"]
         return (
-            temporal.growth_rate(self.event_districts, group_cols=keys)
+            temporal.growth_rate(written(self.event_districts, "district-daily"), group_cols=keys)
             .transform(temporal.volatility, group_cols=keys)
             .transform(demographic.age_imbalance)
             .transform(risk.risk_score)

@@ -35,20 +35,12 @@ def strip(value: Column) -> Column:
 def title_case(value: Column) -> Column:
     """Upper-case each letter that does not follow a letter, lower-case the rest.
 
-    ``initcap`` does the same for plain letters and spaces, which nearly all
-    names are; only names with other characters take the per-character route.
+    ``initcap`` does this for plain letters and spaces, which nearly all names
+    are. Other names are cut into runs of letters and of the rest.
     """
-    chars = F.split(value, "")
-    by_char = F.array_join(
-        F.transform(
-            chars,
-            lambda c, i: F.when(
-                (i > 0) & F.get(chars, i - 1).rlike(r"[\p{Lu}\p{Ll}]"), F.lower(c)
-            ).otherwise(F.upper(c)),
-        ),
-        "",
-    )
-    return F.when(value.rlike("^[A-Za-z ]*$"), F.initcap(value)).otherwise(by_char)
+    runs = F.regexp_extract_all(value, F.lit(r"([\p{Lu}\p{Ll}]+|[^\p{Lu}\p{Ll}]+)"), F.lit(1))
+    by_run = F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(value.rlike("^[A-Za-z ]*$"), F.initcap(value)).otherwise(by_run)
 
 
 def age_total() -> Column:

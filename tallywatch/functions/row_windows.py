@@ -1,10 +1,10 @@
 """Row-frame windows, with or without splitting a group over several tasks.
 
-A group of a daily table has one row per calendar day, so an ordinary window
-per group is right there. A group without such a bound - all records together,
-or one region's records - is split at points of its sort order into chunks.
-Each chunk also gets copies of the last rows before it (its halo), so frames
-that reach back a fixed number of rows see the same rows as without the split.
+An ordinary window puts each group in one task, which is right for tables that
+are small as a whole. In a larger table one group may hold much of the rows, so
+groups are cut at points of their sort order into chunks. Each chunk also gets
+copies of the last rows before it (its halo), so frames that reach back a fixed
+number of rows see the same rows as without the cut.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywatch.functions.scale import is_small
+from tallywatch.functions.scale import estimated_bytes, is_small, written
 
 TIE_COLS = ("state", "district", "pincode")
-_ID_BUCKETS = 1 << 16
+_BYTES_PER_STEP = 4 * 1024 * 1024
 
 
 def sort_columns(
@@ -31,10 +31,9 @@ def sort_columns(
     return ["date", *ties]
 
 
-def must_split(df: DataFrame, group_cols: Sequence[str], split: bool | None) -> bool:
-    if split is not None:
-        return split
-    return not group_cols and not is_small(df)
+def must_split(df: DataFrame, split: bool | None) -> bool:
+    """The caller's choice, or by size. False suits groups known to be short."""
+    return not is_small(df) if split is None else split
 
 
 def plain_window(group_cols: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -42,15 +41,22 @@ def plain_window(group_cols: Sequence[str], order: Sequence[str]) -> WindowSpec:
 
 
 def _chunk_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """A coarse position that never decreases along the sort order."""
-    if len(order) == 1:
-        return F.struct(F.trunc(order[0], "MM").alias("c0"))
+    """A coarse position that never decreases along the sort order.
+
+    All sort columns but the last count in full. A number at the end counts by
+    bucket, about as many as the table has steps of 4 MB; square roots are
+    correctly rounded, so a bucket never swaps two numbers.
+    """
     parts = [F.col(c).alias(f"c{i}") for i, c in enumerate(order[:-1])]
-    last = order[-1]
-    if isinstance(df.schema[last].dataType, T.NumericType):
-        # Square roots are correctly rounded, so the bucket keeps the order.
+    last, kind = order[-1], df.schema[order[-1]].dataType
+    if isinstance(kind, T.NumericType):
+        steps = min(max(estimated_bytes(df) // _BYTES_PER_STEP, 16), 1 << 30)
         root = F.sqrt(F.sqrt(F.sqrt(F.sqrt(F.abs(F.col(last).cast("double"))))))
-        parts.append(F.floor(F.signum(last) * root * _ID_BUCKETS).alias("bucket"))
+        parts.append(F.floor(F.signum(last) * root * steps).alias("bucket"))
+    elif not parts and isinstance(kind, T.DateType):
+        parts.append(F.trunc(last, "MM").alias("month"))
+    elif not parts:
+        parts.append(F.col(last).alias("c0"))
     return F.struct(*parts)
 
 
@@ -132,8 +138,12 @@ def over_rows(
             in_group = in_group & F.col(k).isNotNull()
         return {name: F.when(in_group, c) for name, c in new.items()}
 
-    if not must_split(df, keys, split):
+    if not must_split(df, split):
         return df.withColumns(masked(plain_window(keys, order)))
-    padded = with_halo(with_chunks(df, order), keys, order, lookback)
+    # The rows and their halo both read the table: store it, do not derive it twice.
+    # The result is stored too, so a chain of features does not nest these plans.
+    stored = written(df, "window-input")
+    padded = with_halo(with_chunks(stored, order), keys, order, lookback)
     window = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return padded.withColumns(masked(window)).where(~F.col("_halo")).drop("_halo", "_chunk")
+    done = padded.withColumns(masked(window)).where(~F.col("_halo")).drop("_halo", "_chunk")
+    return written(done, "window-output")

@@ -50,12 +50,11 @@ def fit(series: DataFrame, keys: Sequence[str] = (), trend_window: int = TREND_W
     A key with a single day has no slope and is left out.
     """
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    forward = by_key.orderBy("date")
-    backward = by_key.orderBy(F.desc("date"))
+    place = F.row_number().over(by_key.orderBy("date"))
     indexed = series.withColumns(
         {
-            "x": (F.row_number().over(forward) - 1).cast("double"),
-            "recency": F.row_number().over(backward),
+            "x": (place - 1).cast("double"),
+            "recency": F.count("*").over(by_key) - place + 1,
             "weekday": F.weekday("date"),
         }
     )

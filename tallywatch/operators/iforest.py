@@ -1,7 +1,7 @@
 """Isolation forest: distributed sampling, tree growth and scoring.
 
-Training reads at most trees * sample_size pooled rows whatever the input
-size, and grows one tree per group. Scoring is a vectorised function over a
+Training grows each tree on its own random sample of the rows, as the method
+asks; the samples of all trees together are at most trees * sample_size rows. Scoring is a vectorised function over a
 broadcast forest, whose size is bounded by trees * (2 * sample_size - 1) nodes.
 """
 
@@ -25,6 +25,7 @@ NODE_SCHEMA = (
 )
 LEAF = -1
 _CHUNK_BITS = 12
+_OVERSAMPLE = 50
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -92,6 +93,16 @@ class _Forest:
         return np.power(2.0, -total / len(self.roots) / self.normal)
 
 
+def _thinned(stored: DataFrame, rows: int, size: int, seed: int) -> DataFrame:
+    """A random part of a stored table, still far larger than the pool.
+
+    Spares the shuffle of all rows below. `stored` is read from fixed files, so
+    a task that runs again draws the same rows.
+    """
+    share = _OVERSAMPLE * size / rows
+    return stored if share >= 0.5 else stored.sample(share, seed=seed)
+
+
 def _pool(scaled: DataFrame, names: list[str], rows: int, size: int, seed: int) -> DataFrame:
     """(features, slot): `size` of `rows` rows, evenly spaced in hash order.
 
@@ -253,7 +264,10 @@ class IsolationForest:
         names = scaled.columns
         rows = train.count()
         sample = min(self.max_samples, rows)
-        pool = _pool(scaled, names, rows, min(rows, self.trees * sample), self.seed)
+        size = min(rows, self.trees * sample)
+        part = _thinned(scaled, rows, size, self.seed)
+        drawn = rows if part is scaled else part.count()
+        pool = _pool(part, names, drawn, size, self.seed)
         assigned = _assign(pool, rows, self.trees, sample, self.seed)
         depth, seed = math.ceil(math.log2(max(sample, 2))), self.seed
 

@@ -1,7 +1,7 @@
 """Growth, volatility, rolling means, trends and seasonality.
 
-Frames count rows, not days. `split` spreads one group over several tasks; it
-is on by default for large input without groups (see functions/row_windows).
+Frames count rows, not days. `split` cuts groups so that one group can run in
+several tasks; by default the size of the table decides (functions/row_windows).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tallywatch.functions.row_windows import (
     with_carry,
     with_chunks,
 )
+from tallywatch.functions.scale import written
 from tallywatch.schema import ROLLING_WINDOW, VOLATILITY_WINDOW
 
 Cols = Sequence[str] | None
@@ -36,7 +37,8 @@ def _pad(df: DataFrame, value_col: str, keys: list[str], order: list[str], split
             Window.unboundedPreceding, Window.currentRow
         )
         return df.withColumn("_filled", F.last(value_col, ignorenulls=True).over(history))
-    carried = with_carry(with_chunks(df, order), keys, order, value_col)
+    stored = written(df, "growth-input")
+    carried = with_carry(with_chunks(stored, order), keys, order, value_col)
     within = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
@@ -61,7 +63,7 @@ def growth_rate(
     """
     keys = list(group_cols or [])
     order = sort_columns(df, keys, order_cols)
-    splits = must_split(df, keys, split)
+    splits = must_split(df, split)
     columns = df.columns
     source = value_col
     if fill == "pad":
