@@ -141,7 +141,7 @@ TEMPORAL = [
     Query(
         "trends",
         f"{SERIES} ma_short:d ma_long:d trend_strength:d trend_direction",
-        lambda t: temporal.trends(t.order_states, group_cols=["state"]),
+        lambda t: temporal.trends(t.order_daily, group_cols=["state"]),
         _rolling_sql("SELECT * FROM order_states", "state", "date"),
     ),
     Query(
@@ -153,7 +153,7 @@ TEMPORAL = [
     Query(
         "seasonal_indicator",
         f"{SERIES} month:i day_of_week:i is_weekend:i seasonal_factor:d seasonal_deviation:d",
-        lambda t: temporal.seasonal_indicator(t.order_states),
+        lambda t: temporal.seasonal_indicator(t.order_daily),
         _seasonal_sql("order_states"),
     ),
 ]

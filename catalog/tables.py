@@ -103,6 +103,11 @@ class Tables:
     def order_states(self) -> DataFrame:
         return aggregate.aggregate_by_state(self.enrol_orders)
 
+    @cached_property
+    def order_daily(self) -> DataFrame:
+        """`order_states`, stored once as a daily table."""
+        return written(self.order_states, "state-daily")
+
     @cached_property
     def gappy(self) -> DataFrame:
         """Daily totals per state, missing on Sundays."""

@@ -72,24 +72,27 @@ class _Forest:
         here = np.arange(len(nodes))
         split = nodes["feature"].to_numpy() != LEAF
         # A leaf is its own child, so every row can take the same number of steps.
-        self.left = np.where(split, start + nodes["left"].to_numpy(), here).astype(np.int32)
-        self.right = np.where(split, start + nodes["right"].to_numpy(), here).astype(np.int32)
-        self.feature = np.where(split, nodes["feature"].to_numpy(), 0).astype(np.int32)
+        # The children of node i are at 2i (left) and 2i + 1 (right).
+        left = np.where(split, start + nodes["left"].to_numpy(), here)
+        right = np.where(split, start + nodes["right"].to_numpy(), here)
+        self.children = np.column_stack([left, right]).ravel()
+        self.feature = np.where(split, nodes["feature"].to_numpy(), 0)
         self.threshold = nodes["threshold"].to_numpy()
         self.path = nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy())
-        self.roots = roots.astype(np.int32)
+        self.roots = roots
         self.steps = int(nodes["depth"].max())
         self.normal = float(average_path(np.array([sample_size]))[0]) or 1.0
 
     def score(self, points: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(points))
-        every = np.arange(len(points))
+        rows, width = points.shape
+        flat, first = np.ascontiguousarray(points).ravel(), np.arange(rows) * width
+        total = np.zeros(rows)
         for root in self.roots:
-            at = np.full(len(points), root, dtype=np.int32)
+            at = np.full(rows, root)
             for _ in range(self.steps):
-                goes_left = points[every, self.feature[at]] <= self.threshold[at]
-                at = np.where(goes_left, self.left[at], self.right[at])
-            total += self.path[at]
+                value = flat.take(first + self.feature.take(at))
+                at = self.children.take(2 * at + (value > self.threshold.take(at)))
+            total += self.path.take(at)
         return np.power(2.0, -total / len(self.roots) / self.normal)
 
 
@@ -275,8 +278,11 @@ class IsolationForest:
             ordered = rows_of_tree.sort_values("slot")
             return grow_tree(ordered[names].to_numpy(dtype=float), int(key[0]), seed, depth)
 
+        # The sample is tiny in bytes but slow in Python: spread the trees.
+        tasks = min(self.trees, df.sparkSession.sparkContext.defaultParallelism)
         nodes = (
             assigned.select("tree", "slot", *names)
+            .repartition(tasks, "tree")
             .groupBy("tree")
             .applyInPandas(grow, NODE_SCHEMA)
             .toPandas()
