@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalog.core import Query
 from catalog.tables import Tables
 from tallywatch.operators import alerts, geo, reports
+from tallywatch.plans.dashboard import latest_alerts
 
 _ALERT = "type severity region value:d threshold:d timestamp:t rule"
 
@@ -149,6 +150,12 @@ ALERTS = [
         FROM (SELECT unnest({list(alerts.ALERT_TYPES)}) AS type) AS k
         LEFT JOIN ({ALERTS_SQL}) AS a ON a.type = k.type GROUP BY k.type""",
     ),
+    Query(
+        "latest_alerts",
+        _ALERT,
+        lambda t: _named(latest_alerts(alerts.process(t.scored))),
+        f"SELECT * FROM ({ALERTS_SQL}) AS a ORDER BY timestamp, region, rule LIMIT 20",
+    ),
     Query(
         "alert_regions",
         "region",
@@ -157,7 +164,7 @@ ALERTS = [
     ),
 ]
 
-# Region names for the name maps: nations stand in for states that need mapping.
+# Region names for the name maps: some customers' nations are respelled as states.
 _SPELLED = {
     "ALGERIA": " orissa",
     "BRAZIL": "delhi",
@@ -169,17 +176,19 @@ _SPELLED = {
 }
 
 
-def _nations(t: Tables) -> DataFrame:
+def _customers(t: Tables) -> DataFrame:
     name = F.col("n_name")
     for nation, spelled in _SPELLED.items():
         name = F.when(F.col("n_name") == nation, F.lit(spelled)).otherwise(name)
-    return t.read("nation").select("n_nationkey", name.alias("state"))
+    nations = t.read("nation")
+    joined = t.read("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("c_custkey", name.alias("state"))
 
 
-_NATIONS_SQL = (
-    "(SELECT n_nationkey, CASE n_name "
+_CUSTOMERS_SQL = (
+    "(SELECT c_custkey, CASE n_name "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SPELLED.items())
-    + " ELSE n_name END AS state FROM nation) AS n"
+    + " ELSE n_name END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey) AS n"
 )
 
 
@@ -198,24 +207,24 @@ _NORMAL = _map_sql(geo.ALL_NAMES, _SIMPLE_TITLE)
 MAPS = [
     Query(
         "normalize_state_name",
-        "n_nationkey state state_normalized",
-        lambda t: _nations(t).withColumn("state_normalized", geo.normalize_state_name(F.col("state"))),
-        f"SELECT *, {_NORMAL} AS state_normalized FROM {_NATIONS_SQL}",
+        "c_custkey state state_normalized",
+        lambda t: _customers(t).withColumn("state_normalized", geo.normalize_state_name(F.col("state"))),
+        f"SELECT *, {_NORMAL} AS state_normalized FROM {_CUSTOMERS_SQL}",
     ),
     Query(
         "normalize_state_name_spellings_only",
-        "n_nationkey state state_normalized",
-        lambda t: _nations(t).withColumn(
+        "c_custkey state state_normalized",
+        lambda t: _customers(t).withColumn(
             "state_normalized", geo.normalize_state_name(F.col("state"), geo.SPELLINGS)
         ),
         f"SELECT *, {_map_sql(geo.SPELLINGS, _SIMPLE_TITLE)} AS state_normalized "
-        f"FROM {_NATIONS_SQL}",
+        f"FROM {_CUSTOMERS_SQL}",
     ),
     Query(
         "shape_name",
-        "n_nationkey state shape",
-        lambda t: _nations(t).withColumn("shape", geo.shape_name(F.col("state"))),
-        f"SELECT *, {_map_sql(geo.SHAPE_NAMES, 'state')} AS shape FROM {_NATIONS_SQL}",
+        "c_custkey state shape",
+        lambda t: _customers(t).withColumn("shape", geo.shape_name(F.col("state"))),
+        f"SELECT *, {_map_sql(geo.SHAPE_NAMES, 'state')} AS shape FROM {_CUSTOMERS_SQL}",
     ),
     Query(
         "risk_map",

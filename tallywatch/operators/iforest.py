@@ -228,11 +228,6 @@ class IsolationForestModel:
             )
         ).drop("_score")
 
-    def transform_training(self, df: DataFrame) -> DataFrame:
-        """Scores for the frame the model was fitted on; its range is known."""
-        low, high = self.score_range
-        return self._finish(self.raw_scores(df), F.lit(low), F.lit(high))
-
     def transform(self, df: DataFrame) -> DataFrame:
         """Scores for any frame; gaps take that frame's medians."""
         medians = exact_quantiles(
@@ -258,14 +253,12 @@ class IsolationForest:
     trees: int = 100
     max_samples: int = 256
 
-    def fit(self, df: DataFrame, feature_cols: Sequence[str]) -> IsolationForestModel:
-        cols = list(feature_cols)
-        # Several passes follow: keep the few columns they need, lineage cut.
-        train = written(df.select(*cols), "forest-input")
+    def _grow(self, train: DataFrame, cols: list[str]) -> IsolationForestModel:
+        """Trees over the stored table `train`, without a cut for anomalies yet."""
         scaling = fit_scaling(train, cols)
         scaled = train.select(*scaling.columns())
         names = scaled.columns
-        rows = train.count()
+        rows = scaled.count()
         sample = min(self.max_samples, rows)
         size = min(rows, self.trees * sample)
         part = _thinned(scaled, rows, size, self.seed)
@@ -279,7 +272,7 @@ class IsolationForest:
             return grow_tree(ordered[names].to_numpy(dtype=float), int(key[0]), seed, depth)
 
         # The sample is tiny in bytes but slow in Python: spread the trees.
-        tasks = min(self.trees, df.sparkSession.sparkContext.defaultParallelism)
+        tasks = min(self.trees, train.sparkSession.sparkContext.defaultParallelism)
         nodes = (
             assigned.select("tree", "slot", *names)
             .repartition(tasks, "tree")
@@ -287,14 +280,31 @@ class IsolationForest:
             .applyInPandas(grow, NODE_SCHEMA)
             .toPandas()
         )
-        draft = IsolationForestModel(scaling, nodes, sample, 0.0, (0.0, 0.0))
-        scores = written(draft.raw_scores(train).select("_score"), "forest-scores")
-        cut = exact_quantiles(scores, {"cut": ("_score", 1 - self.contamination)}).first()[0]
-        ends = scores.agg(F.min("_score"), F.max("_score")).first()
+        return IsolationForestModel(scaling, nodes, sample, 0.0, (0.0, 0.0))
+
+    def _calibrate(self, draft: IsolationForestModel, scored: DataFrame) -> IsolationForestModel:
+        """Set the cut so that the contaminated share of the training rows lies above."""
+        cut = exact_quantiles(scored, {"cut": ("_score", 1 - self.contamination)}).first()[0]
+        ends = scored.agg(F.min("_score"), F.max("_score")).first()
         return replace(draft, cut=float(cut), score_range=(ends[0], ends[1]))
 
-    def fit_predict(self, df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-        return self.fit(df, feature_cols).transform_training(df)
+    def fit(self, df: DataFrame, feature_cols: Sequence[str]) -> IsolationForestModel:
+        cols = list(feature_cols)
+        # Several passes follow: keep the few columns they need, lineage cut.
+        train = written(df.select(*cols), "forest-input")
+        draft = self._grow(train, cols)
+        scores = draft.raw_scores(train).select("_score")
+        return self._calibrate(draft, written(scores, "forest-scores"))
+
+    def fit_predict(
+        self, df: DataFrame, feature_cols: Sequence[str]
+    ) -> tuple[IsolationForestModel, DataFrame]:
+        """The model and the scored rows, each row scored a single time."""
+        cols = list(feature_cols)
+        draft = self._grow(written(df.select(*cols), "forest-input"), cols)
+        scored = written(draft.raw_scores(df), "forest-scored")
+        model = self._calibrate(draft, scored)
+        return model, model._finish(scored, *map(F.lit, model.score_range))
 
 
 class AnomalyDetector:
@@ -318,7 +328,10 @@ class AnomalyDetector:
         return self.model.transform(df)
 
     def fit_predict(self, df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-        return self.fit(df, feature_cols).model.transform_training(df)
+        self.feature_names = list(feature_cols)
+        forest = IsolationForest(self.contamination, self.random_state)
+        self.model, scored = forest.fit_predict(df, self.feature_names)
+        return scored
 
 
 def detect_anomalies(

@@ -77,6 +77,15 @@ def test_entry(spark):
     assert {"risk_score", "risk_level"} <= set(out.columns)
 
 
+def test_stored_tables_can_be_removed(spark, records):
+    before = scale.written(records, "kept")
+    assert before.count() == 1000
+    path = before.inputFiles()[0]
+    assert spark.sparkContext.applicationId in path
+    scale.remove_written(spark)
+    assert not enrolment.path_exists(spark, path)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
