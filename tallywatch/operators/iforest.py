@@ -8,11 +8,13 @@ broadcast forest, whose size is bounded by trees * (2 * sample_size - 1) nodes.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 )
 LEAF = -1
+# Ship the small functions below with each task: executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHUNK_BITS = 12
 _OVERSAMPLE = 50
 
@@ -62,38 +66,43 @@ def grow_tree(points: np.ndarray, tree: int, seed: int, max_depth: int) -> pd.Da
     return pd.DataFrame(nodes, columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
 
 
-class _Forest:
-    """All trees as flat arrays; children are positions in the arrays."""
-
-    def __init__(self, nodes: pd.DataFrame, sample_size: int):
-        nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-        roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
-        start = np.repeat(roots, np.diff([*roots, len(nodes)]))
-        here = np.arange(len(nodes))
-        split = nodes["feature"].to_numpy() != LEAF
-        # A leaf is its own child, so every row can take the same number of steps.
-        # The children of node i are at 2i (left) and 2i + 1 (right).
-        left = np.where(split, start + nodes["left"].to_numpy(), here)
-        right = np.where(split, start + nodes["right"].to_numpy(), here)
-        self.children = np.column_stack([left, right]).ravel()
-        self.feature = np.where(split, nodes["feature"].to_numpy(), 0)
-        self.threshold = nodes["threshold"].to_numpy()
-        self.path = nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy())
-        self.roots = roots
-        self.steps = int(nodes["depth"].max())
-        self.normal = float(average_path(np.array([sample_size]))[0]) or 1.0
-
-    def score(self, points: np.ndarray) -> np.ndarray:
-        rows, width = points.shape
-        flat, first = np.ascontiguousarray(points).ravel(), np.arange(rows) * width
-        total = np.zeros(rows)
-        for root in self.roots:
-            at = np.full(rows, root)
-            for _ in range(self.steps):
-                value = flat.take(first + self.feature.take(at))
-                at = self.children.take(2 * at + (value > self.threshold.take(at)))
-            total += self.path.take(at)
-        return np.power(2.0, -total / len(self.roots) / self.normal)
+def flatten_forest(nodes: pd.DataFrame, sample_size: int) -> dict:
+    """All trees as flat arrays, for `score_points`.
+
+    A leaf is its own child, so every row can take the same number of steps.
+    The children of node i are at 2i (left) and 2i + 1 (right).
+    """
+    nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
+    roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
+    start = np.repeat(roots, np.diff([*roots, len(nodes)]))
+    here = np.arange(len(nodes))
+    split = nodes["feature"].to_numpy() != LEAF
+    left = np.where(split, start + nodes["left"].to_numpy(), here)
+    right = np.where(split, start + nodes["right"].to_numpy(), here)
+    return {
+        "roots": roots,
+        "steps": int(nodes["depth"].max()),
+        "children": np.column_stack([left, right]).ravel(),
+        "feature": np.where(split, nodes["feature"].to_numpy(), 0),
+        "threshold": nodes["threshold"].to_numpy(),
+        "path": nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy()),
+        "normal": float(average_path(np.array([sample_size]))[0]) or 1.0,
+    }
+
+
+def score_points(forest: dict, points: np.ndarray) -> np.ndarray:
+    """2 ** -(mean path / normal path) per row, one tree after the other."""
+    rows, width = points.shape
+    flat, first = np.ascontiguousarray(points).ravel(), np.arange(rows) * width
+    total = np.zeros(rows)
+    for root in forest["roots"]:
+        at = np.full(rows, root)
+        for _ in range(forest["steps"]):
+            value = flat.take(first + forest["feature"].take(at))
+            goes_right = value > forest["threshold"].take(at)
+            at = forest["children"].take(2 * at + goes_right)
+        total += forest["path"].take(at)
+    return np.power(2.0, -total / len(forest["roots"]) / forest["normal"])
 
 
 def _thinned(stored: DataFrame, rows: int, size: int, seed: int) -> DataFrame:
@@ -202,12 +211,13 @@ class IsolationForestModel:
         return self.scaling.feature_cols
 
     def _score(self, df: DataFrame, fills: Sequence[Column] | None = None) -> Column:
-        forest = df.sparkSession.sparkContext.broadcast(_Forest(self.nodes, self.sample_size))
+        flat = flatten_forest(self.nodes, self.sample_size)
+        forest = df.sparkSession.sparkContext.broadcast(flat)
 
         @F.pandas_udf("double")
         def score(*features: pd.Series) -> pd.Series:
             points = np.column_stack([f.to_numpy(dtype=float) for f in features])
-            return pd.Series(forest.value.score(points))
+            return pd.Series(score_points(forest.value, points))
 
         return score(*self.scaling.columns(fills))
 
