@@ -67,6 +67,15 @@ def sample_kurtosis(value: Column) -> Column:
     return F.when(F.count(value) >= 4, F.when(F.stddev_pop(value) == 0, 0.0).otherwise(corrected))
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN as NULL in all floating-point columns, for data from outside Spark.
+
+    Spark orders NaN above every number, so it would pass for a large value.
+    """
+    floats = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
+    return with_columns(df, {c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+
+
 def not_null(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Rows with all group keys present; a NULL key forms no group."""
     cols = list(cols)

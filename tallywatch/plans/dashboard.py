@@ -29,10 +29,8 @@ def dashboard_tables(
     daily = written(aggregate.aggregate_by_state(records), "state-daily")
     states = score_states(state_features(daily))
     if run_anomaly:
-        states = written(
-            iforest.detect_anomalies(states, list(PIPELINE_FEATURES), contamination),
-            "state-scored",
-        )
+        states = iforest.detect_anomalies(states, list(PIPELINE_FEATURES), contamination)
+    states = written(states, "state-scored")
     found = alerts.process(states)
     # Sums over days do not need the records again.
     history, ahead = forecast.forecast_total(daily, FORECAST_DAYS)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallywatch.functions.columns import nan_to_null
 from tallywatch.functions.ranks import exact_quantiles
 from tallywatch.operators import outliers, temporal
 
@@ -62,6 +63,14 @@ def test_percentile_rank(spark, kind, large, request):
     assert got.to_numpy() == pytest.approx(expected.to_numpy())
 
 
+def test_nan_from_outside_becomes_null(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (None, 3)], "v double, i int")
+    rows = nan_to_null(df).orderBy("i").collect()
+    assert [r.v for r in rows] == [1.0, None, None]
+    flags = outliers.zscore_analysis(nan_to_null(df), "v").collect()
+    assert not any(r.zscore_outlier for r in flags)
+
+
 def test_zscore_constant_group_has_no_score(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 3.0)], "g string, v double")
     rows = outliers.zscore_analysis(df, "v", 0.9, ["g"]).orderBy("g", "v").collect()
