@@ -125,7 +125,6 @@ def exact_quantiles(
         .groupBy(*group_cols, "_c", "_v")
         .agg(F.count("*").alias("_n"))
     )
-    # `+ 0.0` above grouping is not needed: groupBy already unites 0.0 and -0.0.
     per_column = sorted({p for _, p in quantiles.values()})
     ranks = _select_ranks(counts, [*group_cols, "_c"], per_column)
     by_column = ranks.groupBy(*group_cols, "_c").agg(

@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.functions.columns import age_total, not_null, ratio, strip, title_case, with_total
+from tallywatch.functions.columns import not_null, ratio, strip, title_case, with_total
 from tallywatch.functions.ranks import exact_quantiles
 
 # Other spellings of region names, matched after title case.
