@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import chunk_dedup, decontaminate, mixing, simhash, toxicity
+from tallywatch.llm import (
+    chunk_dedup,
+    decontaminate,
+    line_frequency,
+    mixing,
+    simhash,
+    toxicity,
+    url_graph,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -31,6 +39,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
@@ -40,6 +53,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+@query
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_frequency.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "n_removed_words",
+        "base_failed",
+        "kept",
+    )
+
+
 @query
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_passages(table(spark, sf_dir, "documents"))
