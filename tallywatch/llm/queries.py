@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tallywatch.llm import (
     chunk_dedup,
     decontaminate,
+    lattice_lm,
     line_frequency,
     mixing,
+    page_diff,
+    perspectives,
     simhash,
     toxicity,
     url_graph,
@@ -88,6 +91,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    ranges = F.transform("mask", lambda m: F.concat_ws("-", m["first"], m["past"]))
+    return rendered.select(
+        "conv_id", "speaker", "part", "n_messages", "text", F.array_join(ranges, ",").alias("mask")
+    )
+
+
+ORACLES["op8_perspectives"] = perspectives.SQL
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.copies(table(spark, sf_dir, "documents"))
@@ -98,3 +118,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+@query
+def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = page_diff.main_text(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
