@@ -120,6 +120,112 @@ class Lattice:
                 counts[text[i:j]] += share
 
 
+class WordBatches:
+    """The recursions of `Lattice` over many words at a time.
+
+    Words of one length are the rows of a matrix of code points; substrings are
+    looked up by a 64-bit hash. Words longer than `LONG` go one by one.
+    """
+
+    LONG = 48
+    _ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: dict[str, float], byte_pieces: list[float]):
+        self.lattice = Lattice(pieces, byte_pieces)
+        self.names = list(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        hashes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.names = [self.names[i] for i in order]
+        self.logs = np.array([pieces[p] for p in self.names])
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self._ODD) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """(places in `words`, matrix of code points) for each length."""
+        by_length: dict[int, list[int]] = defaultdict(list)
+        texts = [_MARK + w.decode("utf-8", "replace") for w in words]
+        for i, t in enumerate(texts):
+            by_length[len(t)].append(i)
+        for n, at in by_length.items():
+            if n <= self.LONG:
+                joined = "".join([texts[i] for i in at]).encode("utf-32-le")
+                yield at, np.frombuffer(joined, dtype="<u4").reshape(len(at), n)
+            else:
+                yield at, np.empty((len(at), 0), dtype="<u4")
+
+    def _edges(self, codes: np.ndarray) -> list[tuple]:
+        """(from, to, rows, pieces, log weights); piece -1 is a character spelt in bytes."""
+        out, n = [], codes.shape[1]
+        for i in range(n):
+            h = np.zeros(len(codes), dtype=np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = h * self._ODD + codes[:, j - 1] + np.uint64(1)
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                found = self.hashes[at] == h
+                rows = np.flatnonzero(found)
+                if len(rows):
+                    out.append((i, j, rows, at[rows], self.logs[at[rows]]))
+                if j == i + 1 and len(rows) < len(codes):
+                    rows = np.flatnonzero(~found)
+                    spelt = self.lattice.byte_pieces
+                    logs = [sum(spelt[b] for b in chr(c).encode()) for c in codes[rows, i].tolist()]
+                    out.append((i, j, rows, None, np.array(logs)))
+        return out
+
+    @staticmethod
+    def _recursion(size: int, n: int, edges: Iterable[tuple]) -> np.ndarray:
+        alpha = np.full((n + 1, size), -np.inf)
+        alpha[0] = 0.0
+        for i, j, rows, _, logs in edges:
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logs)
+        return alpha
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """`Lattice.log_probability` of each word."""
+        out = np.empty(len(words))
+        for at, codes in self._groups(words):
+            n = codes.shape[1]
+            if n:
+                out[at] = self._recursion(len(at), n, self._edges(codes))[n]
+            else:
+                out[at] = [self.lattice.log_probability(words[i]) for i in at]
+        return out
+
+    def expected(self, batches: Iterable[tuple[list[bytes], list[int]]]) -> dict[str, float]:
+        """Expected uses of each piece over words that occur so many times."""
+        sums, counts = np.zeros(len(self.names)), defaultdict(float)
+        for words, times in batches:
+            for at, codes in self._groups(words):
+                n, size = codes.shape[1], len(at)
+                if not n:
+                    for i in at:
+                        self.lattice.add_expected(words[i], times[i], counts)
+                    continue
+                edges = self._edges(codes)
+                alpha = self._recursion(size, n, edges)
+                back = sorted(edges, key=lambda e: -e[1])
+                beta = self._recursion(size, n, [(n - j, n - i, *e) for i, j, *e in back])
+                share = np.log(np.array([times[i] for i in at], dtype=float)) - alpha[n]
+                for i, j, rows, pieces, logs in edges:
+                    uses = np.exp(alpha[i, rows] + logs + beta[n - j, rows] + share[rows])
+                    if pieces is not None:
+                        np.add.at(sums, pieces, uses)
+                        continue
+                    for c, x in zip(codes[rows, i].tolist(), uses.tolist()):
+                        for b in chr(c).encode():
+                            counts[f"<0x{b:02X}>"] += x
+        for name, x in zip(self.names, sums.tolist()):
+            if x:
+                counts[name] += x
+        return counts
+
+
 def _logsum(terms: list[float]) -> float:
     if len(terms) == 1:
         return terms[0]
@@ -181,16 +287,14 @@ def train(rows: DataFrame, model_file: str = MODEL_FILE) -> Trained:
     """Count the words of `rows` (text, held_out) and learn piece weights from them."""
     sc = rows.sparkSession.sparkContext
     pieces, byte_pieces = load_pieces(model_file)
-    words = written(count_words(rows), "word-counts")
+    words = written(count_words(rows).repartition("word"), "word-counts")
     total, distinct = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     ends = rows.where("not held_out").count()
     sent = sc.broadcast((pieces, byte_pieces))  # at most MAX_PIECES
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = Lattice(*sent.value), defaultdict(float)
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lattice.add_expected(word, c, counts)
+        lists = ((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
+        counts = WordBatches(*sent.value).expected(lists)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.float64())],
             names=["piece", "n"],
@@ -209,11 +313,10 @@ def train(rows: DataFrame, model_file: str = MODEL_FILE) -> Trained:
     learned = sc.broadcast((new, spelt))
 
     def setup():
-        return Lattice(*learned.value)
+        return WordBatches(*learned.value)
 
     def score(lattice, names, counts):
-        for word, c in zip(names, counts):
-            yield word, c, lattice.log_probability(word)
+        return zip(names, counts, lattice.log_probabilities(names).tolist())
 
     scored = map_rows(words, "word binary, c long, log_p double", ["word", "c"], score, setup)
     return Trained(
