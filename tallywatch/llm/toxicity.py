@@ -38,7 +38,7 @@ PREFIXES = (5, 7)
 _SKIPS = (1, 2, 3)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _SCALE = np.uint64(0xD6E8FEB86659FD93)
-_KNOWN = 400_000
+_KNOWN = 200_000
 
 
 class Features:
@@ -166,16 +166,24 @@ def fit(
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        # Feature lists stay in Arrow's buffers, one flat array for each batch.
+        parts, docs_with = [], np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
-            doc, y, at, lists = (batch.column(i).to_pylist() for i in range(4))
-            found += zip(at, doc, y, (np.frombuffer(x, dtype=np.int32) for x in lists))
+            lists = batch.column(3)
+            ends = np.frombuffer(lists.buffers()[1], dtype=np.int32, count=len(lists) + 1) // 4
+            places = np.frombuffer(lists.buffers()[2], dtype=np.int32)[: ends[-1]]
+            docs_with += np.bincount(places, minlength=1 << BITS)
+            parts.append((ends, places, *(batch.column(i).to_pylist() for i in range(3))))
+        found = []
+        while parts:
+            ends, places, *rest = parts.pop()
+            kept = docs_with[places] >= MIN_DOCS
+            bounds = np.concatenate(([0], np.cumsum(kept)))[ends]
+            places = places[kept]
+            lists = (places[i:j] for i, j in zip(bounds, bounds[1:]))
+            found += zip(rest[2], rest[0], rest[1], lists)
         found.sort(key=lambda r: r[:2])
-        docs_with = np.zeros(1 << BITS, dtype=np.int64)
-        for r in found:
-            docs_with[r[3]] += 1
-        lists = [r[3][docs_with[r[3]] >= MIN_DOCS] for r in found]
-        w = ftrl(lists, np.array([r[2] for r in found], dtype=float))
+        w = ftrl([r[3] for r in found], np.array([r[2] for r in found], dtype=float))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["place", "weight"])
 
