@@ -23,6 +23,12 @@ _ROOTS = 6
 _BUCKETS = 4096
 
 
+def known(value: Column) -> Column:
+    """The value as a double; null if it is NaN."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def _coarse(value: Column) -> Column:
     root = reduce(lambda c, _: F.sqrt(c), range(_ROOTS), F.abs(value))
     return F.floor(F.signum(value) * root * _BUCKETS)
@@ -106,17 +112,18 @@ def exact_quantiles(
     """
     group_cols = list(group_cols)
     value_cols = list(dict.fromkeys(c for c, _ in quantiles.values()))
-    narrow = df.select(*group_cols, *value_cols)
+    # NaN is a missing value, whichever way the ranks are found.
+    narrow = df.select(*group_cols, *[known(F.col(c)).alias(c) for c in value_cols])
     if is_small(narrow):
         return narrow.groupBy(*group_cols).agg(
             *[
-                F.percentile(F.col(c).cast("double"), F.lit(p)).alias(name)
+                F.percentile(F.col(c), F.lit(p)).alias(name)
                 for name, (c, p) in quantiles.items()
             ]
         )
 
     entries = [
-        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
+        F.struct(F.lit(i).alias("_c"), F.col(c).alias("_v"))
         for i, c in enumerate(value_cols)
     ]
     counts = (
@@ -149,13 +156,13 @@ def exact_quantiles(
 
 
 def average_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """(group, value, average rank, group size) per distinct non-null value.
+    """(group, value, average rank, group size) per distinct value, null and NaN left out.
 
     Each sort covers one fine bucket of one group, never the group itself.
     """
     keys = list(group_cols)
     counts = (
-        df.where(F.col(value_col).isNotNull())
+        df.where(known(F.col(value_col)).isNotNull())
         .groupBy(*keys, F.col(value_col).alias("_value"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_v", F.col("_value").cast("double"))

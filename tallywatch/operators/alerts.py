@@ -6,6 +6,7 @@ Catalyst compiles; no Python runs on the executors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from string import Formatter
@@ -26,6 +27,12 @@ ALERT_TYPES = (
 )
 
 
+_SPEC = re.compile(
+    r"(?:(?P<fill>.)?(?P<align>[<>^]))?(?P<sign>[+ -]?)(?P<zero>0?)(?P<width>\d*)(?P<comma>,?)"
+    r"(?:\.(?P<digits>\d+))?(?P<kind>[fFe%ds]?)"
+)
+
+
 @dataclass(frozen=True)
 class AlertRule:
     """`condition` maps the checked column to a boolean column, or is SQL text."""
@@ -38,6 +45,13 @@ class AlertRule:
     message: str
     threshold: float | None = None
 
+    def __post_init__(self):
+        for _, name, spec, _ in Formatter().parse(self.message):
+            if name not in (None, "value", "region", "threshold"):
+                raise ValueError(f"unknown field {name} in {self.message!r}")
+            if name == "value" and spec and not _SPEC.fullmatch(spec):
+                raise ValueError(f"unsupported format {spec!r} in {self.message!r}")
+
     def fires(self) -> Column:
         if isinstance(self.condition, str):
             test = F.expr(self.condition)
@@ -137,6 +151,33 @@ def remove_rule(rules: Sequence[AlertRule], name: str) -> tuple[AlertRule, ...]:
     return tuple(r for r in rules if r.name != name)
 
 
+def _formatted(value: Column, spec: str) -> Column:
+    """A number as Python's format() gives it; `d` rounds."""
+    m = _SPEC.fullmatch(spec)
+    kind, flags = m["kind"] or ("f" if m["digits"] else "s"), m["sign"].strip("-") + m["comma"]
+    digits = f".{m['digits'] or 6}"
+    number = value.cast("double")
+    if kind == "d":
+        text = F.format_string(f"%{flags}d", F.rint(number).cast("long"))
+    elif kind == "s":
+        text = value.cast("string")
+    elif kind == "%":
+        text = F.format_string(f"%{flags}{digits}f%%", number * 100)
+    else:
+        text = F.format_string(f"%{flags}{digits}{kind.lower()}", number)
+    width = int(m["width"] or 0)
+    if not width:
+        return text
+    fill = m["fill"] or ("0" if m["zero"] and not m["align"] else " ")
+    gap = F.greatest(F.lit(width) - F.length(text), F.lit(0))
+    if m["zero"] and not m["align"]:  # zeros go after the sign
+        sign = F.regexp_extract(text, "^[-+ ]?", 0)
+        return F.concat(sign, F.repeat(F.lit(fill), gap), F.regexp_replace(text, "^[-+ ]", ""))
+    align = m["align"] or ("<" if kind == "s" else ">")
+    left = {"<": F.lit(0), ">": gap, "^": F.floor(gap / 2)}[align].cast("int")
+    return F.concat(F.repeat(F.lit(fill), left), text, F.repeat(F.lit(fill), gap - left))
+
+
 def _message(rule: AlertRule, region: Column) -> Column:
     """The template as a column; fields are value, region and threshold."""
     parts = []
@@ -149,11 +190,8 @@ def _message(rule: AlertRule, region: Column) -> Column:
             parts.append(region)
         elif name == "threshold":
             parts.append(F.lit(format(rule.threshold, spec) if spec else str(rule.threshold)))
-        elif spec and spec.endswith("%"):
-            value = F.col(rule.column).cast("double") * 100
-            parts.append(F.format_string(f"%{spec[:-1]}f%%", value))
         elif spec:
-            parts.append(F.format_string(f"%{spec}", F.col(rule.column).cast("double")))
+            parts.append(_formatted(F.col(rule.column), spec))
         else:
             parts.append(F.col(rule.column).cast("string"))
     return F.concat(*parts)

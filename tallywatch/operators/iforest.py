@@ -29,7 +29,6 @@ LEAF = -1
 # Ship the small functions below with each task: executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHUNK_BITS = 12
-_OVERSAMPLE = 50
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -105,16 +104,6 @@ def score_points(forest: dict, points: np.ndarray) -> np.ndarray:
     return np.power(2.0, -total / len(forest["roots"]) / forest["normal"])
 
 
-def _thinned(stored: DataFrame, rows: int, size: int, seed: int) -> DataFrame:
-    """A random part of a stored table, still far larger than the pool.
-
-    Spares the shuffle of all rows below. `stored` is read from fixed files, so
-    a task that runs again draws the same rows.
-    """
-    share = _OVERSAMPLE * size / rows
-    return stored if share >= 0.5 else stored.sample(share, seed=seed)
-
-
 def _pool(scaled: DataFrame, names: list[str], rows: int, size: int, seed: int) -> DataFrame:
     """(features, slot): `size` of `rows` rows, evenly spaced in hash order.
 
@@ -271,9 +260,7 @@ class IsolationForest:
         rows = scaled.count()
         sample = min(self.max_samples, rows)
         size = min(rows, self.trees * sample)
-        part = _thinned(scaled, rows, size, self.seed)
-        drawn = rows if part is scaled else part.count()
-        pool = _pool(part, names, drawn, size, self.seed)
+        pool = _pool(scaled, names, rows, size, self.seed)
         assigned = _assign(pool, rows, self.trees, sample, self.seed)
         depth, seed = math.ceil(math.log2(max(sample, 2))), self.seed
 

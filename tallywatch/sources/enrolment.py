@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywatch.functions.columns import age_total
 from tallywatch.schema import AGE_COLS, CSV_SCHEMA, KEY_COLS
 
-DATE_FORMATS = ("dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd")
+DATE_FORMATS = ("d-M-yyyy", "yyyy-M-d", "d-M-yy", "d-MMM-yyyy", "d-MMM-yy")
+_TIME = r"[ T]+\d{1,2}:\d{2}.*$"
 
 
 def parse_date(text: Column) -> Column:
-    """Day-first dates, or ISO dates; NULL for anything else."""
-    return F.coalesce(*[F.try_to_date(text, f) for f in DATE_FORMATS])
+    """Day-first or year-first dates; NULL for anything else.
+
+    Parts may be cut by `-`, `/`, `.` or spaces, months may be English short
+    names, and a time of day is left out.
+    """
+    plain = F.regexp_replace(F.trim(F.regexp_replace(text, _TIME, "")), r"[/.\s]+", "-")
+    return F.coalesce(*[F.try_to_date(plain, f) for f in DATE_FORMATS])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -25,17 +33,42 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """CSV columns by header name, the date as it stands, of files or folders.
+
+    Paths may order their columns differently; the files of one folder may not,
+    and reading fails if they do. Columns that records do not have are left out.
+    """
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        names = spark.read.option("header", True).csv(path).columns
+        missing = [f.name for f in CSV_SCHEMA if f.name not in names]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        kinds = {f.name: f.dataType for f in CSV_SCHEMA}
+        schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+        part = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("mode", "FAILFAST")
+            .csv(path)
+            .select(*[f.name for f in CSV_SCHEMA])
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Typed CSV read of one or more files or folders."""
-    raw = (
-        spark.read.schema(CSV_SCHEMA)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .csv(paths if isinstance(paths, str) else list(paths))
-    )
-    return raw.select(
-        parse_date(F.col("date")).alias("date"), *KEY_COLS[1:], *AGE_COLS
-    )
+    return read_text(spark, paths).withColumn("date", parse_date(F.col("date")))
+
+
+def unparsed_dates(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(date, records): the date texts that `read_records` makes NULL, and how often."""
+    text = F.col("date")
+    lost = read_text(spark, paths).where(text.isNotNull() & parse_date(text).isNull())
+    return lost.groupBy("date").agg(F.count("*").alias("records"))
 
 
 def load_all(
@@ -46,7 +79,8 @@ def load_all(
 ) -> DataFrame:
     """All rows of the named parts that exist, in one scan.
 
-    Falls back to another folder if the first is missing. Rows carry no global
+    Falls back to another folder if the first is missing, and warns of parts
+    that are. Rows carry no global
     order: a consumer that needs one sorts, others are spared the shuffle.
     """
     if not path_exists(spark, data_dir) and fallback_dir is not None:
@@ -55,6 +89,8 @@ def load_all(
     found = [p for p in parts if path_exists(spark, p)]
     if not found:
         raise FileNotFoundError(f"No data files found in {data_dir}")
+    if skipped := [p for p in parts if p not in found]:
+        warnings.warn(f"skipped, not found: {', '.join(skipped)}", stacklevel=2)
     return read_records(spark, found)
 
 

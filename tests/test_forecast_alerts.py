@@ -169,3 +169,24 @@ def test_reports_need_anomalies(spark):
     for table in (reports.anomalies_report, reports.anomalies_summary, geo.anomaly_map):
         with pytest.raises(ValueError):
             table(df)
+
+
+SPECS = ["", ".2f", "d", ">8.2f", "<9.1f", "^11.3f", "*>10d", "+.1f", ",.2f", "08.2f", "+09.1f", ".1%", "e", "12.3e", "10"]
+
+
+@pytest.mark.parametrize("spec", SPECS)
+def test_alert_formats(spark, spec):
+    rule = alerts.AlertRule("r", "high_risk", "v", "v is not null", "high", f"is {{value:{spec}}}!")
+    values = [1234.5678, -0.26, 7.0]
+    got = alerts.process(spark.createDataFrame([(v,) for v in values], "v double"), [rule]).collect()
+    for row, v in zip(got, values):
+        if spec in ("", "10"):
+            assert row.message.removeprefix("is ").removesuffix("!").strip() == str(v)
+        else:
+            assert row.message == f"is {format(round(v) if spec.endswith('d') else v, spec)}!"
+
+
+@pytest.mark.parametrize("text", ["{value:x}", "{value:.2q}", "{other}"])
+def test_bad_alert_formats_are_refused(text):
+    with pytest.raises(ValueError):
+        alerts.AlertRule("r", "high_risk", "v", "true", "high", text)

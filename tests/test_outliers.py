@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import nan_to_null
 from tallywatch.functions.ranks import exact_quantiles
+from tallywatch.functions import ranks
 from tallywatch.operators import outliers, temporal
 
 
@@ -83,16 +84,12 @@ def test_zscore_constant_group_has_no_score(spark):
 def test_planted_outliers(spark, large, request):
     if large:
         request.getfixturevalue("large_paths")
-    rng = np.random.default_rng(42)
-    frame = pd.DataFrame(
-        {
-            "state": ["A"] * 50 + ["B"] * 50,
-            "value": np.r_[
-                rng.normal(100, 15, 45), [200, 250, 20, 15, 300],
-                rng.normal(150, 20, 45), [400, 450, 30, 25, 500],
-            ],
-        }
-    )
+    rng = np.random.default_rng(1618)
+    parts = [("A", 60.0, [-40.0, -25.0, 160.0, 175.0, 190.0]), ("B", 900.0, [10.0, 2100.0, 2250.0, 2400.0, 2600.0])]
+    frame = pd.concat(
+        pd.DataFrame({"state": s, "value": np.r_[m * (1 + rng.uniform(-0.2, 0.2, 70)), planted]})
+        for s, m, planted in parts
+    ).reset_index(drop=True)
     df = spark.createDataFrame(frame)
     got = outliers.iqr_analysis(df, "value", group_cols=["state"]).toPandas()
     for state, rows in frame.groupby("state"):
@@ -173,3 +170,15 @@ def test_large_input_without_groups_is_split(spark, large_paths):
     assert out.count() == 700
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_nan_is_missing_in_quantiles_and_ranks(spark, large, request):
+    if large:
+        request.getfixturevalue("large_paths")
+    rows = [(float(v),) for v in range(-5, 6)] + [(float("nan"),)] * 5 + [(None,)]
+    df = spark.createDataFrame(rows, "v double")
+    row = ranks.exact_quantiles(df, {"mid": ("v", 0.5), "high": ("v", 0.95)}).first()
+    assert (row.mid, row.high) == (0.0, 4.5)
+    found = {r._value: r._rank for r in ranks.average_ranks(df, "v").collect()}
+    assert found == {float(v): v + 6 for v in range(-5, 6)}

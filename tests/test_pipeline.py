@@ -45,6 +45,37 @@ def test_load_all(spark, tmp_path):
         enrolment.load_all(spark, str(tmp_path), ["none.csv"])
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "age_5_17,date,district,state,extra,age_18_greater,age_0_5,pincode\n2,1-3-2025,North,Goa,x,3,1,0403\n"
+    )
+    (tmp_path / "b.csv").write_text(
+        "date,state,district,pincode,age_0_5,age_5_17,age_18_greater\n2025/03/02,Goa,South,1,4,5,6\n"
+    )
+    with pytest.warns(UserWarning, match="none.csv"):
+        df = enrolment.load_all(spark, str(tmp_path), ["a.csv", "b.csv", "none.csv"])
+    rows = sorted(map(tuple, df.collect()))
+    assert rows == [
+        (dt.date(2025, 3, 1), "Goa", "North", "0403", 1, 2, 3),
+        (dt.date(2025, 3, 2), "Goa", "South", "1", 4, 5, 6),
+    ]
+    (tmp_path / "c.csv").write_text("date,state\n1-1-2025,Goa\n")
+    with pytest.raises(ValueError, match="district"):
+        enrolment.read_records(spark, str(tmp_path / "c.csv"))
+
+
+def test_date_forms(spark, tmp_path):
+    good = ["1-3-2025", "01-03-2025", "01.03.2025", "01-Mar-2025", "2025/03/01", "01-03-25",
+            "01-03-2025 00:00:00", "1 Mar 2025", "2025-03-01T10:00:00", "01/03/2025"]
+    bad = ["03-31-2025", "soon", "31-02-2025", "soon"]
+    head = "date,state,district,pincode,age_0_5,age_5_17,age_18_greater\n"
+    (tmp_path / "a.csv").write_text(head + "".join(f"{d},S,D,1,1,1,1\n" for d in good + bad))
+    dates = [r.date for r in enrolment.read_records(spark, str(tmp_path)).collect()]
+    assert dates == [dt.date(2025, 3, 1)] * len(good) + [None] * len(bad)
+    lost = {r.date: r.records for r in enrolment.unparsed_dates(spark, str(tmp_path)).collect()}
+    assert lost == {"03-31-2025": 1, "soon": 2, "31-02-2025": 1}
+
+
 def test_parquet_output_prunes_partitions(spark, tmp_path, records):
     path = enrolment.write_parquet(records, str(tmp_path / "p"), ["state"])
     plan = plan_of(spark.read.parquet(path).where("state = 'view'").select("age_0_5"))
