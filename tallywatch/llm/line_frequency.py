@@ -173,3 +173,43 @@ def clean_lines(
     parts = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p"))
     text = F.coalesce(F.array_join("p.part", "\n"), F.lit("")).alias("text")
     return rows.select("row", "doc_id").join(parts, "row", "left").select("doc_id", text)
+
+
+SQL = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+places AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w),
+windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM places),
+covered AS (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM windows WHERE n > 1),
+repeats AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+lines AS (
+    SELECT * FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+keyed AS (
+    SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k,
+        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
+frequent AS (
+    SELECT k.host, k.k FROM keyed k JOIN hosts h ON k.host IS NOT DISTINCT FROM h.host
+    GROUP BY k.host, k.k, h.texts
+    HAVING count(DISTINCT k.text) > {MIN_DOCS} AND count(DISTINCT k.text) > {MAX_SHARE} * h.texts),
+removed AS (
+    SELECT r, sum(n) AS n FROM keyed k JOIN frequent f
+    ON k.host IS NOT DISTINCT FROM f.host AND k.k = f.k GROUP BY r),
+counts AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
+    FROM d JOIN w USING (r) LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r)
+    LEFT JOIN removed USING (r))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)
+        AND n_words - n_removed_words >= {MIN_LEFT} * n_words AS kept
+FROM counts
+"""

@@ -72,6 +72,9 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op4_line_frequency"] = line_frequency.SQL
+
+
 @query
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_passages(table(spark, sf_dir, "documents"))
