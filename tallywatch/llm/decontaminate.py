@@ -203,3 +203,35 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """`docs` without contaminated rows."""
     kept = scan(docs, benchmark, **options).where("not _scan.contaminated")
     return kept.select(*[col(c) for c in docs.columns])
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+# Windows as strings, joined to each document's stretches of the same length.
+SQL = f"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words FROM benchmark),
+windows AS MATERIALIZED (
+    SELECT DISTINCT item, least(len(words), {WINDOW}) AS n, unnest(list_transform(
+        range(1, greatest(len(words) - {WINDOW}, 0) + 2),
+        lambda i: array_to_string(words[i:i + {WINDOW - 1}], ' '))) AS win
+    FROM items WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+stretches AS (
+    SELECT r, n, unnest(range(1, len(words) - n + 2)) AS i, unnest(list_transform(
+        range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS win
+    FROM d JOIN sizes ON len(words) >= n),
+hits AS MATERIALIZED (
+    SELECT r, n, i, item FROM stretches JOIN windows USING (n, win)),
+covered AS (
+    SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hits) GROUP BY r),
+named AS (SELECT r, list(DISTINCT item) AS items FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+    sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256,
+    coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""

@@ -108,8 +108,10 @@ def copies(
     )
     joined = kept.join(targets, F.col(held[source_col]).eqNullSafe(F.col("_mix_source")))
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    # 53 bits of the hash, as a number in [0, 1)
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(held[id_col]), F.lit(seed)), 11) / float(1 << 53)
+    # 52 bits of the hash, as a number in [0, 1)
+    name = F.coalesce(F.col(held[id_col]).cast("string"), F.lit(""))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13)
+    draw = F.conv(digits, 16, 10).cast("long") / float(1 << 52)
     taken = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", taken).drop(*held.values(), "_mix_source")
 
@@ -122,3 +124,38 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .drop("size", "source_size", "target", "copies")
     )
+
+
+_CASES = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+# Targets without rounds: sources fill up in order of size over weight, and the
+# share of a unit of weight is final at the first that is not filled.
+SQL = rf"""
+WITH d AS (
+    SELECT doc_id, source,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+ranked AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+        (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} AS place
+    FROM d GROUP BY source),
+s AS (
+    SELECT source, source_size, (CASE place {_CASES} END)::DOUBLE AS weight,
+        {MOST}::DOUBLE * source_size AS most FROM ranked),
+filling AS (
+    SELECT *, row_number() OVER w AS i,
+        ({BUDGET}::DOUBLE * sum(source_size) OVER () - (sum(most) OVER w - most))
+            / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS share
+    FROM s WINDOW w AS (ORDER BY most / weight, source ROWS UNBOUNDED PRECEDING)),
+final AS (SELECT arg_min(share, i) AS share FROM filling WHERE most > share * weight),
+targets AS (
+    SELECT source, source_size, least(most, coalesce((SELECT share FROM final), 0) * weight) AS target
+    FROM s),
+drawn AS (
+    SELECT doc_id, size, source_size, target,
+        coalesce(target / nullif(source_size, 0), 0) AS rate,
+        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT
+            / {1 << 52}::DOUBLE AS draw
+    FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) * size AS taken
+FROM drawn
+"""

@@ -44,7 +44,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_graph.judge_urls(table(spark, sf_dir, "pages"))
+    judged = url_graph.judge_urls(table(spark, sf_dir, "pages"))
+    # How far the links to and from a host speak against it, whatever the number of hosts.
+    share = F.col("distrust") / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0))
+    return judged.select(
+        "page_id", "host", "path", "rule", "verdict", F.round(share, 6).alias("distrust_share")
+    )
+
+
+ORACLES["op2_url_graph"] = url_graph.sql()
 
 
 @query
@@ -56,6 +64,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+ORACLES["op3_decontaminate"] = decontaminate.SQL
+
+
 @query
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_frequency.judge(table(spark, sf_dir, "documents"))
@@ -123,6 +134,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op9_mixing"] = mixing.SQL
+
+
 @query
 def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = page_diff.main_text(table(spark, sf_dir, "pages"))

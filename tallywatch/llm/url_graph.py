@@ -30,10 +30,11 @@ DAMPING = 0.85
 ROUNDS = 10
 # Blocked from this share of distrust in the sum of trust and distrust.
 THRESHOLD = 0.5
+SHARE_DIGITS = 9
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
+_LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -173,7 +174,8 @@ def judge_urls(
     ranks = written(spread(seeds, edges, damping, rounds), "host-trust")
     out = judged.join(ranks, "host", "left")
     share = F.col("distrust") / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0))
-    own = F.when(share > threshold, "block").otherwise("allow")
+    # Rounded, so that the order of a sum cannot turn a tie.
+    own = F.when(F.round(share, SHARE_DIGITS) > threshold, "block").otherwise("allow")
     return out.select(
         "page_id",
         "host",
@@ -183,3 +185,69 @@ def judge_urls(
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
+
+
+def sql(rounds: int = ROUNDS) -> str:
+    """The verdicts of `judge_urls` with its defaults, in DuckDB's SQL."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [
+        f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{prefix}')"
+        for _, name, prefix in rules
+    ]
+    cases = {
+        "rule": [f"WHEN {f} THEN '{n + p}'" for f, (_, n, p) in zip(fits, rules)],
+        "fit": [f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules)],
+    }
+    judged = ", ".join(f"CASE {' '.join(c)} END AS {n}" for n, c in cases.items())
+    link = _LINK.replace("'", "''")
+    steps = "".join(
+        f""",
+r{k} AS MATERIALIZED (
+    SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+        SELECT host, (1 - {DAMPING}::DOUBLE) * trust AS trust,
+            (1 - {DAMPING}::DOUBLE) * distrust AS distrust FROM r0
+        UNION ALL SELECT dst, {DAMPING}::DOUBLE * trust * forward, 0.0
+        FROM shares JOIN r{k - 1} ON src = host
+        UNION ALL SELECT src, 0.0, {DAMPING}::DOUBLE * distrust * backward
+        FROM shares JOIN r{k - 1} ON dst = host)
+    GROUP BY host)"""
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+WITH parts AS (
+    SELECT page_id, html, coalesce(regexp_extract(url, '{_URL}', 2), '') AS path,
+        translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), '{_UPPER}', '{_LOWER}') AS host
+    FROM pages),
+judged AS MATERIALIZED (SELECT page_id, host, path, html, {judged} FROM parts),
+hosts AS MATERIALIZED (
+    SELECT host, count(*) FILTER (fit = 'allow') AS allowed, count(*) FILTER (fit = 'block') AS blocked
+    FROM judged WHERE host <> '' GROUP BY host),
+links AS (
+    SELECT src, dst, count(*)::DOUBLE AS weight FROM (
+        SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)),
+            '{_UPPER}', '{_LOWER}') AS dst FROM judged)
+    GROUP BY src, dst),
+cut AS (SELECT host, string_split(host, '.') AS p FROM hosts),
+above AS (
+    SELECT host, i, array_to_string(p[i:], '.') AS up
+    FROM (SELECT host, p, unnest(range(2, len(p) + 1)) AS i FROM cut)),
+ties AS (
+    SELECT a.host, arg_min(a.up, a.i) AS up FROM above a JOIN hosts h ON a.up = h.host GROUP BY a.host),
+edges AS MATERIALIZED (
+    SELECT src, dst, sum(weight) AS weight FROM (
+        FROM links UNION ALL SELECT host, up, 1.0::DOUBLE FROM ties
+        UNION ALL SELECT up, host, 1.0::DOUBLE FROM ties)
+    WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+shares AS MATERIALIZED (
+    SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS forward,
+        weight / sum(weight) OVER (PARTITION BY dst) AS backward FROM edges),
+r0 AS MATERIALIZED (
+    SELECT host, allowed / greatest(sum(allowed) OVER (), 1)::DOUBLE AS trust,
+        blocked / greatest(sum(blocked) OVER (), 1)::DOUBLE AS distrust FROM hosts){steps},
+spread AS (SELECT host, distrust / nullif(trust + distrust, 0) AS share FROM r{rounds})
+SELECT page_id, host, path, rule,
+    coalesce(fit, CASE WHEN round(share, {SHARE_DIGITS}) > {THRESHOLD} THEN 'block' ELSE 'allow' END)
+        AS verdict,
+    round(share, 6) AS distrust_share
+FROM judged LEFT JOIN spread USING (host)
+"""
