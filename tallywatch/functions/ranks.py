@@ -1,10 +1,10 @@
 """Exact quantiles and average ranks without gathering a group in one task.
 
-Large inputs are first reduced to (group, value, count). Values then fall into
-buckets that keep their order and depend on the value alone, so that every
-attempt of every task agrees on them. Rank positions come from running sums
-over the bucket counts, and only the buckets that hold a wanted rank are
-sorted. A value shared by many rows is a single counted row throughout.
+Large inputs are first reduced to (group, value, count). Those rows are cut
+along (group, value) into stored chunks of even size, whatever the values are.
+Rank positions come from running sums over the chunks' counts, and only chunks
+that hold a wanted rank are sorted again. A value shared by many rows is a
+single counted row throughout.
 """
 
 from __future__ import annotations
@@ -15,13 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywatch.functions.row_windows import with_chunks
 from tallywatch.functions.scale import is_small
 
-# 2**6 = 64th root: close to a logarithm, yet built from square roots, which
-# are correctly rounded and therefore never swap two values.
-_ROOTS = 6
-_BUCKETS = 4096
-
 
 def known(value: Column) -> Column:
     """The value as a double; null if it is NaN."""
@@ -29,16 +25,6 @@ def known(value: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def _coarse(value: Column) -> Column:
-    root = reduce(lambda c, _: F.sqrt(c), range(_ROOTS), F.abs(value))
-    return F.floor(F.signum(value) * root * _BUCKETS)
-
-
-def _fine(value: Column, low: Column, high: Column) -> Column:
-    width = F.nullif(high - low, F.lit(0.0))
-    return F.coalesce(F.floor((value - low) / width * _BUCKETS), F.lit(0).cast("bigint"))
-
-
 def _running(df: DataFrame, keys: Sequence[str], order: str, count: str = "_n") -> DataFrame:
     """Add `_before`: the count of all rows in earlier positions of the group."""
     window = Window.partitionBy(*keys).orderBy(order)
@@ -52,42 +38,39 @@ def _ranks(probs: Sequence[float], total: Column) -> Column:
     return F.array_distinct(F.array(*ranks))
 
 
-def _wanted(buckets: DataFrame) -> DataFrame:
-    """One row per wanted rank, beside the bucket that holds it."""
-    inside = F.filter(
-        "_want", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
-    )
-    return buckets.withColumn("_rank", F.explode(inside)).drop("_want", "_n")
+def _placed(counts: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """The counts in chunks, and (keys, _chunk, _n, _base, _total) of every chunk.
+
+    `_base` counts the rows of the group in earlier chunks. A group has at most
+    as many rows in the second table as there are chunks.
+    """
+    chunked = with_chunks(counts, keys, [value])
+    sums = chunked.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_n"))
+    sums = _running(sums, keys, "_chunk").withColumnRenamed("_before", "_base")
+    return chunked, sums.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+
+
+def _on_chunk(rows: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside the columns of their chunk; a null key is a group of its own."""
+    names = {k: f"_of_{i}" for i, k in enumerate([*keys, "_chunk"])}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return rows.join(
+        chunks.withColumnsRenamed(names), reduce(lambda a, b: a & b, same)
+    ).drop(*names.values())
 
 
 def _select_ranks(counts: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
     """(keys, _total, _rank, _v) for each rank that the quantiles need."""
-    counts = counts.withColumn("_b", _coarse(F.col("_v")))
-    coarse = counts.groupBy(*keys, "_b").agg(
-        F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    totals = Window.partitionBy(*keys)
-    coarse = _running(coarse, keys, "_b").withColumn("_total", F.sum("_n").over(totals))
-    coarse = _wanted(coarse.withColumn("_want", _ranks(probs, F.col("_total"))))
-
-    level = [*keys, "_b", "_rank"]
-    fine_bucket = _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))
-    inside = counts.join(coarse, [*keys, "_b"]).withColumn("_f", fine_bucket)
-    fine = inside.groupBy(*level, "_f").agg(
-        F.sum("_n").alias("_n"), F.first("_before").alias("_base")
+    chunked, sums = _placed(counts, keys, "_v")
+    held = F.filter(
+        _ranks(probs, F.col("_total")),
+        lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_n")),
     )
-    fine = _running(fine, level, "_f").withColumn("_before", F.col("_before") + F.col("_base"))
-    fine = fine.where(
-        (F.col("_rank") >= F.col("_before"))
-        & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    ).select(*level, "_f", F.col("_before").alias("_base"))
-
-    rows = inside.drop("_before").join(fine, [*level, "_f"])
-    rows = _running(rows, [*level, "_f"], "_v")
-    rows = rows.withColumn("_before", F.col("_before") + F.col("_base"))
+    wanted = sums.select(*keys, "_chunk", "_base", "_total", F.explode(held).alias("_rank"))
+    rows = _running(_on_chunk(chunked, wanted, keys), [*keys, "_chunk", "_rank"], "_v")
+    first = F.col("_base") + F.col("_before")
     return rows.where(
-        (F.col("_rank") >= F.col("_before"))
-        & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        (F.col("_rank") >= first) & (F.col("_rank") < first + F.col("_n"))
     ).select(*keys, "_total", "_rank", "_v")
 
 
@@ -158,31 +141,17 @@ def exact_quantiles(
 def average_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """(group, value, average rank, group size) per distinct value, null and NaN left out.
 
-    Each sort covers one fine bucket of one group, never the group itself.
+    Each sort covers one chunk of one group, never the group itself.
     """
     keys = list(group_cols)
     counts = (
         df.where(known(F.col(value_col)).isNotNull())
         .groupBy(*keys, F.col(value_col).alias("_value"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_v", F.col("_value").cast("double"))
-        .withColumn("_b", _coarse(F.col("_v")))
-    )
-    coarse = counts.groupBy(*keys, "_b").agg(
-        F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    coarse = _running(coarse, keys, "_b").withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*keys))
-    )
-    coarse = coarse.select(*keys, "_b", "_lo", "_hi", "_total", F.col("_before").alias("_base"))
-    rows = counts.join(coarse, [*keys, "_b"]).withColumn(
-        "_f", _fine(F.col("_v"), F.col("_lo"), F.col("_hi"))
     )
-    level = [*keys, "_b", "_f"]
-    fine = rows.groupBy(*level).agg(F.sum("_n").alias("_n"))
-    fine = _running(fine, [*keys, "_b"], "_f").select(*level, F.col("_before").alias("_mid"))
-    rows = _running(rows.join(fine, level), level, "_value")
-    before = F.col("_base") + F.col("_mid") + F.col("_before")
+    chunked, sums = _placed(counts, keys, "_value")
+    rows = _running(_on_chunk(chunked, sums.drop("_n"), keys), [*keys, "_chunk"], "_value")
+    before = F.col("_base") + F.col("_before")
     return rows.select(
         *keys,
         F.col("_value"),

@@ -2,9 +2,11 @@
 
 An ordinary window puts each group in one task, which is right for tables that
 are small as a whole. In a larger table one group may hold much of the rows, so
-groups are cut at points of their sort order into chunks. Each chunk also gets
-copies of the last rows before it (its halo), so frames that reach back a fixed
-number of rows see the same rows as without the cut.
+the rows are range-partitioned by group and order and stored with the number of
+their partition: chunks of even size, of which each boundary cuts at most one
+group. A chunk also gets copies of the last rows before it in a group that was
+cut (its halo), so frames that reach back a fixed number of rows see the same
+rows as without the cut.
 """
 
 from __future__ import annotations
@@ -13,12 +15,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallywatch.functions.scale import estimated_bytes, is_small, written
+from tallywatch.functions.scale import is_small, written
 
 TIE_COLS = ("state", "district", "pincode")
-_BYTES_PER_STEP = 4 * 1024 * 1024
 
 
 def sort_columns(
@@ -40,28 +40,16 @@ def plain_window(group_cols: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy(*order)
 
 
-def _chunk_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """A coarse position that never decreases along the sort order.
+def with_chunks(df: DataFrame, group_cols: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The stored rows of `df` with `_chunk`, which never decreases along (group, order).
 
-    All sort columns but the last count in full. A number at the end counts by
-    bucket, about as many as the table has steps of 4 MB; square roots are
-    correctly rounded, so a bucket never swaps two numbers.
+    Chunks are the session's shuffle partitions, as adaptive execution merges
+    them by size. The rows are stored first, as finding even bounds reads them
+    once more, and after, so that every reader sees the same chunks.
     """
-    parts = [F.col(c).alias(f"c{i}") for i, c in enumerate(order[:-1])]
-    last, kind = order[-1], df.schema[order[-1]].dataType
-    if isinstance(kind, T.NumericType):
-        steps = min(max(estimated_bytes(df) // _BYTES_PER_STEP, 16), 1 << 30)
-        root = F.sqrt(F.sqrt(F.sqrt(F.sqrt(F.abs(F.col(last).cast("double"))))))
-        parts.append(F.floor(F.signum(last) * root * steps).alias("bucket"))
-    elif not parts and isinstance(kind, T.DateType):
-        parts.append(F.trunc(last, "MM").alias("month"))
-    elif not parts:
-        parts.append(F.col(last).alias("c0"))
-    return F.struct(*parts)
-
-
-def with_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return df.withColumn("_chunk", _chunk_key(df, order))
+    rows = written(df, "window-input")
+    placed = rows.repartitionByRange(*group_cols, *order)
+    return written(placed.withColumn("_chunk", F.spark_partition_id()), "window-chunks")
 
 
 def with_carry(df: DataFrame, group_cols: Sequence[str], order: Sequence[str], col: str) -> DataFrame:
@@ -72,8 +60,9 @@ def with_carry(df: DataFrame, group_cols: Sequence[str], order: Sequence[str], c
     before = plain_window(keys, ["_chunk"]).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
         *keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry")
-    )
-    return df.join(carried, [*keys, "_chunk"], "left")
+    ).where(F.col("_carry").isNotNull())
+    # Only a chunk's first group can have earlier chunks: at most one row per chunk.
+    return df.join(F.broadcast(carried), [*keys, "_chunk"], "left")
 
 
 def with_halo(
@@ -81,17 +70,24 @@ def with_halo(
 ) -> DataFrame:
     """Rows of `df` plus, per chunk, the `lookback` rows before it (`_halo`).
 
-    Only the last rows of each chunk can serve as halo, so what is copied and
-    matched grows with the number of chunks, not with the number of rows.
+    Only groups that lie in several chunks need one, at most one for each
+    boundary between chunks; of those only the last rows of each chunk are
+    copied. So the copies grow with the number of chunks, not of rows or groups.
     """
-    keys = list(group_cols)
+    keys, cut = list(group_cols), df
+    if keys:
+        ends = df.groupBy(*keys).agg(F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi"))
+        # At most one group for each boundary between chunks.
+        spanning = F.broadcast(ends.where("_lo < _hi").select(*keys))
+        cut = df.join(spanning, keys, "left_semi")
     newest = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
     tails = (
-        df.withColumn("_q", F.row_number().over(newest))
+        cut.withColumn("_q", F.row_number().over(newest))
         .where(F.col("_q") <= lookback)
         .withColumn("_q", F.col("_q") - 1)
     )
     along = plain_window(keys, ["_chunk"])
+    # Without keys this is one task over one row for each chunk.
     chunks = (
         tails.groupBy(*keys, "_chunk")
         .agg(F.count("*").alias("_t"))
@@ -121,10 +117,13 @@ def over_rows(
     split: bool | None,
     lookback: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
+    chunked: bool = False,
 ) -> DataFrame:
     """Add window columns that look back at most `lookback` rows in the group.
 
-    Rows without a complete group key get NULL, as they belong to no group.
+    Rows without a complete group key get NULL, as they belong to no group. A
+    split run stores tables while it is being built. `chunked` tells that `df`
+    comes from `with_chunks` and needs no other cut.
     """
     keys = list(group_cols or [])
     order = sort_columns(df, keys, order_cols)
@@ -140,10 +139,10 @@ def over_rows(
 
     if not must_split(df, split):
         return df.withColumns(masked(plain_window(keys, order)))
-    # The rows and their halo both read the table: store it, do not derive it twice.
+    # The rows and their halo all read the chunks: store them, do not derive them twice.
     # The result is stored too, so a chain of features does not nest these plans.
-    stored = written(df, "window-input")
-    padded = with_halo(with_chunks(stored, order), keys, order, lookback)
+    stored = written(df, "window-chunks") if chunked else with_chunks(df, keys, order)
+    padded = with_halo(stored, keys, order, lookback)
     window = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     done = padded.withColumns(masked(window)).where(~F.col("_halo")).drop("_halo", "_chunk")
     return written(done, "window-output")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -24,8 +25,15 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a table of values from `df` is proven to fit in one task."""
+    """Whether `df` is estimated to fit in one task; a choice of plan, never of results.
+
+    A plan that multiplies rows (explode and its kin) is never small, as the
+    estimate does not count them.
+    """
     limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if re.search(r"^\W*Generate ", plan.toString(), re.MULTILINE):
+        return False
     return estimated_bytes(df) <= limit
 
 
@@ -81,12 +89,11 @@ def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join per-group statistics of `df` back to its rows.
 
-    The statistics cannot outgrow `df`, so they are broadcast when `df` itself
-    is small. Otherwise they are written first: Catalyst then broadcasts them
-    only if the stored size allows it and else uses a sort-merge join, whose
-    hot keys adaptive execution splits.
+    Spark picks the join. On larger inputs the statistics are written first, so
+    that it knows their size: it broadcasts them only if that allows it and else
+    uses a sort-merge join, whose hot keys adaptive execution splits.
     """
     keys = list(keys)
-    if is_small(df):
-        return df.join(F.broadcast(stats), keys, "left")
-    return df.join(written(stats, "group-stats"), keys, "left")
+    if not is_small(df):
+        stats = written(stats, "group-stats")
+    return df.join(stats, keys, "left")

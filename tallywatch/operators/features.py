@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tallywatch.operators.demographic import adult_child_ratio, age_imbalance
 from tallywatch.operators.outliers import zscore_analysis
-from tallywatch.operators.temporal import growth_rate, seasonal_indicator, volatility
+from tallywatch.operators.temporal import seasonal_indicator, series_features
 from tallywatch.schema import AGE_COLS
 
 
@@ -20,8 +20,7 @@ def enrich(
 ) -> DataFrame:
     """Temporal, seasonal, demographic and spike features."""
     groups = list(group_cols)
-    df = growth_rate(df, value_col, groups, split=split)
-    df = volatility(df, value_col, groups, split=split)
+    df = series_features(df, value_col, groups, split=split, trend=False)
     if "date" in df.columns:
         df = seasonal_indicator(df, value_col=value_col)
     if all(c in df.columns for c in AGE_COLS):

@@ -39,8 +39,6 @@ SHAPE_NAMES = {
 # Both tables together; where they differ, the spelling table wins.
 ALL_NAMES = {k.title(): v for k, v in {**SHAPE_NAMES, **SPELLINGS}.items()}
 
-MAX_GRID_COLUMNS = 10000
-
 
 def _lookup(names: dict[str, str], key: Column) -> Column:
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(names.items())])
@@ -137,15 +135,6 @@ def top_regions(
     return df.orderBy(F.desc_nulls_last(value_col), *ties).limit(n)
 
 
-def grid_values(df: DataFrame, x_col: str = "state") -> list[str]:
-    """The columns of a grid, refused beyond Spark's own limit for pivots."""
-    rows = df.select(x_col).where(F.col(x_col).isNotNull()).distinct()
-    found = [r[0] for r in rows.limit(MAX_GRID_COLUMNS + 1).collect()]
-    if len(found) > MAX_GRID_COLUMNS:
-        raise ValueError(f"more than {MAX_GRID_COLUMNS} values of {x_col} for a grid")
-    return sorted(found)
-
-
 def risk_grid(
     df: DataFrame,
     values: Sequence[str] | None = None,
@@ -153,12 +142,24 @@ def risk_grid(
     y_col: str = "date",
     value_col: str = "risk_score",
 ) -> DataFrame:
-    """Mean value per date and region, regions as columns, gaps as 0."""
-    columns = list(values) if values is not None else grid_values(df, x_col)
-    pivoted = not_null(df, [y_col]).groupBy(y_col).pivot(x_col, columns)
+    """Mean value per date and region, regions as columns, gaps as 0.
+
+    Without `values` Spark finds the regions and refuses more of them than
+    spark.sql.pivotMaxValues allows columns.
+    """
+    grouped = not_null(df, [y_col] if values is not None else [y_col, x_col]).groupBy(y_col)
+    pivoted = grouped.pivot(x_col, None if values is None else list(values))
     return pivoted.agg(F.avg(value_col)).na.fill(0.0)
 
 
+def grid_rows(
+    grid: DataFrame, x_col: str = "state", y_col: str = "date", value_col: str = "risk_score"
+) -> DataFrame:
+    """The cells of a grid as rows, whatever its columns are."""
+    columns = [c for c in grid.columns if c != y_col]
+    return grid.unpivot([y_col], columns, x_col, value_col)
+
+
 def district_bubbles(
     df: DataFrame, size_col: str = "total_enrolments", color_col: str = "risk_score", n: int = 50
 ) -> DataFrame:

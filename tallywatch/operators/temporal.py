@@ -6,9 +6,9 @@ several tasks; by default the size of the table decides (functions/row_windows).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import ratio
@@ -20,10 +20,10 @@ from tallywatch.functions.row_windows import (
     with_carry,
     with_chunks,
 )
-from tallywatch.functions.scale import written
 from tallywatch.schema import ROLLING_WINDOW, VOLATILITY_WINDOW
 
 Cols = Sequence[str] | None
+WindowColumns = Callable[[WindowSpec], dict[str, Column]]
 
 
 def _last_rows(window: WindowSpec, n: int) -> WindowSpec:
@@ -31,21 +31,53 @@ def _last_rows(window: WindowSpec, n: int) -> WindowSpec:
 
 
 def _pad(df: DataFrame, value_col: str, keys: list[str], order: list[str], split: bool) -> DataFrame:
-    """Add `_filled`: the value, or the last one before it in the group."""
+    """Add `_filled`: the value, or the last one before it in the group.
+
+    A split result keeps the `_chunk` of its rows.
+    """
     if not split:
         history = plain_window(keys, order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         return df.withColumn("_filled", F.last(value_col, ignorenulls=True).over(history))
-    stored = written(df, "growth-input")
-    carried = with_carry(with_chunks(stored, order), keys, order, value_col)
+    carried = with_carry(with_chunks(df, keys, order), keys, order, value_col)
     within = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = F.coalesce(F.last(value_col, ignorenulls=True).over(within), F.col("_carry"))
-    return carried.withColumn("_filled", filled).drop("_carry", "_chunk")
+    return carried.withColumn("_filled", filled).drop("_carry")
+
+
+def _growth(source: str, periods: int) -> WindowColumns:
+    return lambda w: {"growth_rate": ratio(F.col(source), F.lag(source, periods).over(w)) - 1}
+
+
+def _volatility(value_col: str, window: int) -> WindowColumns:
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        frame = _last_rows(w, window)
+        std = F.stddev_samp(value_col).over(frame)
+        return {"volatility": std, "volatility_cv": ratio(std, F.avg(value_col).over(frame))}
+
+    return columns
+
+
+def _averages(value_col: str, window: int) -> WindowColumns:
+    return lambda w: {
+        "ma_short": F.avg(value_col).over(_last_rows(w, window)),
+        "ma_long": F.avg(value_col).over(_last_rows(w, 2 * window)),
+    }
+
+
+def _with_trend(averaged: DataFrame) -> DataFrame:
+    strength = F.col("trend_strength")
+    return averaged.withColumn(
+        "trend_strength", ratio(F.col("ma_short") - F.col("ma_long"), F.col("ma_long"))
+    ).withColumn(
+        "trend_direction",
+        F.when(strength > 0.05, "upward").when(strength < -0.05, "downward").otherwise("stable"),
+    )
 
 
 def growth_rate(
@@ -64,18 +96,11 @@ def growth_rate(
     keys = list(group_cols or [])
     order = sort_columns(df, keys, order_cols)
     splits = must_split(df, split)
-    columns = df.columns
-    source = value_col
-    if fill == "pad":
+    columns, source, pads = df.columns, value_col, fill == "pad"
+    if pads:
         df, source = _pad(df, value_col, keys, order, splits), "_filled"
-    out = over_rows(
-        df,
-        keys,
-        order,
-        splits,
-        periods,
-        lambda w: {"growth_rate": ratio(F.col(source), F.lag(source, periods).over(w)) - 1},
-    )
+    new = _growth(source, periods)
+    out = over_rows(df, keys, order, splits, periods, new, chunked=pads and splits)
     return out.select(*[c for c in columns if c != "growth_rate"], "growth_rate")
 
 
@@ -88,13 +113,8 @@ def volatility(
     split: bool | None = None,
 ) -> DataFrame:
     """Rolling sample deviation, absolute and relative to the rolling mean."""
-
-    def columns(w: WindowSpec):
-        frame = _last_rows(w, window)
-        std = F.stddev_samp(value_col).over(frame)
-        return {"volatility": std, "volatility_cv": ratio(std, F.avg(value_col).over(frame))}
-
-    return over_rows(df, group_cols, order_cols, split, window - 1, columns)
+    new = _volatility(value_col, window)
+    return over_rows(df, group_cols, order_cols, split, window - 1, new)
 
 
 def rolling_mean(
@@ -124,24 +144,34 @@ def trends(
     split: bool | None = None,
 ) -> DataFrame:
     """Short against long moving average, as a ratio and as a direction."""
-    averaged = over_rows(
-        df,
-        group_cols,
-        order_cols,
-        split,
-        2 * window - 1,
-        lambda w: {
-            "ma_short": F.avg(value_col).over(_last_rows(w, window)),
-            "ma_long": F.avg(value_col).over(_last_rows(w, 2 * window)),
-        },
-    )
-    strength = F.col("trend_strength")
-    return averaged.withColumn(
-        "trend_strength", ratio(F.col("ma_short") - F.col("ma_long"), F.col("ma_long"))
-    ).withColumn(
-        "trend_direction",
-        F.when(strength > 0.05, "upward").when(strength < -0.05, "downward").otherwise("stable"),
-    )
+    new = _averages(value_col, window)
+    return _with_trend(over_rows(df, group_cols, order_cols, split, 2 * window - 1, new))
+
+
+def series_features(
+    df: DataFrame,
+    value_col: str = "total_enrolments",
+    group_cols: Cols = None,
+    order_cols: Cols = None,
+    split: bool | None = None,
+    trend: bool = True,
+) -> DataFrame:
+    """Growth, volatility and, with `trend`, trends together, over one cut of the rows."""
+    keys = list(group_cols or [])
+    order = sort_columns(df, keys, order_cols)
+    splits = must_split(df, split)
+    parts = [_growth("_filled", 1), _volatility(value_col, VOLATILITY_WINDOW)]
+    lookback = VOLATILITY_WINDOW - 1
+    if trend:
+        parts.append(_averages(value_col, ROLLING_WINDOW))
+        lookback = max(lookback, 2 * ROLLING_WINDOW - 1)
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        return {name: c for part in parts for name, c in part(w).items()}
+
+    filled = _pad(df, value_col, keys, order, splits)
+    out = over_rows(filled, keys, order, splits, lookback, columns, chunked=splits).drop("_filled")
+    return _with_trend(out) if trend else out
 
 
 def seasonal_indicator(

@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallywatch.functions import ranks, row_windows, scale
 from tallywatch.functions.columns import nan_to_null
 from tallywatch.functions.ranks import exact_quantiles
-from tallywatch.functions import ranks
 from tallywatch.operators import outliers, temporal
 
 
@@ -164,12 +164,79 @@ def test_split_windows_of_a_daily_series(spark):
     assert split == plain
 
 
-def test_large_input_without_groups_is_split(spark, large_paths):
-    df = spark.createDataFrame(record_frame()).drop("state")
-    out = temporal.rolling_mean(df, order_cols=["date", "event_id"])
-    assert out.count() == 700
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+def test_series_features_equal_their_parts(spark):
+    frame = record_frame()
+    df = spark.createDataFrame(frame).withColumn(
+        "total_enrolments", F.when(~F.isnan("total_enrolments"), F.col("total_enrolments"))
+    )
+    shared = dict(group_cols=["state"], order_cols=["date", "event_id"])
+    parts = temporal.growth_rate(df, split=False, **shared)
+    parts = temporal.volatility(parts, split=False, **shared)
+    parts = temporal.trends(parts, split=False, **shared)
+    want = parts.toPandas().set_index("event_id").sort_index()
+    for split in (True, False):
+        got = temporal.series_features(df, split=split, **shared)
+        got = got.toPandas().set_index("event_id").sort_index()
+        pd.testing.assert_frame_equal(got, want, check_like=True)
+
+
+@pytest.fixture
+def eight_chunks(spark):
+    """Chunks as on a large table, where adaptive execution does not merge them."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {n: spark.conf.get(n) for n in names}
+    for name, value in zip(names, ("8", "false")):
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("group", [[], ["state"], ["event_id"]])
+def test_chunks_are_even_and_halos_few(spark, eight_chunks, group):
+    """Whatever the groups are: one hot group, two, or one for each row."""
+    df = spark.createDataFrame(record_frame(4000))
+    order, lookback = ["date", "event_id"], 5
+    chunked = row_windows.with_chunks(df, group, order)
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * 4000 / len(sizes)
+    padded = row_windows.with_halo(chunked, group, order, lookback)
+    assert padded.where("_halo").count() <= lookback * (len(sizes) - 1)
+    plan = padded._jdf.queryExecution().executedPlan().toString()
+    # Without groups one task orders the chunks, of which it sees one row each.
+    assert plan.count("SinglePartition") <= (0 if group else 2)
+
+
+def test_rows_that_an_explode_multiplies_are_not_small(spark):
+    few = spark.range(10).withColumn("v", F.lit(1.5))
+    assert scale.is_small(few)
+    assert not scale.is_small(few.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10**7)))))
+
+
+def test_ranks_of_close_values_and_one_far_away(spark, large_paths, eight_chunks):
+    """Many values within a thousandth, and one that is not: no task gets them all."""
+    rng = np.random.default_rng(8)
+    values = np.append(1e6 + rng.random(20_000) / 1000, 1e6 + 200)
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    row = ranks.exact_quantiles(df, {"mid": ("v", 0.5), "high": ("v", 0.95)}).first()
+    assert row.mid == np.quantile(values, 0.5)
+    assert row.high == pytest.approx(np.quantile(values, 0.95), rel=1e-15)
+    found = ranks.average_ranks(df, "v").toPandas()
+    want = dict(zip(values, pd.Series(values).rank()))
+    assert dict(zip(found["_value"], found["_rank"])) == want
+    counts = df.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
+    chunked, sums = ranks._placed(counts, [], "_v")
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert max(sizes) < 2 * len(values) / len(sizes) and len(sizes) == sums.count() > 2
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_quantiles_of_rows_without_a_group(spark, large, request):
+    if large:
+        request.getfixturevalue("large_paths")
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), (None, 4.0)], "g string, v double")
+    rows = ranks.exact_quantiles(df, {"mid": ("v", 0.5)}, ["g"]).collect()
+    assert {(r.g, r.mid) for r in rows} == {("a", 1.0), (None, 3.0)}
 
 
 @pytest.mark.parametrize("large", [False, True])
