@@ -150,6 +150,16 @@ TEMPORAL = [
         lambda t: temporal.trends(_record_totals(t), order_cols=BY_EVENT, split=True),
         _rolling_sql(RECORD_TOTALS, "", "date, event_id"),
     ),
+    Query(
+        "series_features_state_records",
+        "date state event_id growth_rate:d volatility:d volatility_cv:d ma_short:d ma_long:d "
+        "trend_strength:d trend_direction",
+        lambda t: temporal.series_features(
+            _record_totals(t), group_cols=["state"], order_cols=BY_EVENT, split=True
+        ),
+        f"SELECT r.*, g.growth_rate FROM ({_rolling_sql(RECORD_TOTALS, 'state', 'date, event_id')}) AS r "
+        f"JOIN ({_growth_sql(RECORD_TOTALS, 'state', 'date, event_id')}) AS g USING (event_id)",
+    ),
     Query(
         "seasonal_indicator",
         f"{SERIES} month:i day_of_week:i is_weekend:i seasonal_factor:d seasonal_deviation:d",

@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.core import Query
-from catalog.tables import STRIP, TITLE, Tables
+from catalog.tables import (
+    CTES,
+    PIPELINE_WEIGHTS,
+    STRIP,
+    TITLE,
+    Tables,
+    daily_sql,
+    features_sql,
+    demographic_sql,
+    risk_sql,
+)
 from tallywatch.functions.scale import new_path
 from tallywatch.operators import aggregate, clean, quality
+from tallywatch.plans.pipeline import run_full_analysis
 from tallywatch.schema import RECORD_COLS
 from tallywatch.sources import enrolment
 
@@ -446,4 +457,50 @@ AGGREGATES = [
     ),
 ]
 
-QUERIES = [*SOURCES, *CLEAN, *QUALITY, *AGGREGATES]
+CTES |= {
+    "cleaned": CLEAN_SQL,
+    "clean_states": daily_sql(
+        "cleaned",
+        "date, state",
+        "count(DISTINCT district) AS district_count, count(DISTINCT pincode) AS pincode_count",
+    ),
+    "clean_windows": features_sql("clean_states", "state"),
+    "clean_features": demographic_sql("clean_windows"),
+    "clean_risky": risk_sql("clean_features", PIPELINE_WEIGHTS),
+}
+
+ANALYSIS = [
+    Query(
+        "full_analysis_states",
+        "date state total_enrolments:l district_count:l pincode_count:l growth_rate:d "
+        "volatility_cv:d trend_direction demographic_imbalance:d risk_score:d risk_level",
+        lambda t: run_full_analysis(t.enrol_dirty).state_analysis,
+        "SELECT * FROM clean_risky",
+    ),
+    Query(
+        "full_analysis_districts",
+        "date state district total_enrolments:l pincode_count:l child_ratio:d",
+        lambda t: run_full_analysis(t.enrol_dirty).district_daily,
+        daily_sql("cleaned", "date, state, district", "count(DISTINCT pincode) AS pincode_count"),
+    ),
+    Query(
+        "full_analysis_risk_levels",
+        "risk_level records:l",
+        lambda t: run_full_analysis(t.enrol_dirty)
+        .state_analysis.groupBy("risk_level")
+        .agg(F.count("*").alias("records")),
+        "SELECT risk_level, count(*) AS records FROM clean_risky GROUP BY risk_level",
+    ),
+    Query(
+        "full_analysis_summary",
+        "total_records:l date_start:t date_end:t states:l districts:l total_enrolments:l mean_total:d",
+        lambda t: run_full_analysis(t.enrol_dirty).data_summary,
+        """
+        SELECT count(*) AS total_records, min(date) AS date_start, max(date) AS date_end,
+               count(DISTINCT state) AS states, count(DISTINCT district) AS districts,
+               sum(total_enrolments) AS total_enrolments, avg(total_enrolments) AS mean_total
+        FROM cleaned""",
+    ),
+]
+
+QUERIES = [*ANALYSIS, *SOURCES, *CLEAN, *QUALITY, *AGGREGATES]

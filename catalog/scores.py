@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -295,7 +296,114 @@ def _scale_sql(cols) -> str:
     )
 
 
+# Two small trees with given cuts, so that SQL can walk them. The share of the
+# rows in each leaf is what its size says; only the walk is under test.
+_PLANTED_NODES = [
+    # tree, node, feature, threshold, left, right, size, depth
+    (0, 0, 0, 0.5, 1, 2, 256, 0),
+    (0, 1, -1, 0.0, -1, -1, 200, 1),
+    (0, 2, 1, 0.25, 3, 4, 56, 1),
+    (0, 3, -1, 0.0, -1, -1, 40, 2),
+    (0, 4, -1, 0.0, -1, -1, 16, 2),
+    (1, 0, 1, -0.75, 1, 2, 256, 0),
+    (1, 1, -1, 0.0, -1, -1, 2, 1),
+    (1, 2, -1, 0.0, -1, -1, 254, 1),
+]
+
+
+def _gappy_totals(t: Tables) -> DataFrame:
+    total = F.when(F.col("event_id") % 5 != 0, F.col("total"))
+    return _with_total(t).withColumn("total", total)
+
+
+def _planted_forest() -> iforest.IsolationForestModel:
+    scaling = iforest.Scaling(("total", "age_0_5"), (0.0, 0.0), (20.0, 3.0), (10.0, 2.0))
+    names = [f.split()[0] for f in iforest.NODE_SCHEMA.split(", ")]
+    nodes = pd.DataFrame(_PLANTED_NODES, columns=names)
+    return iforest.IsolationForestModel(scaling, nodes, 256, 0.5, (0.0, 1.0))
+
+
+def _path(depth: int, size: int) -> str:
+    """Depth of a leaf and the mean depth of a search among its points."""
+    if size == 2:
+        return f"({depth} + 1.0)"
+    return f"({depth} + 2 * (ln({size - 1}.0) + 0.5772156649015329) - 2 * {size - 1} / {size}::DOUBLE)"
+
+
+_PLANTED_SQL = f"""
+    SELECT event_id, score > 0.5 AS is_anomaly, score - 0.5 AS anomaly_score,
+           (score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0)
+             AS anomaly_score_normalized
+    FROM (
+      SELECT event_id, pow(2.0, -(
+               CASE WHEN f0 <= 0.5 THEN {_path(1, 200)} WHEN f1 <= 0.25 THEN {_path(2, 40)}
+                    ELSE {_path(2, 16)} END
+               + CASE WHEN f1 <= -0.75 THEN {_path(1, 2)} ELSE {_path(1, 254)} END
+             ) / 2 / {_path(0, 256)}) AS score
+      FROM (SELECT event_id, (coalesce(total, middle) - 20) / 10::DOUBLE AS f0,
+                   (age_0_5 - 3) / 2::DOUBLE AS f1
+            FROM (SELECT event_id, age_0_5, CASE WHEN event_id % 5 <> 0 THEN total END AS total
+                  FROM {_TOTALLED}) AS g,
+                 (SELECT median(total) AS middle FROM {_TOTALLED} WHERE event_id % 5 <> 0) AS m) AS f
+    ) AS s"""
+
+
+def _tree_shapes(t: Tables) -> DataFrame:
+    """Per fitted tree: rows at the root and in the leaves, and whether its form is sound."""
+    is_leaf = F.col("feature") == iforest.LEAF
+    return (
+        _detector(t)[0]
+        .tree_table(t.spark)
+        .groupBy("tree")
+        .agg(
+            F.max(F.when(F.col("node") == 0, F.col("size"))).alias("root_size"),
+            F.sum(F.when(is_leaf, F.col("size"))).alias("leaf_size"),
+            (F.count("*") == 2 * F.count_if(is_leaf) - 1).alias("is_binary"),
+            (F.max("depth") <= 8).alias("is_bounded"),
+            F.count_if((F.col("size") > 1) & is_leaf & (F.col("depth") < 7)).alias("n_early"),
+        )
+    )
+
+
 FOREST = [
+    Query(
+        "forest_planted_scores",
+        "event_id:l is_anomaly anomaly_score:d anomaly_score_normalized:d",
+        lambda t: _planted_forest().transform(_gappy_totals(t)),
+        _PLANTED_SQL,
+    ),
+    Query(
+        "forest_tree_shapes",
+        "tree:l root_size:l leaf_size:l is_binary is_bounded n_early:l",
+        _tree_shapes,
+        """
+        SELECT unnest(range(100)) AS tree, n AS root_size, n AS leaf_size, true AS is_binary,
+               true AS is_bounded, 0 AS n_early
+        FROM (SELECT least(256, count(*)) AS n FROM features) AS f""",
+    ),
+    Query(
+        "forest_flagged_share",
+        "flagged:l rows:l lowest_above:b",
+        lambda t: iforest.detect_anomalies(_daily_features(t), PIPELINE_FEATURES, 0.1).agg(
+            F.count_if("is_anomaly").alias("flagged"),
+            F.count("*").alias("rows"),
+            (
+                F.min(F.when(F.col("is_anomaly"), F.col("anomaly_score")))
+                > F.max(F.when(~F.col("is_anomaly"), F.col("anomaly_score")))
+            ).alias("lowest_above"),
+        ),
+        "SELECT count(*) - 1 - floor((count(*) - 1) * 0.9) AS flagged, count(*) AS rows, "
+        "true AS lowest_above FROM features",
+    ),
+    Query(
+        "forest_importance_total",
+        "total:d n_out_of_range:l",
+        lambda t: iforest.feature_importance(_detector(t)[0], t.spark).agg(
+            F.sum("importance").alias("total"),
+            F.count_if(~F.col("importance").between(0, 1)).alias("n_out_of_range"),
+        ),
+        "SELECT CASE WHEN count(*) > 1 THEN 1.0 END AS total, 0 AS n_out_of_range FROM features",
+    ),
     Query(
         "forest_feature_scaling",
         "date state " + " ".join(f"scaled_{c}:d" for c in PIPELINE_FEATURES),

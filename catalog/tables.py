@@ -141,7 +141,7 @@ class Tables:
         )
 
 
-def _daily(source: str, keys: str, distinct: str) -> str:
+def daily_sql(source: str, keys: str, distinct: str) -> str:
     return f"""
     SELECT *, (age_0_5 + age_5_17) / nullif(total_enrolments, 0)::DOUBLE AS child_ratio,
            age_18_greater / nullif(total_enrolments, 0)::DOUBLE AS adult_ratio
@@ -154,7 +154,7 @@ def _daily(source: str, keys: str, distinct: str) -> str:
     ) AS sums"""
 
 
-def _features(source: str, group: str) -> str:
+def features_sql(source: str, group: str) -> str:
     """Growth, volatility and trend columns per group."""
     return f"""
     SELECT *, (ma_short - ma_long) / nullif(ma_long, 0) AS trend_strength,
@@ -272,23 +272,23 @@ CTES = {
            age_18_greater
     FROM enrol_events, (SELECT unnest([1, 2]) AS copy) AS copies
     WHERE copy = 1 OR event_id % 29 = 0""",
-    "event_states": _daily(
+    "event_states": daily_sql(
         "enrol_events",
         "date, state",
         "count(DISTINCT district) AS district_count, count(DISTINCT pincode) AS pincode_count",
     ),
-    "order_states": _daily(
+    "order_states": daily_sql(
         "enrol_orders",
         "date, state",
         "count(DISTINCT district) AS district_count, count(DISTINCT pincode) AS pincode_count",
     ),
-    "event_districts": _daily(
+    "event_districts": daily_sql(
         "enrol_events", "date, state, district", "count(DISTINCT pincode) AS pincode_count"
     ),
     "gappy": """
     SELECT date, state, CASE WHEN isodow(date) <> 7 THEN total_enrolments END AS total_enrolments
     FROM event_states""",
-    "windowed": _features("event_states", "state"),
+    "windowed": features_sql("event_states", "state"),
     "features": demographic_sql("windowed"),
     "risky": risk_sql("features", PIPELINE_WEIGHTS),
     "scored": """
@@ -300,9 +300,9 @@ CTES = {
     SELECT s.*, total_enrolments / nullif(mm, 0) - 1 AS seasonal_deviation
     FROM features AS s JOIN (SELECT month(date) AS m, avg(total_enrolments) AS mm
                              FROM features GROUP BY 1) AS months ON month(s.date) = m""",
-    "order_windows": _features("order_states", "state"),
+    "order_windows": features_sql("order_states", "state"),
     "order_features": demographic_sql("order_windows"),
-    "district_windows": _features("event_districts", "state, district"),
+    "district_windows": features_sql("event_districts", "state, district"),
     "district_features": demographic_sql("district_windows"),
     "scored_districts": risk_sql("district_features", PIPELINE_WEIGHTS),
 }

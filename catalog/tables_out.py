@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.core import Query
 from catalog.tables import Tables
+from tallywatch.functions.scale import written
 from tallywatch.operators import alerts, geo, reports
 from tallywatch.plans.dashboard import latest_alerts
 
@@ -278,14 +279,12 @@ MAPS = [
     ),
     Query(
         "risk_grid",
-        "date click:d error:d purchase:d signup:d view:d",
-        lambda t: geo.risk_grid(t.scored, ["click", "error", "purchase", "signup", "view"]),
-        "SELECT date, "
-        + ", ".join(
-            f"coalesce(avg(risk_score) FILTER (state = '{s}'), 0) AS {s}"
-            for s in ("click", "error", "purchase", "signup", "view")
-        )
-        + " FROM scored GROUP BY date",
+        "date state risk_score:d",
+        lambda t: geo.grid_rows(geo.risk_grid(written(t.scored, "scored"))),
+        """
+        SELECT date, state, coalesce(avg(risk_score), 0) AS risk_score
+        FROM (SELECT DISTINCT date FROM scored) AS d CROSS JOIN (SELECT DISTINCT state FROM scored) AS x
+        LEFT JOIN scored USING (date, state) GROUP BY date, state""",
     ),
     Query(
         "district_bubbles",

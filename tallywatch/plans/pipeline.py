@@ -19,9 +19,7 @@ BY_STATE = ["state"]
 def state_features(state_daily: DataFrame) -> DataFrame:
     """Temporal and demographic features; all windows share one sort."""
     return (
-        temporal.growth_rate(state_daily, group_cols=BY_STATE)
-        .transform(temporal.volatility, group_cols=BY_STATE)
-        .transform(temporal.trends, group_cols=BY_STATE)
+        temporal.series_features(state_daily, group_cols=BY_STATE)
         .transform(demographic.age_imbalance)
         .transform(demographic.adult_child_ratio)
     )
@@ -59,14 +57,18 @@ def run_full_analysis(
     contamination: float | None = None,
     output_dir: str | None = None,
 ) -> Analysis:
-    """Clean, check, aggregate, add features, detect anomalies, score."""
-    records = clean_data(raw)
+    """Clean, check, aggregate, add features, detect anomalies, score.
+
+    The raw rows are read once: cleaned records are stored, and what follows
+    reads the columns it needs of them.
+    """
+    records = written(clean_data(raw), "clean-records")
     daily = written(aggregate.aggregate_by_state(records), "state-daily")
     features = state_features(daily)
     cols = [c for c in feature_cols if c in features.columns]
     flagged = written(iforest.detect_anomalies(features, cols, contamination), "state-flagged")
     states = score_states(flagged)
-    districts = aggregate.aggregate_by_district(records)
+    districts = written(aggregate.aggregate_by_district(records), "district-daily")
     if output_dir:
         write_csv(states.orderBy("date", "state"), f"{output_dir}/state_analysis")
         write_csv(districts.orderBy("date", "state", "district"), f"{output_dir}/district_analysis")

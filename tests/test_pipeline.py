@@ -9,6 +9,7 @@ import __spark_entry__ as driver
 from catalog.tables import Tables
 from tallywatch.functions import scale
 from tallywatch.operators import aggregate, outliers, temporal
+from tallywatch.plans import pipeline
 from tallywatch.plans.dashboard import dashboard_tables
 from tallywatch.plans.pipeline import run_full_analysis, state_risk
 from tallywatch.sources import enrolment
@@ -94,6 +95,26 @@ def test_full_analysis(spark, tmp_path, records):
     assert written.count() == states.count()
 
 
+@pytest.fixture
+def stored(monkeypatch):
+    """(label, plan) of the tables that the pipelines store."""
+    seen, real = [], pipeline.written
+
+    def spy(df, label):
+        seen.append((label, plan_of(df)))
+        return real(df, label)
+
+    monkeypatch.setattr(pipeline, "written", spy)
+    return seen
+
+
+def test_full_analysis_reads_the_raw_rows_once(records, stored):
+    result = run_full_analysis(records)
+    assert [label for label, plan in stored if "events.parquet" in plan] == ["clean-records"]
+    for table in vars(result).values():
+        assert "events.parquet" not in plan_of(table)
+
+
 def test_dashboard(records):
     tables = dashboard_tables(records)
     assert tables["kpis"].first().anomaly_rate > 0
@@ -151,9 +172,10 @@ def test_pipeline_windows_share_one_sort(spark, records):
     assert plan.count("Sort [") == 1
 
 
-def test_flagship_scans_the_records_once(spark, records):
+def test_flagship_scans_the_records_once(records, stored):
     plan = plan_of(state_risk(records))
     assert "events.parquet" not in plan
+    assert [p.count("events.parquet") for _, p in stored] == [1]
 
 
 def test_global_statistics_use_no_window(spark, records):
