@@ -166,22 +166,18 @@ def fit(
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Feature lists stay in Arrow's buffers, one flat array for each batch.
-        parts, docs_with = [], np.zeros(1 << BITS, dtype=np.int64)
+        # One list at a time: a batch's copies and sums would be several times its size.
+        rows, docs_with = [], np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
-            lists = batch.column(3)
-            ends = np.frombuffer(lists.buffers()[1], dtype=np.int32, count=len(lists) + 1) // 4
-            places = np.frombuffer(lists.buffers()[2], dtype=np.int32)[: ends[-1]]
-            docs_with += np.bincount(places, minlength=1 << BITS)
-            parts.append((ends, places, *(batch.column(i).to_pylist() for i in range(3))))
+            ids, ys, ats = (batch.column(i).to_pylist() for i in range(3))
+            for at, doc, y, raw in zip(ats, ids, ys, batch.column(3), strict=True):
+                places = np.frombuffer(raw.as_buffer(), dtype=np.int32)
+                docs_with[places] += 1  # a list holds a place once
+                rows.append((at, doc, y, places))
         found = []
-        while parts:
-            ends, places, *rest = parts.pop()
-            kept = docs_with[places] >= MIN_DOCS
-            bounds = np.concatenate(([0], np.cumsum(kept)))[ends]
-            places = places[kept]
-            lists = (places[i:j] for i, j in zip(bounds, bounds[1:]))
-            found += zip(rest[2], rest[0], rest[1], lists)
+        while rows:
+            *key, places = rows.pop()
+            found.append((*key, places[docs_with[places] >= MIN_DOCS]))
         found.sort(key=lambda r: r[:2])
         w = ftrl([r[3] for r in found], np.array([r[2] for r in found], dtype=float))
         at = np.flatnonzero(w)
