@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -551,3 +552,45 @@ def test_given_pages_keep_their_articles(spark):
 
         blocks = [" ".join(html.unescape(b).split()) for b in blocks]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("name", ["op2_url_graph", "op3_decontaminate", "op9_mixing"])
+def test_sql_twins_on_awkward_rows(spark, tmp_path, edge, name):
+    """Nulls, empty texts, repeated rows and an item shorter than a window, in both forms."""
+    duck = duckdb.connect()
+    words_13 = " ".join(f"b{i}" for i in range(13))
+    page = '<a href="//B.org/x">b</a> <a <a class=x href=http://net>n</a>'
+    tables = {
+        "documents": edge.unionByName(
+            spark.createDataFrame(
+                [(7, f"So: {words_13} and more", "c", None, None, None), (8, "b3", "c", None, None, None)],
+                DOCS,
+            )
+        ),
+        "benchmark": spark.createDataFrame(
+            [("i2", words_13 + " b13"), ("i1", "TEXT, that"), ("i0", None), ("i3", "is here"), ("i3", "É")],
+            "item_id string, text string",
+        ),
+        "pages": spark.createDataFrame(
+            [
+                (1, "http://a.net/es/1", page),
+                (2, "http://B.org/", None),
+                (3, None, ""),
+                (3, None, ""),
+                (4, "nothing", page),
+                (5, "https://sub.b.org?q", ""),
+                (None, "x://Example.com/en/", page),
+                (6, "http://example.com", None),
+            ],
+            "page_id long, url string, html string",
+        ),
+    }
+    for table, df in tables.items():
+        path = str(tmp_path / f"{table}.parquet")
+        df.coalesce(1).write.parquet(path)
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    result = duck.execute(queries.ORACLES[name])
+    assert got.columns == [d[0] for d in result.description]
+    want = result.fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
