@@ -6,12 +6,19 @@ import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_INPUT_CONF = "spark.tallywatch.smallInputBytes"
 SMALL_INPUT_BYTES = 32 * 1024 * 1024
+SMALL_INPUT_ROWS = 2_000_000
+
+_MULTIPLIES = re.compile(
+    r"^\W*(Generate|Expand|MapInPandas|MapInArrow|PythonMapInArrow|FlatMap\w*|MapPartitions\w*) ",
+    re.MULTILINE,
+)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -24,17 +31,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+@lru_cache(maxsize=1024)
+def _parquet_rows(spark: SparkSession, files: tuple[str, ...]) -> int:
+    """Rows of Parquet files, from their footers; Spark names new parts anew."""
+    return spark.read.parquet(*files).count()
+
+
 def is_small(df: DataFrame) -> bool:
-    """Whether `df` is estimated to fit in one task; a choice of plan, never of results.
+    """Whether `df` fits in one task; a choice of plan, never of results.
 
-    A plan that multiplies rows (explode and its kin) is never small, as the
-    estimate does not count them.
+    It does if the estimate is low, nothing in the plan can multiply rows, as the
+    estimate does not see that, and the Parquet files it reads hold few rows
+    however well they are compressed.
     """
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if re.search(r"^\W*Generate ", plan.toString(), re.MULTILINE):
+    spark = df.sparkSession
+    if estimated_bytes(df) > int(spark.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES))):
+        return False
+    if _MULTIPLIES.search(df._jdf.queryExecution().optimizedPlan().toString()):
         return False
-    return estimated_bytes(df) <= limit
+    files = tuple(f for f in sorted(df.inputFiles()) if f.endswith(".parquet"))
+    return not files or _parquet_rows(spark, files) <= SMALL_INPUT_ROWS
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,15 +1,17 @@
 """Aggregation of records to regions and days.
 
-Every group-by combines partially before the shuffle. Distinct counts first
-drop repeats per task and are shuffled on (group, value), so a region that
-holds much of the data is spread over many tasks.
+Every group-by combines partially before the shuffle. Where several distinct
+counts are wanted, records are first summed per combination of the counted
+columns, so what is counted are combinations, not records; these are shuffled on
+all their columns, so a region that holds much of the data is spread over many
+tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import age_total, not_null, ratio, round2, with_total
@@ -33,13 +35,37 @@ def _distinct(col: str, approximate: bool) -> Column:
     return F.approx_count_distinct(col) if approximate else F.count_distinct(col)
 
 
+def _first_of(keys: Sequence[str], value: str, order: str) -> Column:
+    """1 on one row of each value within the keys, else 0; missing values have none."""
+    place = F.row_number().over(Window.partitionBy(*keys, value).orderBy(order))
+    return F.when((place == 1) & F.col(value).isNotNull(), 1).otherwise(0)
+
+
 def aggregate_by_state(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row per date and state. `approximate` estimates the distinct counts."""
+    """One row per date and state. `approximate` estimates the distinct counts.
+
+    Exact counts sum up in steps, from (date, state, district, pincode) to
+    districts to states; a pincode counts where its first district does.
+    """
     keys = ["date", "state"]
-    grouped = not_null(df, keys).groupBy(*keys).agg(
+    records = not_null(df, keys)
+    if approximate:
+        grouped = records.groupBy(*keys).agg(
+            *_band_sums(),
+            _distinct("district", True).alias("district_count"),
+            _distinct("pincode", True).alias("pincode_count"),
+        )
+        return _with_ratios(grouped)
+    places = records.groupBy(*keys, "district", "pincode").agg(*_band_sums())
+    districts = (
+        places.withColumn("pincode_count", _first_of(keys, "pincode", "district"))
+        .groupBy(*keys, "district")
+        .agg(*_band_sums(), F.sum("pincode_count").alias("pincode_count"))
+    )
+    grouped = districts.groupBy(*keys).agg(
         *_band_sums(),
-        _distinct("district", approximate).alias("district_count"),
-        _distinct("pincode", approximate).alias("pincode_count"),
+        F.count("district").alias("district_count"),
+        F.sum("pincode_count").alias("pincode_count"),
     )
     return _with_ratios(grouped)
 
@@ -80,16 +106,19 @@ def risk_distribution(df: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.col("count") / total * 100)
 
 
-def kpis(records: DataFrame, scored: DataFrame) -> DataFrame:
+def kpis(records: DataFrame, scored: DataFrame, approximate: bool = False) -> DataFrame:
     """One row of headline numbers for the records and their scored daily table."""
     rate = F.lit(0.0)
     if "is_anomaly" in scored.columns:
         rate = scored.agg((F.avg(F.col("is_anomaly").cast("double")) * 100).alias("r")).scalar()
-    return records.agg(
-        F.count("*").alias("total_records"),
-        F.sum(age_total()).alias("total_enrolments"),
-        F.count_distinct("state").alias("states"),
-        F.count_distinct("district").alias("districts"),
+    places = records.groupBy("state", "district").agg(
+        F.count("*").alias("records"), F.sum(age_total()).alias("enrolments")
+    )
+    return places.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
+        F.sum("enrolments").alias("total_enrolments"),
+        _distinct("state", approximate).alias("states"),
+        _distinct("district", approximate).alias("districts"),
     ).withColumn("anomaly_rate", rate)
 
 

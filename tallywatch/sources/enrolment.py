@@ -94,23 +94,54 @@ def load_all(
     return read_records(spark, found)
 
 
-def data_summary(df: DataFrame) -> DataFrame:
-    """One row of counts, date range, band sums and statistics of the row total."""
+def data_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """One row of counts, date range, band sums and statistics of the row total.
+
+    Records are summed per (state, district, pincode) first, and the distinct
+    values counted among these; `approximate` estimates their number. The
+    deviation comes from sums of squares, which suits counts near zero.
+    """
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     total = age_total()
-    return df.agg(
-        F.count("*").alias("total_records"),
+    places = df.groupBy("state", "district", "pincode").agg(
+        F.count("*").alias("records"),
         F.min("date").alias("date_start"),
         F.max("date").alias("date_end"),
-        F.count_distinct("state").alias("states"),
-        F.count_distinct("district").alias("districts"),
-        F.count_distinct("pincode").alias("pincodes"),
         *[F.sum(c).alias(c) for c in AGE_COLS],
+        F.count(total).alias("totals"),
         F.sum(total).alias("total_enrolments"),
-        F.avg(total).alias("mean_total"),
-        F.stddev_samp(total).alias("std_total"),
+        F.sum(total.cast("double") * total.cast("double")).alias("squares"),
         F.min(total).alias("min_total"),
         F.max(total).alias("max_total"),
     )
+    n, mean = F.col("totals"), F.col("total_enrolments") / F.nullif(F.col("totals"), F.lit(0))
+    spread = F.greatest(F.col("squares") - F.col("total_enrolments") * mean, F.lit(0.0))
+    deviation = F.sqrt(spread / F.nullif(n - 1, F.lit(0)))
+    sums = places.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
+        F.min("date_start").alias("date_start"),
+        F.max("date_end").alias("date_end"),
+        distinct("state").alias("states"),
+        distinct("district").alias("districts"),
+        distinct("pincode").alias("pincodes"),
+        *[F.sum(c).alias(c) for c in (*AGE_COLS, "totals", "total_enrolments", "squares")],
+        F.min("min_total").alias("min_total"),
+        F.max("max_total").alias("max_total"),
+    )
+    return sums.select(
+        "total_records",
+        "date_start",
+        "date_end",
+        "states",
+        "districts",
+        "pincodes",
+        *AGE_COLS,
+        "total_enrolments",
+        mean.alias("mean_total"),
+        F.when(n > 1, deviation).alias("std_total"),
+        "min_total",
+        "max_total",
+    )
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

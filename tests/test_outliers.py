@@ -213,6 +213,15 @@ def test_rows_that_an_explode_multiplies_are_not_small(spark):
     assert not scale.is_small(few.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(10**7)))))
 
 
+def test_well_compressed_rows_are_not_small(spark, tmp_path, monkeypatch):
+    spark.range(1000).select(F.lit(1.5).alias("v")).write.parquet(str(tmp_path / "same"))
+    df = spark.read.parquet(str(tmp_path / "same"))
+    assert scale.is_small(df)
+    monkeypatch.setattr(scale, "SMALL_INPUT_ROWS", 999)
+    assert not scale.is_small(df)
+    assert not scale.is_small(df.where("v > 1").groupBy("v").count())
+
+
 def test_ranks_of_close_values_and_one_far_away(spark, large_paths, eight_chunks):
     """Many values within a thousandth, and one that is not: no task gets them all."""
     rng = np.random.default_rng(8)

@@ -46,6 +46,54 @@ def test_load_all(spark, tmp_path):
         enrolment.load_all(spark, str(tmp_path), ["none.csv"])
 
 
+PLACES = [
+    (1, "A", "x", "1", 1, 2, 3),
+    (1, "A", "x", "1", 4, 0, 1),
+    (1, "A", "y", "1", 2, 2, 2),
+    (1, "A", "y", None, 0, 0, 9),
+    (1, "A", None, "2", 5, 5, 5),
+    (1, "A", "z", None, 1, None, 1),
+    (2, "A", "x", "3", 0, 0, 0),
+    (1, "B", None, None, 7, 7, 7),
+]
+PLACE_SCHEMA = (
+    "day int, state string, district string, pincode string, "
+    "age_0_5 bigint, age_5_17 bigint, age_18_greater bigint"
+)
+
+
+@pytest.fixture
+def places(spark):
+    df = spark.createDataFrame(PLACES, PLACE_SCHEMA)
+    return df.selectExpr("date_add(date '2025-01-01', day) AS date", "*").drop("day")
+
+
+def test_distinct_counts_leave_nulls_out(places):
+    rows = aggregate.aggregate_by_state(places).collect()
+    found = {(r.date.day, r.state): (r.district_count, r.pincode_count, r.age_0_5) for r in rows}
+    assert found == {(2, "A"): (3, 2, 13), (3, "A"): (1, 1, 0), (2, "B"): (0, 0, 7)}
+    rough = aggregate.aggregate_by_state(places, approximate=True).collect()
+    assert sorted(rough) == sorted(rows)
+    assert "Expand" not in plan_of(aggregate.aggregate_by_state(places))
+
+
+def test_data_summary_matches_pandas(places):
+    frame = places.toPandas()
+    total = frame["age_0_5"] + frame["age_5_17"] + frame["age_18_greater"]
+    for rough in (False, True):
+        row = enrolment.data_summary(places, approximate=rough).first()
+        assert (row.total_records, row.states, row.districts, row.pincodes) == (8, 2, 3, 3)
+        assert (row.age_5_17, row.total_enrolments, row.min_total) == (16, total.sum(), 0)
+        assert row.mean_total == pytest.approx(total.mean())
+        assert row.std_total == pytest.approx(total.std())
+    one = enrolment.data_summary(places.where("state = 'B'")).first()
+    assert (one.total_records, one.mean_total, one.std_total) == (1, 21.0, None)
+    none = enrolment.data_summary(places.where("state = 'C'")).first()
+    assert (none.total_records, none.states, none.total_enrolments, none.std_total) == (0, 0, None, None)
+    scan = plan_of(enrolment.data_summary(places)).split("Expand")[-1]
+    assert "HashAggregate" in scan  # what is expanded are combinations, not records
+
+
 def test_csv_columns_go_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "age_5_17,date,district,state,extra,age_18_greater,age_0_5,pincode\n2,1-3-2025,North,Goa,x,3,1,0403\n"
