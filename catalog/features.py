@@ -76,14 +76,14 @@ GAPPY = "SELECT * FROM gappy"
 
 
 def _daily(t: Tables) -> DataFrame:
-    return t.event_states.groupBy("date").agg(F.sum("total_enrolments").alias("total_enrolments"))
+    return t.event_sums.groupBy("date").agg(F.sum("total_enrolments").alias("total_enrolments"))
 
 
 TEMPORAL = [
     Query(
         "growth_rate",
         f"{SERIES} growth_rate:d",
-        lambda t: temporal.growth_rate(t.event_states, group_cols=["state"]),
+        lambda t: temporal.growth_rate(t.event_sums, group_cols=["state"]),
         _growth_sql(TOTALS, "state", "date"),
     ),
     Query(
@@ -109,7 +109,7 @@ TEMPORAL = [
     Query(
         "volatility",
         f"{SERIES} volatility:d volatility_cv:d",
-        lambda t: temporal.volatility(t.event_states, group_cols=["state"]),
+        lambda t: temporal.volatility(t.event_sums, group_cols=["state"]),
         _rolling_sql(TOTALS, "state", "date"),
     ),
     Query(
@@ -129,7 +129,7 @@ TEMPORAL = [
     Query(
         "rolling_mean",
         f"{SERIES} rolling_mean:d",
-        lambda t: temporal.rolling_mean(t.event_states, group_cols=["state"]),
+        lambda t: temporal.rolling_mean(t.event_sums, group_cols=["state"]),
         _rolling_sql(TOTALS, "state", "date"),
     ),
     Query(

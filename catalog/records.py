@@ -412,7 +412,7 @@ AGGREGATES = [
     Query(
         "daily_trend_of_states",
         f"date {_BANDS}",
-        lambda t: aggregate.daily_totals(t.order_states),
+        lambda t: aggregate.daily_totals(t.order_sums),
         f"SELECT *, {_TOTAL} FROM (SELECT date, {_SUMS} FROM order_states GROUP BY date) AS s",
     ),
     Query(

@@ -55,7 +55,7 @@ RISK = [
     Query(
         "normalize_minmax",
         "date state normalized:d",
-        lambda t: risk.normalize_feature(t.event_states, "total_enrolments"),
+        lambda t: risk.normalize_feature(t.event_sums, "total_enrolments"),
         "SELECT date, state, (total_enrolments - min(total_enrolments) OVER ()) / "
         "nullif(max(total_enrolments) OVER () - min(total_enrolments) OVER (), 0)::DOUBLE "
         "AS normalized FROM event_states",
@@ -63,7 +63,7 @@ RISK = [
     Query(
         "normalize_zscore",
         "date state normalized:d",
-        lambda t: risk.normalize_feature(t.event_states, "total_enrolments", "zscore"),
+        lambda t: risk.normalize_feature(t.event_sums, "total_enrolments", "zscore"),
         "SELECT date, state, (total_enrolments - avg(total_enrolments) OVER ()) / "
         "stddev_samp(total_enrolments) OVER () AS normalized FROM event_states",
     ),
@@ -429,7 +429,7 @@ FOREST = [
         "detect_anomalies_too_few_features",
         "date state is_anomaly anomaly_score:d",
         lambda t: iforest.detect_anomalies(
-            t.event_states.select("date", "state", "total_enrolments")
+            t.event_sums.select("date", "state", "total_enrolments")
         ),
         "SELECT date, state, false AS is_anomaly, 0.0 AS anomaly_score FROM event_states",
     ),
@@ -517,7 +517,7 @@ def _holt_sql(source: str, periods: int) -> str:
 
 
 def _holt(t: Tables) -> DataFrame:
-    series = forecast.daily_series(t.event_states, ["state"])
+    series = forecast.daily_series(t.event_sums, ["state"])
     return forecast.holt_fit(series, ["state"])
 
 
@@ -525,7 +525,7 @@ FORECASTS = [
     Query(
         "forecast_model",
         "state slope:d intercept:d last_date days:l mean:d spread:d",
-        lambda t: forecast.fit(forecast.daily_series(t.order_states, ["state"]), ["state"]),
+        lambda t: forecast.fit(forecast.daily_series(t.order_sums, ["state"]), ["state"]),
         """
         SELECT state, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept,
                max(date) AS last_date, count(*) AS days, avg(v) AS mean,
@@ -539,13 +539,13 @@ FORECASTS = [
     Query(
         "forecast_by_state",
         "state " + _FORECAST,
-        lambda t: forecast.forecast_by_state(t.event_states),
+        lambda t: forecast.forecast_by_state(t.event_sums),
         "SELECT *, key AS state FROM (" + _forecast_sql("state", "event_states", 7) + ") AS f",
     ),
     Query(
         "forecast_total",
         _FORECAST,
-        lambda t: forecast.forecast_total(t.event_states)[1],
+        lambda t: forecast.forecast_total(t.event_sums)[1],
         _forecast_sql("1", "event_states", 14),
     ),
     Query(

@@ -95,6 +95,11 @@ class Tables:
     def event_states(self) -> DataFrame:
         return aggregate.aggregate_by_state(self.enrol_events)
 
+    @cached_property
+    def event_sums(self) -> DataFrame:
+        """`event_states` without the distinct counts, for queries that leave them out."""
+        return aggregate.aggregate_by_state(self.enrol_events, counts=False)
+
     @cached_property
     def event_districts(self) -> DataFrame:
         return aggregate.aggregate_by_district(self.enrol_events)
@@ -103,6 +108,10 @@ class Tables:
     def order_states(self) -> DataFrame:
         return aggregate.aggregate_by_state(self.enrol_orders)
 
+    @cached_property
+    def order_sums(self) -> DataFrame:
+        return aggregate.aggregate_by_state(self.enrol_orders, counts=False)
+
     @cached_property
     def order_daily(self) -> DataFrame:
         """`order_states`, stored once as a daily table."""

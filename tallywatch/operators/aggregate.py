@@ -41,14 +41,20 @@ def _first_of(keys: Sequence[str], value: str, order: str) -> Column:
     return F.when((place == 1) & F.col(value).isNotNull(), 1).otherwise(0)
 
 
-def aggregate_by_state(df: DataFrame, approximate: bool = False) -> DataFrame:
+def aggregate_by_state(
+    df: DataFrame, approximate: bool = False, counts: bool = True
+) -> DataFrame:
     """One row per date and state. `approximate` estimates the distinct counts.
 
     Exact counts sum up in steps, from (date, state, district, pincode) to
-    districts to states; a pincode counts where its first district does.
+    districts to states; a pincode counts where its first district does. Spark
+    cannot leave these steps out when the counts are dropped later: without
+    `counts` the sums take one shuffle of what each task has summed.
     """
     keys = ["date", "state"]
     records = not_null(df, keys)
+    if not counts:
+        return _with_ratios(records.groupBy(*keys).agg(*_band_sums()))
     if approximate:
         grouped = records.groupBy(*keys).agg(
             *_band_sums(),
