@@ -166,11 +166,12 @@ def links(fingerprints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def components(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """(fingerprint, component_id): the least doc_id reachable over links.
+    """(fingerprint, root, component_id): the least doc_id reachable over links.
 
     `prints` has doc_id and fingerprint, one row per document, and should be a
     stored table. Copies share a fingerprint and are one node; a null doc_id
-    counts only if its component has no other.
+    counts only if its component has no other. `root`, the least fingerprint of
+    a component, names it also where ids are missing or shared.
     """
     classes = written(
         prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprints"
@@ -181,7 +182,7 @@ def components(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     )
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     return nodes.select("fingerprint", "root").join(ids, "root").select(
-        "fingerprint", "component_id"
+        "fingerprint", "root", "component_id"
     )
 
 
@@ -212,8 +213,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: the one with the least id.
 
-    Rows that repeat the kept document's id and fingerprint count as one. A
-    group without any id keeps one of its rows for each fingerprint.
+    Groups are the components, whatever ids they hold. Rows that repeat the kept
+    document's id and fingerprint count as one. A group without any id keeps one
+    of the rows of its least fingerprint.
     """
     name = "_simhash_fingerprint"
     marked = with_fingerprint(docs, text_col, name)
@@ -224,7 +226,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = components(prints)
     keepers = written(
         prints.join(groups, "fingerprint")
-        .groupBy("component_id")
+        .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("k"))
         .select(
             F.col("k.doc_id").alias("_simhash_id"), F.col("k.fingerprint").alias("_simhash_print")
