@@ -4,18 +4,20 @@ For every participant the dialogue is rendered with that speaker as the
 assistant and the others as named users; the mask holds the character ranges of
 the speaker's own messages. System messages stay so in every perspective and
 are nobody's perspective. Long dialogues come in parts of `PART_TURNS` turns.
+Parts crowded with messages are cut in the order of the dialogue, and rendered
+block by block; `whole` joins the blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.functions.scale import written
 from tallywatch.llm.common import col
 
 PART_TURNS = 128
-# Messages of one part beyond which it is dealt out by hash: only if turns repeat.
+# Messages of one part beyond which it is cut into blocks: only if turns repeat.
 PART_MESSAGES = 1024
 SYSTEM = "system"
 NOBODY = "unknown"
@@ -27,12 +29,64 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _blocks(messages: DataFrame) -> DataFrame:
+    """`messages` with their block: each `PART_MESSAGES` in order of turn, role and text.
+
+    Rows are sorted by range, so a part with most messages is spread out; the
+    counts of the ranges before one, a small table, number its rows on.
+    """
+    order = [F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
+    ranged = messages.repartitionByRange(F.asc("conv_id"), F.asc("part"), *order)
+    ranged = written(ranged.withColumn("range", F.spark_partition_id()), "crowded-messages")
+    before = Window.partitionBy("c", "p").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        ranged.groupBy(F.col("range").alias("r"), F.col("conv_id").alias("c"), F.col("part").alias("p"))
+        .agg(F.count("*").alias("n"))
+        .select("r", "c", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    )
+    counts = written(counts, "range-counts")
+    numbered = ranged.withColumn(
+        "at", F.row_number().over(Window.partitionBy("range", "conv_id", "part").orderBy(*order))
+    )
+    same = (F.col("range") == F.col("r")) & F.col("conv_id").eqNullSafe(F.col("c"))
+    block = F.floor((F.col("before") + F.col("at") - 1) / PART_MESSAGES).cast("long")
+    return numbered.join(counts, same & (F.col("part") == F.col("p"))).select(
+        *messages.columns, block.alias("block")
+    )
+
+
+def _joined(blocks: DataFrame) -> DataFrame:
+    """The rendered blocks of each part as one row, block 0."""
+    key = ["conv_id", "speaker", "part"]
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    moved = blocks.withColumn(
+        "past", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int")
+    ).withColumn(
+        "mask",
+        F.transform(
+            "mask",
+            lambda m: F.struct(
+                (m["first"] + F.col("past")).alias("first"), (m["past"] + F.col("past")).alias("past")
+            ),
+        ),
+    )
+    pieces = F.sort_array(F.collect_list(F.struct("block", "text", "mask")))
+    return moved.groupBy(*key).agg(F.sum("n_messages").alias("n_messages"), pieces.alias("pieces")).select(
+        *key,
+        F.lit(0).cast("long").alias("block"),
+        "n_messages",
+        F.array_join("pieces.text", "").alias("text"),
+        F.flatten("pieces.mask").alias("mask"),
+    )
+
+
 def rotate(
     conversations: DataFrame,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    whole: bool = False,
 ) -> DataFrame:
     """(conv_id, speaker, part, block, n_messages, text, mask) per participant and part.
 
@@ -40,7 +94,10 @@ def rotate(
     repeats of a message are one message. A null role is a participant called
     "unknown", a null text is empty, a null conv_id a conversation of its own.
     `block` is above 0 only where more than `PART_MESSAGES` messages claim the
-    turns of one part. `mask` is an array of (first, past last) code points.
+    turns of one part: such a part is cut after each `PART_MESSAGES` messages,
+    and blocks are numbered in that order. With `whole` every part is one row,
+    whatever its size, and `block` is 0. `mask` is an array of (first, past
+    last) code points of the row's text.
     """
     role = F.coalesce(col(role_col).cast("string"), F.lit(NOBODY))
     said = conversations.select(
@@ -54,25 +111,28 @@ def rotate(
     crowded = written(
         said.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p"))
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") > PART_MESSAGES)
-        .withColumn("blocks", F.ceil(2 * F.col("n") / PART_MESSAGES)),
+        .where(F.col("n") > PART_MESSAGES),
         "crowded-parts",
     )
-    dealt = said.join(
-        crowded, said.conv_id.eqNullSafe(crowded.c) & (said.part == crowded.p), "left"
-    ).withColumn(
-        "block",
-        F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("blocks")), F.lit(0)).cast("long"),
-    )
-    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
-    parts = dealt.groupBy("conv_id", "part", "block").agg(
-        F.sort_array(F.collect_list(message)).alias("messages")
-    )
     speakers = (
         said.where(F.col("role") != SYSTEM)
         .select(F.col("conv_id").alias("c"), F.col("role").alias("speaker"))
         .distinct()
     )
+    if crowded.isEmpty():
+        return _rendered(said.withColumn("block", F.lit(0).cast("long")), speakers)
+    here = said.conv_id.eqNullSafe(crowded.c) & (said.part == crowded.p)
+    others = said.join(crowded, here, "left_anti").withColumn("block", F.lit(0).cast("long"))
+    cut = _rendered(_blocks(said.join(crowded, here, "left_semi")), speakers)
+    return _rendered(others, speakers).unionAll(_joined(cut) if whole else cut)
+
+
+def _rendered(said: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Each block of `said` in the perspective of each of the conversation's speakers."""
+    message = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
+    parts = said.groupBy("conv_id", "part", "block").agg(
+        F.sort_array(F.collect_list(message)).alias("messages")
+    )
     each = parts.join(speakers, parts.conv_id.eqNullSafe(speakers.c)).drop("c")
     me = F.col("speaker")
 

@@ -112,7 +112,7 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    rendered = perspectives.rotate(table(spark, sf_dir, "conversations"), whole=True)
     ranges = F.transform("mask", lambda m: F.concat_ws("-", m["first"], m["past"]))
     return rendered.select(
         "conv_id", "speaker", "part", "n_messages", "text", F.array_join(ranges, ",").alias("mask")
