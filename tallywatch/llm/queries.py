@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tallywatch.llm import (
     chunk_dedup,
+    collocations,
     decontaminate,
     lattice_lm,
+    lexical_search,
     line_frequency,
     mixing,
+    packing,
     page_diff,
     perspectives,
     simhash,
@@ -141,3 +144,26 @@ ORACLES["op9_mixing"] = mixing.SQL
 def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = page_diff.main_text(table(spark, sf_dir, "pages"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+ORACLES["op11_lexical_search"] = lexical_search.SQL
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.SQL
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).rows
