@@ -206,8 +206,14 @@ def phrase_counts(
     return written(longest.unionAll(longer).unionAll(shorter), "phrase-counts")
 
 
+def cut_score(a: Column, left: Column, right: Column) -> Column:
+    """a * a * 10**6 div (left * right), exact beyond 64 bits."""
+    a, left, right = (c.cast("decimal(19,0)") for c in (a, left, right))
+    return F.call_function("div", a * a * F.lit(1_000_000).cast("decimal(7,0)"), left * right)
+
+
 def _inner_phrases(candidates: DataFrame) -> DataFrame:
-    """(lang, phrase, f): the shorter phrases inside candidates, with the largest count of such."""
+    """(lang, phrase, longer): shorter phrases inside candidates, and the largest count of these."""
     size = F.size("parts")
     starts = F.sequence(F.lit(1), size - 1)
     inner = F.flatten(
@@ -267,10 +273,8 @@ def collocations(
             "lang", F.col("phrase").alias(key), F.col("f").alias(name)
         )
         sides = sides.join(side, ["lang", key])
-    a, left, right = (F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r"))
-    score = F.call_function("div", a * a * F.lit(1_000_000).cast("decimal(7,0)"), left * right)
     best = (
-        sides.withColumn("score", score)
+        sides.withColumn("score", cut_score(F.col("a"), F.col("l"), F.col("r")))
         .groupBy("lang", "phrase")
         .agg(
             F.first("a").alias("a"),

@@ -9,8 +9,9 @@ others - is dealt anew and packed again, as long as that saves bins.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ END_ID = 0
 # Pieces of one partition, on average; a partition is packed in one task.
 PIECES = 20_000
 # Words whose ids a task remembers; longer words are not remembered.
-MAX_WORDS, MAX_WORD_BYTES = 300_000, 48
+MAX_WORDS, MAX_WORD_BYTES = 600_000, 48
 
 
 def default_tokenizer() -> str:
@@ -47,6 +48,8 @@ class WordIds:
     """
 
     def __init__(self, file: str):
+        # Spark's tasks are the parallelism.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -54,24 +57,35 @@ class WordIds:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
-
-    def ids(self, raw: bytes) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
-        words, known = raw.split(), self.known
-        new = list(set(words) - known.keys())
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        split, known = [t.split() for t in texts], self.known
+        new = [w for w in set().union(*split) if w not in known]
         if not new:
-            return b"".join(map(known.__getitem__, words))
-        found = self._encode(new)
-        ids = b"".join([found[w] if w in found else known[w] for w in words])
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        decoded = [w.decode("utf-8", "replace") for w in new]
+        encoded = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
+        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
         if len(known) + len(found) > MAX_WORDS:
+            # What the texts share with the memory is kept until they are done.
+            found |= {w: known[w] for words in split for w in words if w in known}
             known.clear()
         if len(found) <= MAX_WORDS:
             known.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
-        return ids
+        return [b"".join([found[w] if w in found else known[w] for w in words]) for words in split]
+
+
+def grouped(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in their order, in groups of about `size` bytes."""
+    group, total = [], 0
+    for text in texts:
+        group.append(text)
+        total += len(text)
+        if total >= size:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
 
 
 def cut_pieces(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -97,8 +111,10 @@ def token_pieces(
         words = WordIds(file)
         for batch in batches:
             rows, owner = [], []
-            for i, text in enumerate(batch.column("text")):
-                pieces = cut_pieces(words.ids(text.as_py() or b"") + end, capacity)
+            texts = (text.as_py() or b"" for text in batch.column("text"))
+            ids = (i for group in grouped(texts) for i in words.ids(group))
+            for i, found in enumerate(ids):
+                pieces = cut_pieces(found + end, capacity)
                 rows += pieces
                 owner += [i] * len(pieces)
             ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
