@@ -10,9 +10,12 @@ others - is dealt anew and packed again, as long as that saves bins.
 from __future__ import annotations
 
 import os
+import sys
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ CAPACITY = 2048
 END_ID = 0
 # Pieces of one partition, on average; a partition is packed in one task.
 PIECES = 20_000
-# Words whose ids a task remembers; longer words are not remembered.
-MAX_WORDS, MAX_WORD_BYTES = 600_000, 48
+MIN_SAVING, LARGEST = 1e-4, 16
+# Words whose ids a Python worker remembers, twice so many at most; longer words are not.
+MAX_WORDS, MAX_WORD_BYTES = 500_000, 48
 
 
 def default_tokenizer() -> str:
@@ -38,13 +42,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def worker_memory(run: str, make: Callable[[], object]) -> object:
+    """What this Python worker made for a run; its later tasks of that run find it again.
+
+    A run is one call of the operator: nothing is kept for the next.
+    """
+    name = "tallywatch_worker_memory"
+    memory = sys.modules.setdefault(name, ModuleType(name)).__dict__.setdefault("made", {})
+    if run not in memory:
+        memory.clear()
+        memory[run] = make()
+    return memory[run]
+
+
 class WordIds:
     """Token ids of texts, tokenized word by word.
 
     Right for tokenizers that drop white space and let no token reach across it:
-    a text's ids are then those of its words, one after the other. Each
-    distinct word goes through the tokenizer once; the memory is emptied when
-    it is full, which costs time only.
+    a text's ids are then those of its words, one after the other. A word goes
+    through the tokenizer when it is new. Remembered are the words of late: once
+    `MAX_WORDS` are new, those not seen since the last such time are forgotten.
     """
 
     def __init__(self, file: str):
@@ -56,23 +73,31 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _found(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of the words that `known` does not have."""
+        older = self.older
+        found = {w: older[w] for w in words if w in older}
+        new = [w for w in words if w not in found]
+        decoded = [w.decode("utf-8", "replace") for w in new]
+        encoded = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         split, known = [t.split() for t in texts], self.known
-        new = [w for w in set().union(*split) if w not in known]
-        if not new:
+        missing = {w for w in set().union(*split) if w not in known}
+        if not missing:
             return [b"".join(map(known.__getitem__, words)) for words in split]
-        decoded = [w.decode("utf-8", "replace") for w in new]
-        encoded = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+        found = self._found(missing)
+        out = [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
         if len(known) + len(found) > MAX_WORDS:
-            # What the texts share with the memory is kept until they are done.
-            found |= {w: known[w] for words in split for w in words if w in known}
-            known.clear()
+            self.older, self.known = known, {}
         if len(found) <= MAX_WORDS:
-            known.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
-        return [b"".join([found[w] if w in found else known[w] for w in words]) for words in split]
+            self.known.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
+        return out
 
 
 def grouped(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -105,10 +130,10 @@ def token_pieces(
     extra = StructType.fromDDL("piece int, start bigint, length bigint, ids_crc32 bigint")
     schema = StructType([narrow.schema["doc_id"], *extra.fields])
     out = to_arrow_schema(schema)
-    end = end_id.to_bytes(4, "little")
+    end, run_name = end_id.to_bytes(4, "little"), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(file)
+        words = worker_memory(run_name, lambda: WordIds(file))
         for batch in batches:
             rows, owner = [], []
             texts = (text.as_py() or b"" for text in batch.column("text"))
@@ -208,7 +233,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-PACKED = "part long, bin long, offset long, bins long, bound long, open boolean"
+PACKED = "part long, bin long, offset long, bins long, bound long, open boolean, space boolean"
 
 
 def pack_partition(rows: pa.Table, capacity: int) -> pa.Table:
@@ -225,8 +250,15 @@ def pack_partition(rows: pa.Table, capacity: int) -> pa.Table:
         is_open = fill < capacity
     else:
         is_open = (np.arange(len(fill)) == fill.argmin()) & (fill < capacity)
-    new = (bins, offsets, np.full(len(bins), len(fill)), np.full(len(bins), bound), is_open[bins])
-    for name, values in zip(("bin", "offset", "bins", "bound", "open"), new, strict=True):
+    new = {
+        "bin": bins,
+        "offset": offsets,
+        "bins": np.full(len(bins), len(fill)),
+        "bound": np.full(len(bins), bound),
+        "open": is_open[bins],
+        "space": fill[bins] < capacity,
+    }
+    for name, values in new.items():
         rows = rows.append_column(name, pa.array(values))
     return rows
 
@@ -264,10 +296,13 @@ def pack_pieces(
 ) -> Packing:
     """Place pieces (any columns, with `length` from 1 to `capacity`) in sequences.
 
-    Adds sequence_id and offset. Pieces as long as a sequence are sequences
-    of their own. Rounds of exchange go on until the bins meet the bound of the whole or a round
-    saves none; a round's result is kept only if it uses fewer bins. Pieces are dealt by a
-    hash of their row, so equal lengths or ids make no partition larger.
+    Adds sequence_id and offset. Pieces as long as a sequence are sequences of
+    their own. Rounds of exchange go on until the bins meet the bound of the
+    whole. A round that saves less than `MIN_SAVING` of its bins, or none, is
+    followed by one in which all bins with space take part, in partitions twice
+    as large, up to `LARGEST` times; then the packing is done. A round's result
+    is kept only if it uses fewer bins. Pieces are dealt by a hash of their row,
+    so equal lengths or ids make no partition larger.
     """
     rows = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     full, short = rows.where(F.col("length") == capacity), rows.where(F.col("length") < capacity)
@@ -278,28 +313,29 @@ def pack_pieces(
     bound = lower_bound(counts, capacity)
     n_full, n_short = int(counts[capacity]), int(counts[:capacity].sum())
 
-    def round_of(source: DataFrame, n: int, seed: int) -> DataFrame:
-        count = max(1, -(-n // per_part))
-        return written(_packed(source, count, seed, capacity), "packed")
-
-    names, done = rows.columns, []
-    state, seed = round_of(short, n_short, 0), 0
-    sequences = n_full + _bins(state)
-    while sequences > bound:
-        opened = state.where("open")
-        # Bins are named by partition and number; only those that are open count here.
-        before = opened.select("part", "bin").distinct().count()
-        parts, n = state.agg(F.count_distinct("part"), F.count_if("open")).first()
-        if parts < 2:
-            break
-        new = round_of(opened.select(*names), n, seed + 1)
-        after = _bins(new)
-        if after >= before:
-            break
-        done.append((seed, state.where("not open")))
-        sequences -= before - after
-        state, seed = new, seed + 1
-    done.append((seed, state))
+    def round_of(source: DataFrame, n: int, seed: int, size: int) -> DataFrame:
+        return written(_packed(source, max(1, -(-n // size)), seed, capacity), "packed")
+
+    names, seed, factor = rows.columns, 0, 1
+    tables = [(0, round_of(short, n_short, 0, per_part))]
+    sequences = n_full + _bins(tables[0][1])
+    # One partition has nobody to exchange with.
+    while sequences > bound and n_short > per_part:
+        which, opened = "open" if factor == 1 else "space", None
+        for k, table in tables:
+            part = table.where(which).select(*names, F.lit(k).alias("round"), "part", "bin")
+            opened = part if opened is None else opened.unionAll(part)
+        before, n = opened.select("round", "part", "bin").distinct().count(), opened.count()
+        seed += 1
+        new = round_of(opened.select(*names), n, seed, per_part * factor)
+        saved = before - _bins(new)
+        if saved < max(1, before * MIN_SAVING):
+            if factor >= LARGEST or (factor > 1 and n <= per_part * factor):
+                break
+            factor *= 2
+            continue
+        tables = [(k, table.where(f"not {which}")) for k, table in tables] + [(seed, new)]
+        sequences, factor = sequences - saved, 1
     # Round, partition and bin in one number: a partition holds fewer than 2**28 pieces.
     named = [
         part.select(
@@ -307,7 +343,7 @@ def pack_pieces(
             (F.lit(k << 56) + F.col("part") * (1 << 28) + F.col("bin")).alias("sequence_id"),
             "offset",
         )
-        for k, part in done
+        for k, part in tables
     ]
     alone = (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     out = full.select(*names, *alone)
