@@ -24,10 +24,10 @@ MIN_COUNT = 10
 INSIDE_SHARE = 50  # per cent
 TOP = 2000
 # Windows that a task sums up before it sends them.
-_WINDOWS = 1 << 21
+_WINDOWS = 1 << 22
 _SEGMENT = 1 << 20  # bytes of a long text handled at a time
-# A prefix with more than this share of a sample's windows is dealt to several tasks.
-HOT_SHARE, HOT_PARTS, SAMPLE_ROWS = 1 / 2000, 64, 20_000
+# A word or prefix that opens more than this share of a sample's windows is dealt to several tasks.
+HOT_SHARE, HOT_PARTS, SAMPLE_ROWS = 1 / 2000, 64, 2_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(
@@ -141,14 +141,29 @@ def _windows(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "prefix string, word string, n bigint")
 
 
-def _hot_prefixes(docs: DataFrame, n: int) -> list[str]:
-    """Prefixes of many windows, estimated; they decide where rows go, never a count."""
+def _first_word(prefix: Column) -> Column:
+    """The first word of a prefix and the language, which decide where a window goes."""
+    return F.concat(
+        F.regexp_extract(prefix, r"^[^ \t]*", 0), F.expr("substring(prefix, instr(prefix, '\t'))")
+    )
+
+
+def _hot(docs: DataFrame, n: int) -> tuple[list[str], list[str]]:
+    """First words and prefixes of many windows, estimated; they decide where rows go, never a count."""
     rows = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    seen = _windows(docs.sample(fraction=share, seed=1), n).groupBy("prefix").agg(F.sum("n").alias("n"))
+    seen = written(
+        _windows(docs.sample(fraction=share, seed=1), n).groupBy("prefix").agg(F.sum("n").alias("n")),
+        "window-sample",
+    )
     total = seen.agg(F.sum("n").alias("t")).scalar()
-    # At most 1 / HOT_SHARE rows.
-    return [r[0] for r in seen.where(F.col("n") > HOT_SHARE * total).select("prefix").collect()]
+    heads = seen.groupBy(_first_word(F.col("prefix")).alias("key")).agg(F.sum("n").alias("n"))
+    lists = []
+    for found in (heads, seen.select(F.col("prefix").alias("key"), "n")):
+        # At most 1 / HOT_SHARE rows.
+        rows = found.where(F.col("n") > HOT_SHARE * total).select("key").collect()
+        lists.append([r["key"] for r in rows])
+    return lists[0], lists[1]
 
 
 def _split_prefix(n: int) -> list[Column]:
@@ -166,28 +181,39 @@ def phrase_counts(
 
     The row of no words counts all words of the language. Stored, as it is
     read several times.
+
+    The windows take one shuffle, by their first word, so that all windows of a
+    prefix meet in one task and lie beside others of that word. First words of
+    many windows are dealt by the prefix as well, prefixes of many windows by the
+    last word; these sums are put together after.
     """
     narrow = docs.select(
         F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         col(text_col).cast("binary").alias("text"),
     )
-    hot = _hot_prefixes(narrow, n)
-    is_hot = F.col("prefix").isin(hot) if hot else F.lit(False)
-    salt = F.when(is_hot, F.pmod(F.xxhash64("word"), F.lit(HOT_PARTS))).otherwise(F.lit(0))
-    # One shuffle: windows of one prefix, or of one part of a hot one, meet in a task.
-    dealt = _windows(narrow, n).withColumn("salt", salt).repartition("prefix", "salt")
-    counted = dealt.groupBy("prefix", "salt", "word").agg(F.sum("n").alias("f"))
-    sums = counted.groupBy("prefix", "salt").agg(F.sum("f").alias("f"))
+    hot_words, hot_prefixes = _hot(narrow, n)
+    head = _first_word(F.col("prefix"))
+    is_hot = F.col("prefix").isin(hot_prefixes) if hot_prefixes else F.lit(False)
+    of_hot = head.isin(hot_words) if hot_words else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64("prefix", "word"), F.lit(HOT_PARTS))).when(
+        of_hot, F.pmod(F.xxhash64("prefix"), F.lit(HOT_PARTS))
+    )
+    home = F.hash(head, F.coalesce(part, F.lit(-1)))
+    dealt = _windows(narrow, n).withColumn("home", home).repartition("home")
+    counted = dealt.groupBy("home", "prefix", "word").agg(F.sum("n").alias("f"))
+    sums = counted.groupBy("home", "prefix").agg(F.sum("f").alias("f"))
     words = [F.col(f"w{k + 1}") for k in range(n)]
     lang, *heads = _split_prefix(n)
 
-    longest = counted.where((F.col("f") >= least) & (F.col("word") != "")).select(
+    # One condition on the sum: one on the word alone would move below the shuffle,
+    # which then could not be shared with the sums of the prefixes.
+    longest = counted.where(F.when(F.col("word") != "", F.col("f")) >= least).select(
         lang, F.concat_ws(" ", *heads, "word").alias("phrase"), F.lit(n).alias("words"), "f"
     )
     # The parts of a hot prefix are summed again; all other sums are whole.
-    whole = sums.where((F.col("f") >= least) | is_hot).groupBy("prefix").agg(F.sum("f").alias("f"))
-    whole = whole.where(F.col("f") >= least).select(lang, *heads, "f")
-    longer = whole.where(words[n - 2] != "").select(
+    whole = sums.where((F.col("f") >= least) | (is_hot & (F.col("f") > 0)))
+    whole = whole.groupBy("prefix").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    longer = whole.select(lang, *heads, "f").where(words[n - 2] != "").select(
         "lang", F.concat_ws(" ", *words[: n - 1]).alias("phrase"), F.lit(n - 1).alias("words"), "f"
     )
     # ROLLUP drops the last word of the prefix, then the next, down to the language.
