@@ -205,9 +205,9 @@ def phrase_counts(
     words = [F.col(f"w{k + 1}") for k in range(n)]
     lang, *heads = _split_prefix(n)
 
-    # One condition on the sum: one on the word alone would move below the shuffle,
-    # which then could not be shared with the sums of the prefixes.
-    longest = counted.where(F.when(F.col("word") != "", F.col("f")) >= least).select(
+    # One condition on sum and word: one on the word alone would move below the
+    # shuffle, which then could not be shared with the sums of the prefixes.
+    longest = counted.where(F.col("f") * F.signum(F.length("word")) >= least).select(
         lang, F.concat_ws(" ", *heads, "word").alias("phrase"), F.lit(n).alias("words"), "f"
     )
     # The parts of a hot prefix are summed again; all other sums are whole.
