@@ -174,6 +174,15 @@ def _split_prefix(n: int) -> list[Column]:
     return [lang.alias("lang"), *[F.get(words, F.lit(k)).alias(f"w{k + 1}") for k in range(n - 1)]]
 
 
+def _often(word: Column, least: int) -> Column:
+    """Whether `word` is no pad and its phrase, counted in `f`, occurs often enough.
+
+    One condition on both: one on the word alone would move below the shuffle of
+    the windows, which then could not be shared by all that reads them.
+    """
+    return F.col("f") * F.signum(F.length(F.coalesce(word, F.lit("")))) >= least
+
+
 def phrase_counts(
     docs: DataFrame, n: int = MAX_WORDS, least: int = MIN_COUNT, lang_col="lang", text_col="text"
 ) -> DataFrame:
@@ -205,15 +214,13 @@ def phrase_counts(
     words = [F.col(f"w{k + 1}") for k in range(n)]
     lang, *heads = _split_prefix(n)
 
-    # One condition on sum and word: one on the word alone would move below the
-    # shuffle, which then could not be shared with the sums of the prefixes.
-    longest = counted.where(F.col("f") * F.signum(F.length("word")) >= least).select(
+    longest = counted.where(_often(F.col("word"), least)).select(
         lang, F.concat_ws(" ", *heads, "word").alias("phrase"), F.lit(n).alias("words"), "f"
     )
     # The parts of a hot prefix are summed again; all other sums are whole.
     whole = sums.where((F.col("f") >= least) | (is_hot & (F.col("f") > 0)))
     whole = whole.groupBy("prefix").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    longer = whole.select(lang, *heads, "f").where(words[n - 2] != "").select(
+    longer = whole.select(lang, *heads, "f").where(_often(words[n - 2], least)).select(
         "lang", F.concat_ws(" ", *words[: n - 1]).alias("phrase"), F.lit(n - 1).alias("words"), "f"
     )
     # ROLLUP drops the last word of the prefix, then the next, down to the language.
