@@ -2,8 +2,9 @@
 
 Every word opens one window of the longest phrase length, padded where its
 piece of text ends. Only these windows are counted. A shorter phrase's count
-is the sum over the windows that begin with it: the sums of the next shorter
-prefix are formed where the windows lie, and a Spark ROLLUP forms all others.
+is the sum over the windows that begin with it, which a Spark ROLLUP forms for
+successively shorter prefixes. Before it, windows too rare to matter are padded
+further, so that little is left to roll up.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ INSIDE_SHARE = 50  # per cent
 TOP = 2000
 # Windows that a task sums up before it sends them.
 _WINDOWS = 1 << 22
+_ROWS = 1 << 17  # sorted windows summed at a time
 _SEGMENT = 1 << 20  # bytes of a long text handled at a time
 # A word or prefix that opens more than this share of a sample's windows is dealt to several tasks.
 HOT_SHARE, HOT_PARTS, SAMPLE_ROWS = 1 / 2000, 64, 2_000
@@ -166,23 +168,6 @@ def _hot(docs: DataFrame, n: int) -> tuple[list[str], list[str]]:
     return lists[0], lists[1]
 
 
-def _split_prefix(n: int) -> list[Column]:
-    """The language and the words of a prefix."""
-    cut = F.expr("instr(prefix, '\t')")
-    words = F.split(F.expr("substring(prefix, 1, instr(prefix, '\t') - 1)"), " ")
-    lang = F.substring(F.col("prefix"), cut + 1, F.length("prefix"))
-    return [lang.alias("lang"), *[F.get(words, F.lit(k)).alias(f"w{k + 1}") for k in range(n - 1)]]
-
-
-def _often(word: Column, least: int) -> Column:
-    """Whether `word` is no pad and its phrase, counted in `f`, occurs often enough.
-
-    One condition on both: one on the word alone would move below the shuffle of
-    the windows, which then could not be shared by all that reads them.
-    """
-    return F.col("f") * F.signum(F.length(F.coalesce(word, F.lit("")))) >= least
-
-
 def phrase_counts(
     docs: DataFrame, n: int = MAX_WORDS, least: int = MIN_COUNT, lang_col="lang", text_col="text"
 ) -> DataFrame:
@@ -194,7 +179,7 @@ def phrase_counts(
     The windows take one shuffle, by their first word, so that all windows of a
     prefix meet in one task and lie beside others of that word. First words of
     many windows are dealt by the prefix as well, prefixes of many windows by the
-    last word; these sums are put together after.
+    last word; ROLLUP puts these sums together.
     """
     narrow = docs.select(
         F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -209,34 +194,92 @@ def phrase_counts(
     )
     home = F.hash(head, F.coalesce(part, F.lit(-1)))
     dealt = _windows(narrow, n).withColumn("home", home).repartition("home")
-    counted = dealt.groupBy("home", "prefix", "word").agg(F.sum("n").alias("f"))
-    sums = counted.groupBy("home", "prefix").agg(F.sum("f").alias("f"))
+    sorted_ = dealt.sortWithinPartitions("home", "prefix", "word")
+    summed = _summed(sorted_, n, least, set(hot_prefixes))
+    # Parts of hot words and prefixes meet here; infrequent windows are padded by now.
     words = [F.col(f"w{k + 1}") for k in range(n)]
-    lang, *heads = _split_prefix(n)
-
-    longest = counted.where(_often(F.col("word"), least)).select(
-        lang, F.concat_ws(" ", *heads, "word").alias("phrase"), F.lit(n).alias("words"), "f"
-    )
-    # The parts of a hot prefix are summed again; all other sums are whole.
-    whole = sums.where((F.col("f") >= least) | (is_hot & (F.col("f") > 0)))
-    whole = whole.groupBy("prefix").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    longer = whole.select(lang, *heads, "f").where(_often(words[n - 2], least)).select(
-        "lang", F.concat_ws(" ", *words[: n - 1]).alias("phrase"), F.lit(n - 1).alias("words"), "f"
-    )
-    # ROLLUP drops the last word of the prefix, then the next, down to the language.
-    keys = ["lang", *[f"w{k + 1}" for k in range(n - 2)]]
-    rolled = (
-        sums.select(lang, *heads[: n - 2], "f")
-        .rollup(*keys)
-        .agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    keys = ["lang", *[f"w{k + 1}" for k in range(n)]]
+    # ROLLUP drops the last word of the windows, then the next, down to the language.
+    rolled = summed.rollup(*keys).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    depth = F.lit(n) - F.bit_count("level").cast("int")
+    last = F.get(F.array(F.lit("-"), *words), depth)
+    found = rolled.where(F.col("lang").isNotNull() & (last != "")).select(
+        "lang", F.concat_ws(" ", *words).alias("phrase"), depth.alias("words"), "f"
     )
-    depth = F.lit(n - 2) - F.bit_count("level").cast("int")
-    last = F.get(F.array(F.lit("-"), *words[: n - 2]), depth)
-    shorter = rolled.where((F.col("lang").isNotNull()) & (last != "")).select(
-        "lang", F.concat_ws(" ", *words[: n - 2]).alias("phrase"), depth.alias("words"), "f"
-    )
-    shorter = shorter.where((F.col("words") == 0) | (F.col("f") >= least))
-    return written(longest.unionAll(longer).unionAll(shorter), "phrase-counts")
+    return written(found.where((F.col("words") == 0) | (F.col("f") >= least)), "phrase-counts")
+
+
+def _summed(windows: DataFrame, n: int, least: int, hot: set[str]) -> DataFrame:
+    """(lang, w1 ... wn, f): windows summed, and padded where they are infrequent.
+
+    `windows` come sorted within partitions, and all of one prefix in one, but those
+    of `hot` prefixes. A window that occurs less than `least` times is padded in its
+    last place, and one whose prefix does in the place before as well: no
+    phrase that ends there is asked for, and the counts of shorter ones stay whole.
+    """
+    names = ["lang", *[f"w{k + 1}" for k in range(n)], "f"]
+    out = pa.schema([*[(c, pa.string()) for c in names[:-1]], ("f", pa.int64())])
+
+    def padded(prefix: pa.Array, word: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+        """Whole prefixes, sorted by prefix and word."""
+        new_prefix = np.ones(len(count), bool)
+        new = np.ones(len(count), bool)
+        if len(count) > 1:
+            new_prefix[1:] = pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] = new_prefix[1:] | pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+        starts, groups = np.flatnonzero(new), np.flatnonzero(new_prefix)
+        f = np.add.reduceat(count, starts)
+        # By prefix: its total, and the windows among `f`.
+        total = np.add.reduceat(count, groups)
+        of = np.cumsum(new_prefix)[starts] - 1
+        often = f >= least
+        kept = total >= least
+        if hot:
+            is_hot = pc.is_in(prefix.take(pa.array(groups)), pa.array(sorted(hot)))
+            kept |= is_hot.to_numpy(zero_copy_only=False)
+        often &= kept[of] & pc.not_equal(word.take(pa.array(starts)), "").to_numpy(zero_copy_only=False)
+        # What is left of a prefix beside its frequent windows.
+        rest = total - np.bincount(of[often], weights=f[often], minlength=len(total)).astype(np.int64)
+        left = np.flatnonzero(rest > 0)
+        at = np.concatenate((starts[often], groups[left]))
+        ends = pc.if_else(pa.array(np.arange(len(at)) < often.sum()), word.take(pa.array(at)), "")
+        keeps = np.concatenate((np.ones(int(often.sum()), bool), kept[left]))
+        head = pc.split_pattern(prefix.take(pa.array(at)), "\t", max_splits=1)
+        words = pc.split_pattern(pc.list_element(head, 0), " ")
+        columns = [pc.list_element(head, 1)]
+        for k in range(n - 1):
+            w = pc.list_element(words, k)
+            columns.append(pc.if_else(pa.array(keeps), w, "") if k and k == n - 2 else w)
+        columns += [ends, pa.array(np.concatenate((f[often], rest[left])))]
+        return pa.RecordBatch.from_arrays(columns, schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch.select(["prefix", "word", "n"]))
+            if sum(b.num_rows for b in held) < _ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            prefix = table.column("prefix").chunk(0)
+            # The last prefix may go on in the next batch.
+            ends = np.flatnonzero(pc.not_equal(prefix, prefix[-1]).to_numpy(zero_copy_only=False))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            held = table.slice(cut).to_batches()
+            if cut:
+                yield padded(*_columns(table.slice(0, cut)))
+        if held:
+            yield padded(*_columns(pa.Table.from_batches(held)))
+
+    ddl = ", ".join(f"{c} string" for c in names[:-1]) + ", f bigint"
+    return windows.mapInArrow(run, ddl)
+
+
+def _columns(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    table = table.combine_chunks()
+    prefix, word, count = (table.column(c).chunk(0) for c in ("prefix", "word", "n"))
+    return prefix, word, count.to_numpy()
 
 
 def cut_score(a: Column, left: Column, right: Column) -> Column:
