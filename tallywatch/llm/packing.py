@@ -19,20 +19,21 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import col
+from tallywatch.llm.common import LOWER, col
 
 CAPACITY = 2048
 END_ID = 0
 # Pieces of one partition, on average; a partition is packed in one task.
 PIECES = 20_000
 MIN_SAVING, LARGEST = 1e-4, 16
-# Words whose ids a Python worker remembers, twice so many at most; longer words are not.
+# Words whose ids a Python worker remembers, three times so many at most; longer words are not.
 MAX_WORDS, MAX_WORD_BYTES = 500_000, 48
 
 
@@ -55,13 +56,29 @@ def worker_memory(run: str, make: Callable[[], object]) -> object:
     return memory[run]
 
 
+def word_parts(word: bytes) -> tuple[bytes, ...]:
+    """What a word's ids consist of: the word in lower case, and punctuation at its end.
+
+    The tokenizer lower-cases, and no token of it begins in a letter or digit and
+    goes on in punctuation. A word that may hold a special token stays whole.
+    """
+    if b"<|" in word:
+        return (word,)
+    low = word.translate(LOWER)
+    core = low.rstrip(b".,;:!?)")
+    if core and len(core) < len(low) and core[-1:].isalnum():
+        return core, low[len(core) :]
+    return (low,)
+
+
 class WordIds:
     """Token ids of texts, tokenized word by word.
 
-    Right for tokenizers that drop white space and let no token reach across it:
-    a text's ids are then those of its words, one after the other. A word goes
-    through the tokenizer when it is new. Remembered are the words of late: once
-    `MAX_WORDS` are new, those not seen since the last such time are forgotten.
+    Right for tokenizers that lower-case, drop white space and let no token reach
+    across it: a text's ids are then those of its words, one after the other, and
+    a word's are those of its parts. A part goes through the tokenizer when it
+    is new. Remembered are words, and the parts of late: once `MAX_WORDS` are
+    new, those not seen since the last such time are forgotten.
     """
 
     def __init__(self, file: str):
@@ -73,34 +90,50 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _found(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of the words that `known` does not have."""
-        older = self.older
-        found = {w: older[w] for w in words if w in older}
-        new = [w for w in words if w not in found]
-        decoded = [w.decode("utf-8", "replace") for w in new]
+    def _encoded(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        found = {p: self.parts.get(p) or self.older.get(p) for p in parts}
+        new = [p for p, ids in found.items() if ids is None]
+        decoded = [p.decode("utf-8", "replace") for p in new]
         encoded = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
-        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        found.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, encoded, strict=True))
+        if len(self.parts) + len(found) > MAX_WORDS:
+            self.older, self.parts = self.parts, {}
+        if len(found) <= MAX_WORDS:
+            self.parts.update((p, i) for p, i in found.items() if len(p) <= MAX_WORD_BYTES)
         return found
 
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of some different words."""
+        ids = list(map(self.known.get, words))
+        missing = [w for w, i in zip(words, ids) if i is None]
+        if missing:
+            made = {w: word_parts(w) for w in missing}
+            encoded = self._encoded({p for parts in made.values() for p in parts})
+            found = {w: b"".join([encoded[p] for p in parts]) for w, parts in made.items()}
+            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
+            if len(self.known) + len(found) > MAX_WORDS:
+                self.known = {}
+            if len(found) <= MAX_WORDS:
+                self.known.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
+        return ids
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split, known = [t.split() for t in texts], self.known
-        missing = {w for w in set().union(*split) if w not in known}
-        if not missing:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        found = self._found(missing)
-        out = [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
-        if len(known) + len(found) > MAX_WORDS:
-            self.older, self.known = known, {}
-        if len(found) <= MAX_WORDS:
-            self.known.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
-        return out
-
-
-def grouped(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.view(pa.binary()).to_pylist()
+        # One array of all ids in the order of the words, and where each word's begin.
+        placed = pa.array(self._word_ids(different), pa.large_binary()).take(words.indices)
+        begins = np.frombuffer(placed.buffers()[1], np.int64)[: len(placed) + 1]
+        data = memoryview(placed.buffers()[2] or b"")
+        cuts = begins[split.offsets.to_numpy()].tolist()
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def grouped(texts: Iterable[bytes], size: int = 1 << 22) -> Iterator[list[bytes]]:
     """Texts in their order, in groups of about `size` bytes."""
     group, total = [], 0
     for text in texts:
