@@ -150,6 +150,23 @@ TEMPORAL = [
         lambda t: temporal.trends(_record_totals(t), order_cols=BY_EVENT, split=True),
         _rolling_sql(RECORD_TOTALS, "", "date, event_id"),
     ),
+    Query(
+        "trends_by_timestamp",
+        "event_id:l ma_short:d ma_long:d trend_strength:d trend_direction",
+        lambda t: temporal.trends(
+            t.read("events").select(
+                "event_id", "ts", "event_type", F.floor("value").cast("long").alias("total_enrolments")
+            ),
+            group_cols=["event_type"],
+            order_cols=["ts", "event_id"],
+            split=True,
+        ),
+        _rolling_sql(
+            "SELECT event_id, ts, event_type, floor(value)::BIGINT AS total_enrolments FROM events",
+            "event_type",
+            "ts, event_id",
+        ),
+    ),
     Query(
         "series_features_state_records",
         "date state event_id growth_rate:d volatility:d volatility_cv:d ma_short:d ma_long:d "

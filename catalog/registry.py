@@ -1,5 +1,12 @@
 """All registered queries."""
 
-from catalog import features, records, scores, tables_out
+from catalog import features, loading, records, scores, stored, tables_out
 
-QUERIES = [*records.QUERIES, *features.QUERIES, *scores.QUERIES, *tables_out.QUERIES]
+QUERIES = [
+    *records.QUERIES,
+    *loading.QUERIES,
+    *features.QUERIES,
+    *scores.QUERIES,
+    *tables_out.QUERIES,
+    *stored.QUERIES,
+]

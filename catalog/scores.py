@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.core import Query
+from catalog.forest_sql import importance_sql, nodes_sql, scores_sql
+from catalog.normality_sql import shapiro_sql
 from catalog.tables import ALL_WEIGHTS, PIPELINE_WEIGHTS, Tables, risk_sql
+from tallywatch.functions.ranks import exact_quantiles
 from tallywatch.functions.scale import written
 from tallywatch.operators import forecast, iforest, outliers, risk, temporal
 from tallywatch.plans.pipeline import score_states, state_risk
@@ -252,7 +255,7 @@ OUTLIERS = [
         "distribution_stats",
         "count:l mean:d std:d min:d max:d median:d q1:d q3:d iqr:d skewness:d kurtosis:d "
         "normality_pvalue:d is_normal",
-        lambda t: outliers.distribution_stats(_with_total(t), "total"),
+        lambda t: outliers.distribution_stats(_with_total(t), "total", "jarque_bera"),
         f"""
         SELECT *, q3 - q1 AS iqr, exp(-n / 6 * (g1 * g1 + g2 * g2 / 4) / 2) AS normality_pvalue,
                exp(-n / 6 * (g1 * g1 + g2 * g2 / 4) / 2) > 0.05 AS is_normal
@@ -265,6 +268,42 @@ OUTLIERS = [
                        / sqrt(count(total)::DOUBLE * (count(total) - 1)) AS g1
               FROM {_TOTALLED}) AS s""",
     ),
+    Query(
+        "quantiles_with_nan",
+        "state q1:d q2:d q3:d",
+        lambda t: exact_quantiles(
+            _with_total(t).withColumn(
+                "total",
+                F.when(F.col("event_id") % 7 == 0, float("nan")).when(
+                    F.col("event_id") % 5 > 0, F.col("total").cast("double")
+                ),
+            ),
+            {f"q{i}": ("total", i / 4) for i in (1, 2, 3)},
+            ["state"],
+        ),
+        f"""
+        SELECT state, quantile_cont(total, 0.25) AS q1, median(total) AS q2,
+               quantile_cont(total, 0.75) AS q3
+        FROM (SELECT state, CASE WHEN event_id % 7 > 0 AND event_id % 5 > 0 THEN total::DOUBLE END
+                AS total FROM {_TOTALLED}) AS g GROUP BY state""",
+    ),
+    Query(
+        "shapiro_wilk",
+        "n_tested:l w_statistic:d normality_pvalue:d",
+        lambda t: outliers.shapiro_wilk(_with_total(t), "total"),
+        shapiro_sql("total", _TOTALLED),
+    ),
+    Query(
+        "distribution_stats_shapiro",
+        "count:l mean:d std:d median:d n_tested:l w_statistic:d normality_pvalue:d is_normal",
+        lambda t: outliers.distribution_stats(t.event_sums, "total_enrolments"),
+        f"""
+        SELECT s.*, t.*, normality_pvalue > 0.05 AS is_normal
+        FROM (SELECT count(total_enrolments) AS count, avg(total_enrolments) AS mean,
+                     stddev_samp(total_enrolments) AS std, median(total_enrolments) AS median
+              FROM event_states) AS s,
+             ({shapiro_sql("total_enrolments", "event_states")}) AS t""",
+    ),
 ]
 
 
@@ -331,11 +370,11 @@ def _path(depth: int, size: int) -> str:
 
 
 _PLANTED_SQL = f"""
-    SELECT event_id, score > 0.5 AS is_anomaly, score - 0.5 AS anomaly_score,
+    SELECT event_id, f0, f1, score > 0.5 AS is_anomaly, score - 0.5 AS anomaly_score,
            (score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0)
              AS anomaly_score_normalized
     FROM (
-      SELECT event_id, pow(2.0, -(
+      SELECT event_id, f0, f1, pow(2.0, -(
                CASE WHEN f0 <= 0.5 THEN {_path(1, 200)} WHEN f1 <= 0.25 THEN {_path(2, 40)}
                     ELSE {_path(2, 16)} END
                + CASE WHEN f1 <= -0.75 THEN {_path(1, 2)} ELSE {_path(1, 254)} END
@@ -348,6 +387,24 @@ _PLANTED_SQL = f"""
     ) AS s"""
 
 
+_PLANTED_VISITS = f"""
+    SELECT tree, node, count(*) AS visits
+    FROM (SELECT unnest([0, 0, 0, 1, 1]) AS tree,
+                 unnest([0, CASE WHEN f0 <= 0.5 THEN 1 ELSE 2 END,
+                         CASE WHEN f0 <= 0.5 THEN NULL WHEN f1 <= 0.25 THEN 3 ELSE 4 END,
+                         0, CASE WHEN f1 <= -0.75 THEN 1 ELSE 2 END]) AS node
+          FROM ({_PLANTED_SQL}) AS p WHERE is_anomaly) AS passed
+    WHERE node IS NOT NULL GROUP BY tree, node"""
+_PLANTED_IMPORTANCE = f"""
+    SELECT feature, weight / sum(weight) OVER () AS importance
+    FROM (SELECT unnest(['total', 'age_0_5']) AS feature,
+                 unnest([sum(log2(256 / CASE WHEN f0 <= 0.5 THEN 200 ELSE 56 END::DOUBLE)),
+                         sum(coalesce(log2(56 / CASE WHEN f0 <= 0.5 THEN NULL WHEN f1 <= 0.25 THEN 40
+                                                ELSE 16 END::DOUBLE), 0) / 2
+                             + log2(256 / CASE WHEN f1 <= -0.75 THEN 2 ELSE 254 END::DOUBLE))]) AS weight
+          FROM ({_PLANTED_SQL}) AS p WHERE is_anomaly) AS w"""
+
+
 def _tree_shapes(t: Tables) -> DataFrame:
     """Per fitted tree: rows at the root and in the leaves, and whether its form is sound."""
     is_leaf = F.col("feature") == iforest.LEAF
@@ -412,18 +469,21 @@ FOREST = [
     ),
     Query(
         "forest_fit_trees",
-        "tree node feature threshold:d left right size depth",
+        "tree:i node:i feature:i threshold:d left:i right:i size:i depth:i",
         lambda t: _detector(t)[0].tree_table(t.spark),
+        nodes_sql("features", PIPELINE_FEATURES),
     ),
     Query(
         "forest_predict",
         "date state is_anomaly anomaly_score:d anomaly_score_normalized:d",
         lambda t: (lambda model, df: model.transform(df))(*_detector(t)),
+        scores_sql("features", PIPELINE_FEATURES, 0.05),
     ),
     Query(
         "detect_anomalies",
         "date state total_enrolments:l is_anomaly anomaly_score:d anomaly_score_normalized:d",
         lambda t: iforest.detect_anomalies(_daily_features(t), PIPELINE_FEATURES, 0.1),
+        scores_sql("features", PIPELINE_FEATURES, 0.1),
     ),
     Query(
         "detect_anomalies_too_few_features",
@@ -439,11 +499,33 @@ FOREST = [
         lambda t: iforest.detect_anomalies(
             _with_total(t), ["total", "age_0_5", "age_5_17", "age_18_greater"]
         ),
+        scores_sql(_TOTALLED, ["total", "age_0_5", "age_5_17", "age_18_greater"], 0.05),
+    ),
+    Query(
+        "forest_record_trees",
+        "tree:i node:i feature:i threshold:d left:i right:i size:i depth:i",
+        lambda t: iforest.IsolationForest()
+        .fit(_with_total(t), ["total", "age_0_5", "age_18_greater"])
+        .tree_table(t.spark),
+        nodes_sql(_TOTALLED, ["total", "age_0_5", "age_18_greater"]),
     ),
     Query(
         "forest_feature_importance",
         "feature importance:d",
         lambda t: iforest.feature_importance(_detector(t)[0], t.spark),
+        importance_sql("features", PIPELINE_FEATURES),
+    ),
+    Query(
+        "forest_anomaly_importance",
+        "feature importance:d",
+        lambda t: iforest.anomaly_importance(_planted_forest(), _gappy_totals(t)),
+        _PLANTED_IMPORTANCE,
+    ),
+    Query(
+        "forest_anomaly_visits",
+        "tree:i node:i visits:l",
+        lambda t: iforest.anomaly_visits(_planted_forest(), _gappy_totals(t)),
+        _PLANTED_VISITS,
     ),
 ]
 
@@ -521,6 +603,12 @@ def _holt(t: Tables) -> DataFrame:
     return forecast.holt_fit(series, ["state"])
 
 
+def _record_series(t: Tables) -> DataFrame:
+    """Every record a step, so that a state's series is as long as its records are many."""
+    series = t.enrol_events.withColumn("value", F.col("age_5_17"))
+    return forecast.holt_fit(series, ["state"], order_cols=["date", "event_id"], split=True)
+
+
 FORECASTS = [
     Query(
         "forecast_model",
@@ -572,6 +660,29 @@ FORECASTS = [
         lambda t: forecast.holt_predict(_holt(t), ["state"]),
         _holt_sql("event_states", 7),
     ),
+    Query(
+        "holt_record_series",
+        "state level:d trend:d last_date",
+        _record_series,
+        """
+        SELECT state, level, trend, last_date
+        FROM (
+          WITH RECURSIVE records AS (
+            SELECT state, age_5_17::DOUBLE AS v, date,
+                   row_number() OVER (PARTITION BY state ORDER BY date, event_id) AS r,
+                   lead(age_5_17) OVER (PARTITION BY state ORDER BY date, event_id) AS next
+            FROM enrol_events),
+          holt AS (
+            SELECT state, r, v AS level, coalesce(next - v, 0)::DOUBLE AS trend FROM records WHERE r = 1
+            UNION ALL
+            SELECT d.state, d.r, 0.3 * d.v + 0.7 * (h.level + h.trend),
+                   0.1 * (0.3 * d.v + 0.7 * (h.level + h.trend) - h.level) + 0.9 * h.trend
+            FROM holt AS h JOIN records AS d ON d.state = h.state AND d.r = h.r + 1)
+          SELECT holt.state, level, trend, last_date
+          FROM holt JOIN (SELECT state, max(r) AS r, max(date) AS last_date FROM records GROUP BY state)
+            AS ends USING (state, r)
+        ) AS model""",
+    ),
 ]
 
 QUERIES = [*RISK, *OUTLIERS, *FOREST, *FORECASTS]

@@ -66,6 +66,29 @@ def _custom_rule(t: Tables) -> DataFrame:
     return _named(alerts.process(t.scored, rules))
 
 
+def _formatted_alerts(t: Tables) -> DataFrame:
+    """Templates with the fields, fills, commas and kinds that format() knows."""
+
+    def rule(name: str, column: str, message: str, threshold: float | None = None):
+        return alerts.AlertRule(
+            name, "threshold_breach", column, f"{column} IS NOT NULL", "info", message, threshold
+        )
+
+    rules = [
+        rule("whole", "thousands", "{value:,} in {region:*<10} ({threshold:.2f})", 0.5),
+        rule("share", "child_ratio", "{region:>10}|{value:>9.2%}|{region:.3}"),
+        rule("flag", "is_anomaly", "flag {value}"),
+        rule("exponent", "imbalance", "{value:,.2e} {value:+.1f}"),
+    ]
+    rows = t.scored.withColumns(
+        {
+            "thousands": F.col("total_enrolments") * 1000,
+            "imbalance": F.col("demographic_imbalance") * 12345,
+        }
+    )
+    return _named(alerts.process(rows, rules))
+
+
 _OWN_SQL = _rule_sql(
     "low_child_share", "threshold_breach", "child_ratio", "child_ratio < 0.5", "info", 0.5
 )
@@ -97,6 +120,25 @@ ALERTS = [
                || printf('%.1f', growth_rate * 100) || '% decrease' FROM scored
         WHERE growth_rate < -0.3""",
     ),
+    Query(
+        "alert_message_formats",
+        "region timestamp:t rule message",
+        _formatted_alerts,
+        """
+        SELECT state AS region, date AS timestamp, 'whole' AS rule,
+               format('{:,}', total_enrolments * 1000) || ' in ' || rpad(state, 10, '*')
+                 || ' (0.50)' AS message
+        FROM scored
+        UNION ALL SELECT state, date, 'share',
+               lpad(state, 10, ' ') || '|' || lpad(printf('%.2f', child_ratio * 100) || '%', 9, ' ')
+                 || '|' || left(state, 3)
+        FROM scored WHERE child_ratio IS NOT NULL
+        UNION ALL SELECT state, date, 'flag', 'flag ' || CASE WHEN is_anomaly THEN 'True' ELSE 'False' END
+        FROM scored
+        UNION ALL SELECT state, date, 'exponent', printf('%.2e', imbalance) || ' ' || printf('%+.1f', imbalance)
+        FROM (SELECT state, date, demographic_imbalance * 12345 AS imbalance FROM scored) AS i
+        WHERE imbalance IS NOT NULL""",
+    ),
     Query(
         "alerts_custom_thresholds",
         _ALERT,
@@ -286,6 +328,15 @@ MAPS = [
         FROM (SELECT DISTINCT date FROM scored) AS d CROSS JOIN (SELECT DISTINCT state FROM scored) AS x
         LEFT JOIN scored USING (date, state) GROUP BY date, state""",
     ),
+    Query(
+        "risk_grid_rows",
+        "date state risk_score:d",
+        lambda t: geo.risk_grid_rows(t.scored),
+        """
+        SELECT date, state, coalesce(avg(risk_score), 0) AS risk_score
+        FROM (SELECT DISTINCT date FROM scored) AS d CROSS JOIN (SELECT DISTINCT state FROM scored) AS x
+        LEFT JOIN scored USING (date, state) GROUP BY date, state""",
+    ),
     Query(
         "district_bubbles",
         "state district total_enrolments:l risk_score:d",

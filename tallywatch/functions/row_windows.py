@@ -16,8 +16,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tallywatch.functions.scale import is_small, written
+from tallywatch.functions.scale import estimated_bytes, is_small, written
 
+CHUNK_CONF = "spark.tallywatch.chunkBytes"
+# Of stored Parquet: several times as much in memory.
+CHUNK_BYTES = 32 * 1024 * 1024
 TIE_COLS = ("state", "district", "pincode")
 
 
@@ -40,16 +43,29 @@ def plain_window(group_cols: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy(*order)
 
 
+def chunk_count(rows: DataFrame) -> int:
+    """How many chunks keep each near the target size; `rows` is a stored table."""
+    target = int(rows.sparkSession.conf.get(CHUNK_CONF, str(CHUNK_BYTES)))
+    return -(-estimated_bytes(rows) // target)
+
+
 def with_chunks(df: DataFrame, group_cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The stored rows of `df` with `_chunk`, which never decreases along (group, order).
 
-    Chunks are the session's shuffle partitions, as adaptive execution merges
-    them by size. The rows are stored first, as finding even bounds reads them
-    once more, and after, so that every reader sees the same chunks.
+    There are as many chunks as the stored rows' bytes ask for, so a chunk stays
+    the same size as the table grows; below the session's shuffle partitions
+    adaptive execution chooses their number. Rows that are equal in group and
+    order are dealt over several chunks, if they are many, by a number of their
+    own. The rows are stored first, as finding even bounds reads them once more,
+    and after, so that every reader sees the same chunks.
     """
-    rows = written(df, "window-input")
-    placed = rows.repartitionByRange(*group_cols, *order)
-    return written(placed.withColumn("_chunk", F.spark_partition_id()), "window-chunks")
+    numbered = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = written(numbered, "window-input")
+    count = chunk_count(rows)
+    few = count <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [*group_cols, *order, "_tie"]
+    placed = rows.repartitionByRange(*cuts) if few else rows.repartitionByRange(count, *cuts)
+    return written(placed.drop("_tie").withColumn("_chunk", F.spark_partition_id()), "window-chunks")
 
 
 def with_carry(df: DataFrame, group_cols: Sequence[str], order: Sequence[str], col: str) -> DataFrame:

@@ -33,6 +33,26 @@ _SPEC = re.compile(
 )
 
 
+_TEXT_SPEC = re.compile(r"(?:(?P<fill>.)?(?P<align>[<>^]))?(?P<width>[1-9]\d*)?(?:\.(?P<digits>\d+))?s?")
+
+
+def _check_spec(name: str, spec: str, threshold: float | None) -> bool:
+    """Whether a format for this field gives what Python's format() gives."""
+    if name == "region":
+        return bool(_TEXT_SPEC.fullmatch(spec))
+    if name == "threshold":
+        try:
+            format(threshold, spec)
+        except (TypeError, ValueError):
+            return False
+        return True
+    m = _SPEC.fullmatch(spec)
+    if not m or (m["digits"] and m["kind"] in ("", "d", "s")):
+        return False
+    # Python has no comma for text, and puts commas between padding zeros.
+    return not (m["comma"] and (m["kind"] == "s" or m["zero"]))
+
+
 @dataclass(frozen=True)
 class AlertRule:
     """`condition` maps the checked column to a boolean column, or is SQL text."""
@@ -46,10 +66,12 @@ class AlertRule:
     threshold: float | None = None
 
     def __post_init__(self):
-        for _, name, spec, _ in Formatter().parse(self.message):
+        for _, name, spec, conversion in Formatter().parse(self.message):
             if name not in (None, "value", "region", "threshold"):
                 raise ValueError(f"unknown field {name} in {self.message!r}")
-            if name == "value" and spec and not _SPEC.fullmatch(spec):
+            if conversion:
+                raise ValueError(f"unsupported conversion !{conversion} in {self.message!r}")
+            if spec and not _check_spec(name, spec, self.threshold):
                 raise ValueError(f"unsupported format {spec!r} in {self.message!r}")
 
     def fires(self) -> Column:
@@ -151,49 +173,90 @@ def remove_rule(rules: Sequence[AlertRule], name: str) -> tuple[AlertRule, ...]:
     return tuple(r for r in rules if r.name != name)
 
 
-def _formatted(value: Column, spec: str) -> Column:
-    """A number as Python's format() gives it; `d` rounds."""
+def _padded(text: Column, m: re.Match, default: str) -> Column:
+    """`text` filled up to the width of a format."""
+    if not (width := int(m["width"] or 0)):
+        return text
+    gap = F.greatest(F.lit(width) - F.length(text), F.lit(0))
+    left = {"<": F.lit(0), ">": gap, "^": F.floor(gap / 2)}[m["align"] or default].cast("int")
+    fill = F.lit(m["fill"] or " ")
+    return F.concat(F.repeat(fill, left), text, F.repeat(fill, gap - left))
+
+
+def _plain(value: Column, is_whole: bool) -> Column:
+    """A number as Python's str() gives it: the shortest digits that name it."""
+    text = value.cast("string")
+    if is_whole:
+        return text
+    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2))
+    power = F.coalesce(F.try_to_number(power, F.lit("S999")).cast("int"), F.lit(0))
+    scientific = F.concat(
+        F.regexp_replace(mantissa, r"\.0$", ""),
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.lpad(F.abs(power).cast("string"), 2, "0"),
+    )
+    size = F.abs(value)
+    digits = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    usual = F.regexp_replace(digits, r"\.$", ".0")
+    in_range = (size == 0) | ((size >= 1e-4) & (size < 1e16))
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(size == 0, F.when(text.startswith("-"), "-0.0").otherwise("0.0"))
+        .when(in_range, usual)
+        .otherwise(scientific)
+    )
+
+
+def _formatted(value: Column, spec: str, is_whole: bool) -> Column:
+    """A number as Python's format() gives it, but that `d` rounds and halves go up."""
     m = _SPEC.fullmatch(spec)
-    kind, flags = m["kind"] or ("f" if m["digits"] else "s"), m["sign"].strip("-") + m["comma"]
-    digits = f".{m['digits'] or 6}"
-    number = value.cast("double")
-    if kind == "d":
+    kind, number = m["kind"], value.cast("double")
+    comma = "," if m["comma"] and kind != "e" else ""
+    flags, digits = m["sign"].strip("-") + comma, f".{m['digits'] or 6}"
+    if kind in ("", "s"):
+        text = _plain(value if is_whole else number, is_whole)
+        if comma:
+            whole = F.regexp_extract(text, r"^-?\d+", 0)
+            grouped = F.regexp_replace(whole, r"(\d)(?=(\d{3})+$)", "$1,")
+            text = F.when(
+                text.contains("e") | (F.length(whole) == 0), text
+            ).otherwise(F.concat(grouped, F.substring(text, F.length(whole) + 1, F.length(text))))
+        if m["sign"].strip("-"):
+            text = F.when(number >= 0, F.concat(F.lit(m["sign"]), text)).otherwise(text)
+    elif kind == "d":
         text = F.format_string(f"%{flags}d", F.rint(number).cast("long"))
-    elif kind == "s":
-        text = value.cast("string")
     elif kind == "%":
         text = F.format_string(f"%{flags}{digits}f%%", number * 100)
     else:
         text = F.format_string(f"%{flags}{digits}{kind.lower()}", number)
-    width = int(m["width"] or 0)
-    if not width:
-        return text
-    fill = m["fill"] or ("0" if m["zero"] and not m["align"] else " ")
-    gap = F.greatest(F.lit(width) - F.length(text), F.lit(0))
-    if m["zero"] and not m["align"]:  # zeros go after the sign
+    if m["zero"] and not m["align"] and m["width"]:  # zeros go after the sign
+        gap = F.greatest(F.lit(int(m["width"])) - F.length(text), F.lit(0))
         sign = F.regexp_extract(text, "^[-+ ]?", 0)
-        return F.concat(sign, F.repeat(F.lit(fill), gap), F.regexp_replace(text, "^[-+ ]", ""))
-    align = m["align"] or ("<" if kind == "s" else ">")
-    left = {"<": F.lit(0), ">": gap, "^": F.floor(gap / 2)}[align].cast("int")
-    return F.concat(F.repeat(F.lit(fill), left), text, F.repeat(F.lit(fill), gap - left))
+        return F.concat(sign, F.repeat(F.lit("0"), gap), F.regexp_replace(text, "^[-+ ]", ""))
+    return _padded(text, m, "<" if kind == "s" else ">")
 
 
-def _message(rule: AlertRule, region: Column) -> Column:
+def _message(rule: AlertRule, region: Column, kind: str) -> Column:
     """The template as a column; fields are value, region and threshold."""
-    parts = []
+    parts, value = [], F.col(rule.column)
+    is_whole = kind not in ("double", "float")
     for text, name, spec, _ in Formatter().parse(rule.message):
         if text:
             parts.append(F.lit(text))
         if name is None:
             continue
         if name == "region":
-            parts.append(region)
+            m = _TEXT_SPEC.fullmatch(spec)
+            cut = F.substring(region, 1, int(m["digits"])) if m["digits"] else region
+            parts.append(_padded(cut, m, "<"))
         elif name == "threshold":
             parts.append(F.lit(format(rule.threshold, spec) if spec else str(rule.threshold)))
-        elif spec:
-            parts.append(_formatted(F.col(rule.column), spec))
+        elif kind == "boolean":
+            as_text = F.when(value, "True").otherwise("False")
+            parts.append(_formatted(value.cast("int"), spec, True) if spec else as_text)
         else:
-            parts.append(F.col(rule.column).cast("string"))
+            parts.append(_formatted(value, spec, is_whole) if spec else _plain(value, is_whole))
     return F.concat(*parts)
 
 
@@ -206,13 +269,14 @@ def process(
     """One row per row and firing rule, in a single pass without a shuffle."""
     region = F.col(region_col) if region_col in df.columns else F.lit("Unknown")
     stamp = F.col(date_col).cast("timestamp") if date_col in df.columns else F.current_timestamp()
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
     entries = [
         F.when(
             r.fires(),
             F.struct(
                 F.lit(r.alert_type).alias("type"),
                 F.lit(r.severity).alias("severity"),
-                _message(r, region).alias("message"),
+                _message(r, region.cast("string"), kinds[r.column]).alias("message"),
                 region.cast("string").alias("region"),
                 F.col(r.column).cast("double").alias("value"),
                 F.lit(r.threshold).cast("double").alias("threshold"),

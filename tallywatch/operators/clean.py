@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import age_total, flag, strip, title_case
+from tallywatch.functions.scale import with_row
 from tallywatch.operators.quality import duplicate_count
 from tallywatch.schema import AGE_COLS, CRITICAL_COLS, KEY_COLS, RECORD_COLS
 
@@ -55,11 +56,12 @@ def _listed(entries: list[Column]) -> Column:
     return F.array_compact(F.array(*entries)) if entries else F.array().cast("array<string>")
 
 
-def validate_data(df: DataFrame) -> DataFrame:
+def validate_data(df: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
     """One row: verdict, issues, warnings, counts and date range.
 
     Missing columns are reported as an issue; the other checks go on with the
-    columns that exist.
+    columns that exist. With the `rejects` of the load, the report also counts
+    the lines set aside, and those among them whose date was not understood.
     """
     present = [c for c in RECORD_COLS if c in df.columns]
     missing = [c for c in RECORD_COLS if c not in df.columns]
@@ -78,6 +80,16 @@ def validate_data(df: DataFrame) -> DataFrame:
     if keys:
         facts = facts.withColumn("duplicate_count", duplicate_count(df, keys).scalar())
 
+    set_aside = []
+    if rejects is not None:
+        unread = F.array_contains("reasons", F.lit("date not understood"))
+        lost = rejects.agg(F.count("*").alias("rejected"), F.count_if(unread).alias("dates"))
+        facts = with_row(facts, lost, "_r").withColumns(
+            {"rejected_lines": F.col("_r.rejected"), "unparsed_dates": F.col("_r.dates")}
+        ).drop("_r")
+        some = F.concat(F.col("rejected_lines").cast("string"), F.lit(" lines set aside"))
+        set_aside = [F.when(F.col("rejected_lines") > 0, some)]
+
     issues = []
     if missing:
         issues.append(F.lit(f"Missing columns: {missing}"))
@@ -86,7 +98,7 @@ def validate_data(df: DataFrame) -> DataFrame:
     ]
     if "date" in present:
         issues.append(F.when(F.col("date_start") > F.col("date_end"), F.lit("Invalid date range")))
-    warnings = []
+    warnings = set_aside
     if present:
         nulls = [
             F.when(

@@ -1,17 +1,20 @@
 """Forecasts per key. Every key is a row set of the same plan; there is no loop.
 
 Records are summed per key and date first, so a key has at most one row per
-calendar day from then on and its windows stay small.
+calendar day from then on and its windows stay small. Holt's method takes
+series of any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import flag, not_null, ratio, with_total
+from tallywatch.functions.row_windows import must_split, with_chunks
 
 TREND_WINDOW = 14
 MIN_ROWS = 7
@@ -151,13 +154,30 @@ def forecast_total(
     return series.select("date", F.col("value").alias("total_enrolments")), forecast
 
 
-def _holt_step(alpha: float, beta: float):
-    def step(state: Column, value: Column) -> Column:
-        level = alpha * value + (1 - alpha) * (state["level"] + state["trend"])
-        trend = beta * (level - state["level"]) + (1 - beta) * state["trend"]
-        return F.struct(level.alias("level"), trend.alias("trend"))
+def _matrix_power(alpha: float, beta: float, k: Column) -> list[list[Column]]:
+    """The matrix of `k` Holt steps without new values, entry by entry.
 
-    return step
+    One step takes (level, trend) to A (level, trend) + value (alpha, alpha * beta).
+    By Cayley and Hamilton every power of A is x A + y I, where x and y follow
+    from its eigenvalues: two real ones, one twice, or a complex pair.
+    """
+    a = [[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]]
+    half, det = (a[0][0] + a[1][1]) / 2, 1 - alpha
+    root = half * half - det
+    k = k.cast("double")
+    if root > 1e-12:
+        e1, e2 = half + math.sqrt(root), half - math.sqrt(root)
+        p1, p2 = F.pow(F.lit(e1), k), F.pow(F.lit(e2), k)
+        x, y = (p1 - p2) / (e1 - e2), (e1 * p2 - e2 * p1) / (e1 - e2)
+    elif root < -1e-12:
+        size, angle = math.sqrt(det), math.atan2(math.sqrt(-root), half)
+        grown = F.pow(F.lit(size), k)
+        sine = F.sin(k * angle) / math.sin(angle)
+        x, y = grown / size * sine, grown * (F.cos(k * angle) - math.cos(angle) * sine)
+    else:
+        x = k * F.pow(F.lit(half), k - 1) if half else F.when(k == 1, 1.0).otherwise(0.0)
+        y = F.pow(F.lit(half), k) - half * x
+    return [[a[i][j] * x + (y if i == j else 0) for j in (0, 1)] for i in (0, 1)]
 
 
 def holt_fit(
@@ -165,26 +185,72 @@ def holt_fit(
     keys: Sequence[str] = (),
     alpha: float = HOLT_ALPHA,
     beta: float = HOLT_BETA,
+    order_cols: Sequence[str] = ("date",),
+    split: bool | None = None,
 ) -> DataFrame:
-    """Holt's level and trend per key, folded over its days in date order.
+    """Holt's level and trend per key, over its values in the given order.
 
-    `series` has one row per key and day, as `daily_series` returns it, so the
-    folded array is never longer than the calendar.
+    Steps are affine maps of (level, trend), and maps compose in any grouping.
+    So the rows are cut into chunks along the order, each chunk is summed to
+    one map, and the few maps of a key are composed: no key is gathered in one
+    task, however long its series. Small inputs are one chunk. A missing value
+    makes its key's result NULL, and the result is the same as stepping through
+    the rows, but for rounding. `order_cols` must not tie within a key.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("date", F.col("value").cast("double").alias("value"))))
-    per_key = series.groupBy(*keys).agg(
-        ordered.alias("_days"), F.max("date").alias("last_date")
+    keys, order = list(keys), list(order_cols)
+    rows = series.select(
+        *dict.fromkeys([*keys, *order, "date"]), F.col("value").cast("double").alias("value")
     )
-    values = F.transform("_days", lambda d: d["value"])
-    first, second = F.get("_v", F.lit(0)), F.get("_v", F.lit(1))
-    start = F.struct(
-        first.alias("level"), F.coalesce(second - first, F.lit(0.0)).alias("trend")
+    if must_split(rows, split):
+        rows = with_chunks(rows, keys, order)
+    else:
+        rows = rows.withColumn("_chunk", F.lit(0))
+    in_chunk = Window.partitionBy(*keys, "_chunk")
+    placed = rows.withColumns(
+        {
+            "_i": F.row_number().over(in_chunk.orderBy(*order)),
+            "_left": F.count("*").over(in_chunk) - F.row_number().over(in_chunk.orderBy(*order)),
+        }
     )
-    rest = F.slice("_v", F.lit(2), F.greatest(F.size("_v") - 1, F.lit(0)))
-    return (
-        per_key.withColumn("_v", values)
-        .withColumn("_holt", F.aggregate(rest, start, _holt_step(alpha, beta)))
-        .select(*keys, "last_date", "_holt.level", "_holt.trend")
+    value = F.col("value")
+    power = _matrix_power(alpha, beta, F.col("_left"))
+    # What a value adds to (level, trend) at the end of its chunk.
+    added = [(row[0] * alpha + row[1] * (alpha * beta)) * value for row in power]
+    first = F.col("_i") == 1
+    chunks = placed.groupBy(*keys, "_chunk").agg(
+        F.count("*").alias("_n"),
+        (F.count(value) < F.count("*")).alias("_gap"),
+        F.max("date").alias("last_date"),
+        F.max(F.when(first, value)).alias("_v1"),
+        F.max(F.when(F.col("_i") == 2, value)).alias("_v2"),
+        *[F.coalesce(F.sum(F.when(~first, a)), F.lit(0.0)).alias(f"_b{i}") for i, a in enumerate(added)],
+        *[F.max(F.when(first, a)).alias(f"_f{i}") for i, a in enumerate(added)],
+    )
+    # From here on one row a chunk.
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
+    rest = along.rowsBetween(1, Window.unboundedFollowing)
+    chunks = chunks.withColumns(
+        {
+            "_after": F.coalesce(F.sum("_n").over(rest), F.lit(0)),
+            "_opens": F.row_number().over(along) == 1,
+            "_second": F.coalesce("_v2", F.lead("_v1").over(along)),
+        }
+    )
+    # The first value of a key is its first level, not a step.
+    b = [F.col(f"_b{i}") + F.when(F.col("_opens"), 0.0).otherwise(F.col(f"_f{i}")) for i in (0, 1)]
+    power = _matrix_power(alpha, beta, F.col("_after"))
+    steps = _matrix_power(alpha, beta, F.col("_after") + F.col("_n") - 1)
+    start = [F.col("_v1"), F.coalesce(F.col("_second") - F.col("_v1"), F.lit(0.0))]
+    parts = [
+        row[0] * b[0] + row[1] * b[1] + F.when(F.col("_opens"), s[0] * start[0] + s[1] * start[1]).otherwise(0.0)
+        for row, s in zip(power, steps)
+    ]
+    return chunks.groupBy(*keys).agg(
+        F.max("last_date").alias("last_date"),
+        *[
+            F.when(~F.bool_or("_gap"), F.sum(part)).alias(name)
+            for name, part in zip(("level", "trend"), parts)
+        ],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import not_null, ratio, strip, title_case, with_total
 from tallywatch.functions.ranks import exact_quantiles
+from tallywatch.functions.scale import written
 
 # Other spellings of region names, matched after title case.
 SPELLINGS = {
@@ -145,13 +146,30 @@ def risk_grid(
     """Mean value per date and region, regions as columns, gaps as 0.
 
     Without `values` Spark finds the regions and refuses more of them than
-    spark.sql.pivotMaxValues allows columns.
+    spark.sql.pivotMaxValues allows columns: `risk_grid_rows` takes any number.
     """
     grouped = not_null(df, [y_col] if values is not None else [y_col, x_col]).groupBy(y_col)
     pivoted = grouped.pivot(x_col, None if values is None else list(values))
     return pivoted.agg(F.avg(value_col)).na.fill(0.0)
 
 
+def risk_grid_rows(
+    df: DataFrame, x_col: str = "state", y_col: str = "date", value_col: str = "risk_score"
+) -> DataFrame:
+    """The grid as rows: a mean for every region on every date, gaps as 0.
+
+    For any number of regions: none of them is a column, and their names never
+    leave the executors. The dates, as many as the calendar has, are put beside
+    each region from one array. Rows without a date or region are left out.
+    """
+    cells = not_null(df, [x_col, y_col]).groupBy(x_col, y_col).agg(F.avg(value_col).alias(value_col))
+    cells = written(cells, "grid-cells")
+    days = cells.agg(F.array_sort(F.collect_set(y_col)).alias("d")).scalar()
+    regions = cells.select(x_col).distinct()
+    full = regions.select(x_col, F.explode(days).alias(y_col)).join(cells, [x_col, y_col], "left")
+    return full.select(y_col, x_col, F.coalesce(value_col, F.lit(0.0)).alias(value_col))
+
+
 def grid_rows(
     grid: DataFrame, x_col: str = "state", y_col: str = "date", value_col: str = "risk_score"
 ) -> DataFrame:

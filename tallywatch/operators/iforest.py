@@ -1,7 +1,10 @@
 """Isolation forest: distributed sampling, tree growth and scoring.
 
 Training grows each tree on its own random sample of the rows, as the method
-asks; the samples of all trees together are at most trees * sample_size rows. Scoring is a vectorised function over a
+asks; the samples of all trees together are at most trees * sample_size rows.
+All trees grow at once, one window step a level. Every draw is a hash of the
+seed and what it is for, so a forest depends on its rows and seed alone and any
+engine that hashes alike can grow it. Scoring is a vectorised function over a
 broadcast forest, whose size is bounded by trees * (2 * sample_size - 1) nodes.
 """
 
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.functions.ranks import exact_quantiles
+from tallywatch.functions.samples import spread_sample
 from tallywatch.functions.scale import is_small, with_row, written
 from tallywatch.schema import ANOMALY_FEATURES, CONTAMINATION
 
@@ -26,9 +30,11 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 )
 LEAF = -1
+_STEPS = "array<struct<node: bigint, feature: int, threshold: double, size: int, depth: int>>"
+# Scores are rounded to so many digits, so that equal rows stay equal whatever the order of a sum.
+SCORE_DIGITS = 10
 # Ship the small functions below with each task: executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-_CHUNK_BITS = 12
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -39,30 +45,79 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, full))
 
 
-def grow_tree(points: np.ndarray, tree: int, seed: int, max_depth: int) -> pd.DataFrame:
-    """One tree: random feature, uniform cut between its extremes, until alone."""
-    rng = np.random.default_rng([seed, tree])
-    nodes: list[list] = []
-    pending = [(np.arange(len(points)), 0, None, 0)]
-    while pending:
-        rows, depth, parent, side = pending.pop()
-        me = len(nodes)
-        nodes.append([tree, me, LEAF, 0.0, LEAF, LEAF, len(rows), depth])
-        if parent is not None:
-            nodes[parent][side] = me
-        if depth >= max_depth or len(rows) < 2:
-            continue
-        low, high = points[rows].min(axis=0), points[rows].max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if not len(usable):
-            continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        goes_left = points[rows, feature] <= cut
-        nodes[me][2:4] = [feature, cut]
-        pending.append((rows[~goes_left], depth + 1, me, 5))
-        pending.append((rows[goes_left], depth + 1, me, 4))
-    return pd.DataFrame(nodes, columns=[f.split()[0] for f in NODE_SCHEMA.split(", ")])
+def draw(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on `parts` alone: 52 bits of their MD5."""
+    digest = F.md5(F.concat_ws(",", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / 2.0**52
+
+
+def grow_trees(sample: DataFrame, names: Sequence[str], seed: int, max_depth: int) -> DataFrame:
+    """The nodes of all trees over `sample`, which has `tree` and the features.
+
+    A node takes a random feature and a uniform cut between its extremes, until
+    its rows are alike or it is `max_depth` deep. A level is one window over each node's rows. Rows are dealt by tree once and
+    stay there; the children of node i are 2i + 1 and 2i + 2.
+    """
+    of_node = Window.partitionBy("tree", "_node")
+    features = [F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(names)]
+    xs = [f"_x{i}" for i in range(len(names))]
+    ends = [
+        f(x).over(of_node).alias(x + k) for x in xs for f, k in ((F.min, "lo"), (F.max, "hi"))
+    ]
+    rows = sample.select("tree", *features).withColumns(
+        {"_node": F.lit(0).cast("long"), "_live": F.lit(True), "_path": F.array().cast(_STEPS)}
+    )
+    for depth in range(max_depth + 1):
+        rows = rows.select("*", F.count("*").over(of_node).alias("_size"), *ends)
+        usable = [
+            F.when(
+                F.col(x + "hi") > F.col(x + "lo"),
+                F.struct(
+                    F.lit(i).alias("i"),
+                    F.col(x + "lo").alias("lo"),
+                    F.col(x + "hi").alias("hi"),
+                    F.col(x).alias("v"),
+                ),
+            )
+            for i, x in enumerate(xs)
+        ]
+        rows = rows.withColumn("_usable", F.array_compact(F.array(*usable)))
+        splits = F.col("_live") & (F.size("_usable") > 0) & F.lit(depth < max_depth)
+        which = draw(F.lit(seed), F.col("tree"), F.col("_node"), F.lit("feature"))
+        pick = F.get("_usable", F.floor(which * F.size("_usable")).cast("int"))
+        rows = rows.withColumn("_pick", F.when(splits, pick))
+        share = draw(F.lit(seed), F.col("tree"), F.col("_node"), F.lit("cut"))
+        cut = F.col("_pick.lo") + share * (F.col("_pick.hi") - F.col("_pick.lo"))
+        rows = rows.withColumn("_cut", cut)
+        step = F.struct(
+            F.col("_node").alias("node"),
+            F.coalesce("_pick.i", F.lit(LEAF)).alias("feature"),
+            F.coalesce("_cut", F.lit(0.0)).alias("threshold"),
+            F.col("_size").cast("int").alias("size"),
+            F.lit(depth).alias("depth"),
+        )
+        goes_right = (F.col("_pick.v") > F.col("_cut")).cast("long")
+        path = F.when(F.col("_live"), F.array_append("_path", step)).otherwise(F.col("_path"))
+        rows = rows.select(
+            "tree",
+            *xs,
+            F.coalesce(2 * F.col("_node") + 1 + goes_right, "_node").alias("_node"),
+            F.col("_pick").isNotNull().alias("_live"),
+            path.alias("_path"),
+        )
+    # Rows of one node carry the same step: one is kept of each.
+    nodes = rows.select("tree", F.explode("_path").alias("s")).select("tree", "s.*").distinct()
+    child = [F.when(F.col("feature") != LEAF, 2 * F.col("node") + k).otherwise(LEAF) for k in (1, 2)]
+    return nodes.select(
+        F.col("tree").cast("int").alias("tree"),
+        F.col("node").cast("int").alias("node"),
+        "feature",
+        "threshold",
+        child[0].cast("int").alias("left"),
+        child[1].cast("int").alias("right"),
+        "size",
+        "depth",
+    )
 
 
 def flatten_forest(nodes: pd.DataFrame, sample_size: int) -> dict:
@@ -73,11 +128,14 @@ def flatten_forest(nodes: pd.DataFrame, sample_size: int) -> dict:
     """
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
     roots = np.flatnonzero(nodes["node"].to_numpy() == 0)
-    start = np.repeat(roots, np.diff([*roots, len(nodes)]))
     here = np.arange(len(nodes))
     split = nodes["feature"].to_numpy() != LEAF
-    left = np.where(split, start + nodes["left"].to_numpy(), here)
-    right = np.where(split, start + nodes["right"].to_numpy(), here)
+    tree = nodes["tree"].to_numpy(dtype=np.int64) << 32
+    key = tree + nodes["node"].to_numpy()
+    left, right = (
+        np.where(split, np.searchsorted(key, tree + nodes[side].to_numpy()), here)
+        for side in ("left", "right")
+    )
     return {
         "roots": roots,
         "steps": int(nodes["depth"].max()),
@@ -101,36 +159,8 @@ def score_points(forest: dict, points: np.ndarray) -> np.ndarray:
             goes_right = value > forest["threshold"].take(at)
             at = forest["children"].take(2 * at + goes_right)
         total += forest["path"].take(at)
-    return np.power(2.0, -total / len(forest["roots"]) / forest["normal"])
-
-
-def _pool(scaled: DataFrame, names: list[str], rows: int, size: int, seed: int) -> DataFrame:
-    """(features, slot): `size` of `rows` rows, evenly spaced in hash order.
-
-    Equal rows are counted before the shuffle and fill slots in proportion, so
-    a value shared by many rows is neither missed nor gathered anywhere. The
-    leading hash bits cut the order into equal chunks for the running sum. The
-    result depends on the data and the seed only, not on the partitioning.
-    """
-    counted = scaled.groupBy(*names).agg(F.count("*").alias("_n"))
-    hashed = counted.withColumn("_h", F.xxhash64(*names, F.lit(seed))).withColumn(
-        "_chunk", F.shiftright("_h", 64 - _CHUNK_BITS)
-    )
-    chunks = hashed.groupBy("_chunk").agg(F.sum("_n").alias("_sum"))
-    along = Window.partitionBy(F.lit(0)).orderBy("_chunk")
-    bases = chunks.select("_chunk", (F.sum("_sum").over(along) - F.col("_sum")).alias("_base"))
-    within = Window.partitionBy("_chunk").orderBy("_h", *names)
-    # At most 2**_CHUNK_BITS rows, whatever the input.
-    placed = hashed.join(F.broadcast(bases), "_chunk").withColumn(
-        "_upto", F.col("_base") + F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    step = max(rows / size, 1.0)
-    first = F.ceil((F.col("_upto") - F.col("_n")) / step - 0.5)
-    last = F.ceil(F.col("_upto") / step - 0.5)
-    slots = placed.withColumns({"_first": first, "_last": F.least(last, F.lit(size))})
-    return slots.where(F.col("_last") > F.col("_first")).select(
-        *names, F.explode(F.sequence("_first", F.col("_last") - 1)).alias("slot")
-    )
+    score = np.power(2.0, -total / len(forest["roots"]) / forest["normal"])
+    return np.round(score, SCORE_DIGITS)
 
 
 def _assign(pool: DataFrame, rows: int, trees: int, sample_size: int, seed: int) -> DataFrame:
@@ -140,9 +170,10 @@ def _assign(pool: DataFrame, rows: int, trees: int, sample_size: int, seed: int)
         return pool.withColumn("tree", (F.col("slot") % trees).cast("int"))
     # Fewer rows than the pool can hold: each tree draws from all of them.
     ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    drawn = pool.withColumn("tree", ids).withColumn(
-        "_draw", F.xxhash64("slot", "tree", F.lit(seed))
-    )
+    drawn = pool.withColumn("tree", ids)
+    if rows <= sample_size:
+        return drawn
+    drawn = drawn.withColumn("_draw", F.md5(F.concat_ws(",", F.lit(str(seed)), "tree", "slot")))
     order = Window.partitionBy("tree").orderBy("_draw", "slot")
     return drawn.withColumn("_place", F.row_number().over(order)).where(
         F.col("_place") <= sample_size
@@ -158,15 +189,22 @@ class Scaling:
     means: tuple[float, ...]
     scales: tuple[float, ...]
 
-    def columns(self, fills: Sequence[Column] | None = None) -> list[Column]:
-        """One `scaled_` column per feature; `fills` replace the training medians."""
+    def filled(self, fills: Sequence[Column] | None = None) -> list[Column]:
+        """One `filled_` column per feature; `fills` replace the training medians."""
         fills = [F.lit(m) for m in self.medians] if fills is None else fills
-        parts = zip(self.feature_cols, fills, self.means, self.scales)
         return [
-            ((F.coalesce(F.col(c).cast("double"), fill) - mean) / scale).alias(f"scaled_{c}")
-            for c, fill, mean, scale in parts
+            F.coalesce(F.col(c).cast("double"), fill).alias(f"filled_{c}")
+            for c, fill in zip(self.feature_cols, fills)
         ]
 
+    def columns(
+        self, fills: Sequence[Column] | None = None, source: Sequence[str] | None = None
+    ) -> list[Column]:
+        """One `scaled_` column per feature, from its own or the already filled column."""
+        values = self.filled(fills) if source is None else [F.col(f"`{c}`") for c in source]
+        parts = zip(self.feature_cols, values, self.means, self.scales)
+        return [((v - mean) / scale).alias(f"scaled_{c}") for c, v, mean, scale in parts]
+
 
 def fit_scaling(df: DataFrame, feature_cols: Sequence[str]) -> Scaling:
     """Medians, then means and population deviations of the filled features."""
@@ -210,6 +248,14 @@ class IsolationForestModel:
 
         return score(*self.scaling.columns(fills))
 
+    def _with_fills(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """`df` with its medians in `_m`, and these as columns."""
+        medians = exact_quantiles(
+            df, {f"m{i}": (c, 0.5) for i, c in enumerate(self.feature_cols)}
+        )
+        fills = [F.col(f"_m.m{i}") for i in range(len(self.feature_cols))]
+        return with_row(df, medians, "_m"), fills
+
     def raw_scores(self, df: DataFrame) -> DataFrame:
         """Training scores: gaps take the training medians."""
         return df.withColumn("_score", self._score(df))
@@ -229,11 +275,7 @@ class IsolationForestModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Scores for any frame; gaps take that frame's medians."""
-        medians = exact_quantiles(
-            df, {f"m{i}": (c, 0.5) for i, c in enumerate(self.feature_cols)}
-        )
-        fills = [F.col(f"_m.m{i}") for i in range(len(self.feature_cols))]
-        filled = with_row(df, medians, "_m")
+        filled, fills = self._with_fills(df)
         scored = filled.withColumn("_score", self._score(df, fills)).drop("_m")
         if not is_small(df):
             # The range below needs all scores first; do not compute them twice.
@@ -255,28 +297,20 @@ class IsolationForest:
     def _grow(self, train: DataFrame, cols: list[str]) -> IsolationForestModel:
         """Trees over the stored table `train`, without a cut for anomalies yet."""
         scaling = fit_scaling(train, cols)
-        scaled = train.select(*scaling.columns())
-        names = scaled.columns
-        rows = scaled.count()
+        # Rows are drawn by their values before scaling, which hold no rounding of their own.
+        filled = train.select(*scaling.filled())
+        rows = filled.count()
         sample = min(self.max_samples, rows)
         size = min(rows, self.trees * sample)
-        pool = _pool(scaled, names, rows, size, self.seed)
+        pool = spread_sample(filled, filled.columns, rows, size, self.seed)
         assigned = _assign(pool, rows, self.trees, sample, self.seed)
-        depth, seed = math.ceil(math.log2(max(sample, 2))), self.seed
-
-        def grow(key: tuple, rows_of_tree: pd.DataFrame) -> pd.DataFrame:
-            ordered = rows_of_tree.sort_values("slot")
-            return grow_tree(ordered[names].to_numpy(dtype=float), int(key[0]), seed, depth)
-
-        # The sample is tiny in bytes but slow in Python: spread the trees.
+        scaled = assigned.select("tree", *scaling.columns(source=filled.columns))
+        depth = math.ceil(math.log2(max(sample, 2)))
+        # At most trees * sample_size rows: one shuffle deals them by tree for all levels.
         tasks = min(self.trees, train.sparkSession.sparkContext.defaultParallelism)
-        nodes = (
-            assigned.select("tree", "slot", *names)
-            .repartition(tasks, "tree")
-            .groupBy("tree")
-            .applyInPandas(grow, NODE_SCHEMA)
-            .toPandas()
-        )
+        scaled = scaled.repartition(tasks, "tree")
+        nodes = grow_trees(scaled, scaled.columns[1:], self.seed, depth).toPandas()
+        nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
         return IsolationForestModel(scaling, nodes, sample, 0.0, (0.0, 0.0))
 
     def _calibrate(self, draft: IsolationForestModel, scored: DataFrame) -> IsolationForestModel:
@@ -351,7 +385,76 @@ def feature_importance(model: IsolationForestModel, spark) -> DataFrame:
     weight = splits.groupBy(F.get(names, F.col("feature")).alias("feature")).agg(
         F.sum("size").alias("weight")
     )
+    return _shares(weight)
+
+
+def _shares(weight: DataFrame) -> DataFrame:
     total = weight.agg(F.sum("weight").alias("t")).scalar()
     return weight.select("feature", (F.col("weight") / total).alias("importance")).orderBy(
         F.desc("importance"), "feature"
     )
+
+
+def count_visits(forest: dict, points: np.ndarray) -> np.ndarray:
+    """How many rows pass each node, leaves included, in the order of the flat arrays."""
+    rows, width = points.shape
+    flat, first = np.ascontiguousarray(points).ravel(), np.arange(rows) * width
+    visits = np.zeros(len(forest["threshold"]), np.int64)
+    for root in forest["roots"]:
+        at = np.full(rows, root)
+        visits[root] += rows
+        for _ in range(forest["steps"]):
+            value = flat.take(first + forest["feature"].take(at))
+            to = forest["children"].take(2 * at + (value > forest["threshold"].take(at)))
+            moved = to != at
+            visits += np.bincount(to[moved], minlength=len(visits))
+            at = to
+    return visits
+
+
+def anomaly_visits(model: IsolationForestModel, df: DataFrame) -> DataFrame:
+    """(tree, node, visits): how often the rows of `df` that the model flags pass each node.
+
+    Rows are scored and counted in one go; gaps take the medians of `df`, as in
+    `transform`. Each task counts its own rows, so at most one row for each node
+    and task is shuffled.
+    """
+    filled, fills = model._with_fills(df)
+    flat = flatten_forest(model.nodes, model.sample_size)
+    forest = df.sparkSession.sparkContext.broadcast(flat)
+    nodes, cut = model.nodes.sort_values(["tree", "node"], ignore_index=True), model.cut
+
+    def count(batches):
+        total = np.zeros(len(nodes), np.int64)
+        for batch in batches:
+            points = batch.to_numpy(dtype=float)
+            total += count_visits(forest.value, points[score_points(forest.value, points) > cut])
+        seen = np.flatnonzero(total)
+        yield nodes.loc[seen, ["tree", "node"]].assign(visits=total[seen])
+
+    per_task = filled.select(*model.scaling.columns(fills)).mapInPandas(
+        count, "tree int, node int, visits long"
+    )
+    return per_task.groupBy("tree", "node").agg(F.sum("visits").alias("visits"))
+
+
+def anomaly_importance(model: IsolationForestModel, df: DataFrame) -> DataFrame:
+    """Share of each feature in what sets the flagged rows of `df` apart.
+
+    A split counts, for every flagged row that passes it, by how many times it
+    halves the rows beside that one: log2 of the node's size over that of the
+    child the row goes to. Deeper splits count less, by 1 / (depth + 1), as most
+    rows are alone at some depth. No row if nothing is flagged.
+    """
+    spark = df.sparkSession
+    names = F.array(*[F.lit(c) for c in model.feature_cols])
+    nodes = model.tree_table(spark).select("tree", "node", "size")
+    child = nodes.join(anomaly_visits(model, df), ["tree", "node"])
+    child = child.select("tree", F.col("node").alias("child"), F.col("size").alias("rows"), "visits")
+    splits = model.tree_table(spark).where(F.col("feature") != LEAF)
+    sides = splits.withColumn("child", F.explode(F.array("left", "right")))
+    gain = F.col("visits") * F.log2(F.col("size") / F.col("rows")) / (F.col("depth") + 1)
+    weight = sides.join(child, ["tree", "child"]).groupBy(
+        F.get(names, F.col("feature")).alias("feature")
+    )
+    return _shares(weight.agg(F.sum(gain).alias("weight")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.columns import flag, ratio, with_columns
 from tallywatch.functions.ranks import exact_quantiles
+from tallywatch.functions.sketches import approx_quantiles
 from tallywatch.schema import AGE_COLS
 
 REQUIRED_COLS = ("date", "state", "district", *AGE_COLS)
@@ -211,11 +212,17 @@ def negative_values_check(df: DataFrame, cols: Sequence[str] = AGE_COLS) -> Chec
     )
 
 
-def distribution_check(df: DataFrame, column: str) -> Check | None:
-    """Share of values beyond three interquartile ranges from the quartiles."""
+def distribution_check(
+    df: DataFrame, column: str, approximate: bool = False
+) -> Check | None:
+    """Share of values beyond three interquartile ranges from the quartiles.
+
+    `approximate` takes these from a mergeable sketch.
+    """
     if column not in df.columns:
         return None
-    bounds = exact_quantiles(df, {"q1": (column, 0.25), "q3": (column, 0.75)})
+    quantiles = approx_quantiles if approximate else exact_quantiles
+    bounds = quantiles(df, {"q1": (column, 0.25), "q3": (column, 0.75)})
     spread = F.col("q3") - F.col("q1")
     fences = bounds.select(
         F.struct(

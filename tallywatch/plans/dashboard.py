@@ -24,8 +24,8 @@ def latest_alerts(found: DataFrame, n: int = ALERTS_SHOWN) -> DataFrame:
 def dashboard_tables(
     raw: DataFrame, run_anomaly: bool = True, contamination: float | None = None
 ) -> dict[str, DataFrame]:
-    """One table per view, from records stored once as a daily state table."""
-    records = clean_data(raw)
+    """One table per view; the raw records are read once and stored as cleaned."""
+    records = written(clean_data(raw), "clean-records")
     daily = written(aggregate.aggregate_by_state(records), "state-daily")
     states = score_states(state_features(daily))
     if run_anomaly:

@@ -29,13 +29,14 @@ def score_states(features: DataFrame) -> DataFrame:
     return features.transform(risk.risk_score).transform(risk.classify_risk)
 
 
-def state_risk(records: DataFrame) -> DataFrame:
-    """Risk level per state and day.
+def state_risk(records: DataFrame, counts: bool = False) -> DataFrame:
+    """Risk level per state and day; `counts` adds the distinct districts and pincodes.
 
     The daily table is small next to the records but read several times, so it
-    is stored once; the records are scanned a single time.
+    is stored once; the records are scanned a single time. The scores need sums
+    alone, which take one shuffle of what each task has summed.
     """
-    daily = written(aggregate.aggregate_by_state(records), "state-daily")
+    daily = written(aggregate.aggregate_by_state(records, counts=counts), "state-daily")
     return daily.transform(state_features).transform(score_states)
 
 

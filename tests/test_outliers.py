@@ -1,6 +1,8 @@
 """Outliers, quantiles, ranks and split windows against brute force."""
 
 import datetime as dt
+import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from tallywatch.functions import ranks, row_windows, scale
 from tallywatch.functions.columns import nan_to_null
 from tallywatch.functions.ranks import exact_quantiles
+from tallywatch.functions.normal import normal_quantile, normal_upper_tail
 from tallywatch.operators import outliers, temporal
 
 
@@ -118,10 +121,62 @@ def test_distribution_stats_short_and_constant(spark):
     row = outliers.distribution_stats(short, "v").first()
     assert row.skewness is None and row.kurtosis is None and row.normality_pvalue is None
     constant = spark.createDataFrame([(1.0,)] * 9, "v double")
+    plain = outliers.distribution_stats(constant, "v", "jarque_bera").first()
+    assert plain.skewness == 0 and plain.normality_pvalue is None
     row = outliers.distribution_stats(constant, "v").first()
     assert row.skewness == 0 and row.normality_pvalue is None
 
 
+# Samples whose statistic and p-value are published with statistics packages.
+UNEVEN = [0.11, 7.87, 4.61, 10.14, 7.95, 3.14, 0.46, 4.43, 0.21, 4.75,
+          0.71, 1.52, 3.24, 0.93, 0.42, 4.97, 9.53, 4.55, 0.47, 6.66]
+EVEN = [1.36, 1.14, 2.92, 2.55, 1.46, 1.06, 5.27, -1.11, 3.48, 1.10,
+        0.88, -0.51, 1.46, 0.52, 6.20, 1.69, 0.08, 3.67, 2.81, 3.49]
+WEIGHTS = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+
+
+@pytest.mark.parametrize(
+    ("data", "w", "p"),
+    [(UNEVEN, 0.900473, 0.042090), (EVEN, 0.959027, 0.524598), (WEIGHTS, 0.78881, 0.006704)],
+)
+def test_shapiro_wilk_known_cases(spark, data, w, p):
+    df = spark.createDataFrame([(float(v),) for v in data] + [(None,), (float("nan"),)], "v double")
+    row = outliers.shapiro_wilk(df, "v").first()
+    assert row.n_tested == len(data)
+    assert row.w_statistic == pytest.approx(w, abs=2e-5)
+    assert row.normality_pvalue == pytest.approx(p, abs=2e-5)
+
+
+def test_shapiro_wilk_samples_and_limits(spark):
+    rng = np.random.default_rng(8)
+    normal = spark.createDataFrame(pd.DataFrame({"v": rng.normal(1e6, 1, 30_000)}))
+    row = outliers.shapiro_wilk(normal, "v").first()
+    assert row.n_tested == 5000 and row.normality_pvalue > 0.01
+    skewed = normal.select(F.pow(F.col("v") - 1e6 + 6, 3).alias("v"))
+    row = outliers.distribution_stats(skewed, "v").first()
+    assert row.n_tested == 5000 and row.normality_pvalue < 1e-6 and not row.is_normal
+    assert outliers.shapiro_wilk(normal.repartition(3), "v").first() == outliers.shapiro_wilk(normal, "v").first()
+    for bad in (normal.limit(0), normal.limit(7), normal.select(F.lit(2.0).alias("v")).limit(9)):
+        row = outliers.shapiro_wilk(bad, "v").first()
+        assert row.w_statistic is None and row.normality_pvalue is None
+    with pytest.raises(ValueError):
+        outliers.shapiro_wilk(normal, "v", max_rows=6000)
+
+
+def test_normal_quantile_and_tail(spark):
+    rows = [(p,) for p in (0.0, 1e-12, 1e-4, 0.02, 0.3, 0.5, 0.77, 0.99, 1 - 1e-9, 1.0, -0.1, 1.1)]
+    got = spark.createDataFrame(rows, "p double").select(normal_quantile(F.col("p"))).collect()
+    for (p,), (q,) in zip(rows, got):
+        if not 0 < p < 1:
+            assert q == {0.0: float("-inf"), 1.0: float("inf")}.get(p)
+        else:
+            assert q == pytest.approx(NormalDist().inv_cdf(p), rel=1e-8, abs=1e-9)
+    zs = [(z,) for z in (-9.0, -7.2, -2.0, 0.0, 0.4, 3.0, 7.0, 7.5, 12.0)]
+    got = spark.createDataFrame(zs, "z double").select(normal_upper_tail(F.col("z"))).collect()
+    for (z,), (p,) in zip(zs, got):
+        assert p == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, rel=1e-7)
+
+
 def record_frame(n=700):
     """Records in two groups; one day holds over a third of them, with gaps."""
     rng = np.random.default_rng(3)
