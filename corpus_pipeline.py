@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.scale import written
 from tallywatch.llm import chunk_dedup, decontaminate, mixing, simhash, toxicity
+from tallywatch.llm.common import col, free_name
 from tallywatch.llm.queries import table, toxicity_model
 
 
@@ -26,10 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds."""
-    cut = chunk_dedup.remove_repeats(docs)
-    n_chars = F.when(F.col("_repeats.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    name = free_name(docs.columns, "_repeats")
+    cut = chunk_dedup.remove_repeats(docs, name=name)
+    n_chars = F.when(col(name)["n_removed"] > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(
-        docs.columns
+        *[col(c) for c in docs.columns]
     )
 
 

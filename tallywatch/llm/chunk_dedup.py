@@ -3,11 +3,12 @@
 A gear hash rolls over the normalised text (A-Z lower-cased, white space as one
 space). Where its upper bits are zero at the end of a word, and the chunk has
 at least `MIN_WORDS` words, a chunk ends; so boundaries depend on the last 32
-bytes only and fall back into step after an insertion. A chunk is its 64-bit
-digest. The document with the least id that holds a digest owns it, and other
+bytes only and fall back into step after an insertion. A stretch of more than
+`MAX_WORDS` words without one is cut where the hash is largest. A chunk is its
+64-bit digest. The document with the least id that holds a digest owns it, and other
 documents lose the chunk if it is part of a passage: a run of chunks owned by
-others in which one owner has at least `MIN_RUN` words. Lone common phrases
-fall short of that.
+others in which one owner has at least `MIN_RUN` words, or all of them together
+`MIN_MIXED_RUN`. Lone common phrases fall short of that.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import LOWER, col, id_and_text, map_rows, plus
+from tallywatch.llm.common import LOWER, col, free_name, map_rows, plus
 
 MIN_WORDS = 4
 MAX_WORDS = 64
 MASK_BITS = 2
 MIN_RUN = 13
+MIN_MIXED_RUN = 40
 SEED = 7
 
 GEAR = np.array(
@@ -56,18 +58,17 @@ def chunks(raw: bytes | None) -> tuple[list[int], list[int]]:
         return [], []
     text = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    cut = gear_hashes(text)[ends - 1] >> np.uint32(32 - MASK_BITS) == 0
+    hashes = gear_hashes(text)[ends - 1]
+    cut = hashes >> np.uint32(32 - MASK_BITS) == 0
     bounds, last = [0], 0
-    for i in (np.flatnonzero(cut) + 1).tolist():
+    for i in [*(np.flatnonzero(cut) + 1).tolist(), len(words)]:
         while i - last > MAX_WORDS:
-            last += MAX_WORDS
+            # Where the hash is largest: after the same words, whatever is before them.
+            last += MIN_WORDS + int(hashes[last + MIN_WORDS - 1 : last + MAX_WORDS].argmax())
             bounds.append(last)
         if i - last >= MIN_WORDS:
             last = i
             bounds.append(last)
-    while len(words) - last > MAX_WORDS:
-        last += MAX_WORDS
-        bounds.append(last)
     if last < len(words):
         bounds.append(len(words))
     starts = [0, *(ends + 1).tolist()]
@@ -96,6 +97,8 @@ def repeated_words(
         while stop < n and digests[stop] in owners:
             held[owners[digests[stop]]].append(stop)
             stop += 1
+        if bounds[stop] - bounds[at] >= max(min_run, MIN_MIXED_RUN):
+            out.append((bounds[at], bounds[stop]))
         for run in held.values():
             if sum(bounds[i + 1] - bounds[i] for i in run) >= min_run:
                 out.append((bounds[run[0]], bounds[run[-1] + 1]))
@@ -118,33 +121,44 @@ def byte_ranges(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, in
     return [(int(starts[a]), int(stops[b - 1])) for a, b in ranges]
 
 
+def char_offsets(raw: bytes, cut: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Byte ranges as code point offsets."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return [{"first": int(chars[a]), "past": int(chars[b])} for a, b in cut]
+
+
 def without(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
     """The text without byte ranges and the white space after each."""
     out, at = [], 0
     for a, b in ranges:
         out.append(raw[at:a])
-        rest = raw[b:]
-        at = b + len(rest) - len(rest.lstrip())
+        at = b
+        while at < len(raw) and raw[at] in b" \t\n\x0b\x0c\r":
+            at += 1
     out.append(raw[at:])
     text = b"".join(out)
     return text.rstrip() if ranges and at >= len(raw) else text
 
 
 def owned_elsewhere(docs: DataFrame) -> DataFrame:
-    """(owner_of: doc_id, digests, owners) for documents with chunks owned by others.
+    """(doc_id, key, found) for documents with chunks owned by others: digests and owners.
 
-    `docs` has doc_id and binary text. Owners are pre-aggregated minima; the
-    chunks of a digest that many documents share are one side of a join that
-    adaptive execution splits.
+    `docs` has doc_id, binary text and key, a hash of both: documents that share
+    an id are told apart by it, so each gets what its own chunks found, and no id is a
+    group of more than one text. Texts are cut into chunks once, and these stored.
+    Owners are pre-aggregated minima; the chunks of a digest that many documents
+    share are one side of a join that adaptive execution splits.
     """
 
-    def rows(ids, texts):
-        for doc, raw in zip(ids, texts, strict=True):
+    def rows(ids, keys, texts):
+        for doc, key, raw in zip(ids, keys, texts, strict=True):
             if doc is not None:
                 for digest in dict.fromkeys(chunks(raw)[1]):
-                    yield digest, doc
+                    yield digest, doc, key
 
-    held = map_rows(docs, "digest long, doc_id long", ["doc_id", "text"], rows)
+    names = ["doc_id", "key", "text"]
+    held = written(map_rows(docs, "digest long, doc_id long, key long", names, rows), "chunks")
     shared = (
         held.groupBy("digest")
         .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
@@ -152,33 +166,43 @@ def owned_elsewhere(docs: DataFrame) -> DataFrame:
         .select("digest", "owner")
     )
     found = held.join(written(shared, "shared-chunks"), "digest").where("doc_id > owner")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "owner")).alias("found"))
+    # Copies with one id have the same chunks: a set holds each once.
+    return found.groupBy("doc_id", "key").agg(
+        F.collect_set(F.struct("digest", "owner")).alias("found")
+    )
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_run: int = MIN_RUN,
+    name: str = "_repeats",
 ) -> DataFrame:
-    """`docs` without passages that a document of smaller id holds, and `_repeats`.
+    """`docs` without passages that a document of smaller id holds, and `name`.
 
-    `_repeats` is a struct of n_words (of the whole text), n_removed (words),
-    spans (code point offsets of what was removed) and owners (ids whose
-    passages these were). Every row stays, if need be with an empty text. Rows
-    that share an id are one document and keep what is theirs; rows without an
-    id own nothing and lose nothing. Null texts stay null.
+    This is a struct of n_words (of the whole text), n_removed (words), spans
+    (code point offsets of what was removed) and owners (ids whose passages
+    these were); a column so named is replaced. Every row stays, if need be
+    with an empty text. Rows that share an id keep what is theirs; rows without an
+    id own nothing and lose nothing. Ids are whole numbers. Null texts stay null.
     """
-    found = written(owned_elsewhere(id_and_text(docs, id_col, text_col)), "found-chunks")
-    columns = [c for c in docs.columns if c.lower() not in ("_repeats", "_found")]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
+    found_name, id_name, key_name = (free_name(columns, f"_found{c}") for c in ("", "_id", "_key"))
+    id_, text = col(id_col).cast("long"), col(text_col).cast("binary")
+    narrow = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(id_, text).alias("key"))
+    found = written(owned_elsewhere(narrow), "found-chunks")
     base = docs.select(*[col(c) for c in columns])
     kind = (
         "struct<n_words: bigint, n_removed: bigint,"
         " spans: array<struct<first: bigint, past: bigint>>, owners: array<bigint>>"
     )
-    schema = plus(base.schema, "_repeats", kind)
-    joined = base.join(
-        found.select(F.col("doc_id").alias("_found_id"), F.col("found").alias("_found")),
-        col(id_col).cast("long") == F.col("_found_id"),
-        "left",
-    ).drop("_found_id")
+    schema = plus(base.schema, name, kind)
+    found = found.select(
+        F.col("doc_id").alias(id_name), F.col("key").alias(key_name), F.col("found").alias(found_name)
+    )
+    same = (id_ == col(id_name)) & (F.xxhash64(id_, text) == col(key_name))
+    joined = base.join(found, same, "left").select(*[col(c) for c in columns], col(found_name))
     place = columns.index(text_col)
     return joined.mapInArrow(_remover(schema, place, len(columns), min_run), schema)
 
@@ -206,15 +230,14 @@ def _remover(schema, place: int, n: int, min_run: int):
                 )
                 if ranges:
                     cut = byte_ranges(raw, ranges)
-                    said[-1]["spans"] = [
-                        {"first": len(raw[:a].decode()), "past": len(raw[:b].decode())}
-                        for a, b in cut
-                    ]
+                    said[-1]["spans"] = char_offsets(raw, cut)
+                    starts = np.array([a for a, _ in ranges])
+                    within = np.searchsorted(starts, bounds[:-1], "right") - 1
                     said[-1]["owners"] = sorted(
                         {
                             owners[d]
-                            for d, i in zip(digests, bounds)
-                            if d in owners and any(a <= i < b for a, b in ranges)
+                            for d, i, k in zip(digests, bounds, within.tolist())
+                            if d in owners and k >= 0 and i < ranges[k][1]
                         }
                     )
                     raw = without(raw, cut)

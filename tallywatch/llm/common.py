@@ -28,6 +28,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """`name`, with as many underscores as keep it apart from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, so that other columns cannot clash."""
     return docs.select(

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import col, plus
+from tallywatch.llm.common import col, free_name, map_rows, plus
 
 WINDOW = 13
 MIN_HIT_SHARE = 0.05
-# Words of all items in one automaton. An item beyond it has one of its own.
+# Words of all items in one automaton, about: items are dealt by hash.
 MAX_WORDS = 50_000
 
 _NORMAL = bytes(
@@ -113,16 +113,18 @@ def scan(
     window: int = WINDOW,
     min_share: float = MIN_HIT_SHARE,
     max_words: int = MAX_WORDS,
+    name: str = "_scan",
 ) -> DataFrame:
-    """One row per row of `docs`: its columns and `_scan`.
-
-    `_scan` is a struct of n_words, n_hit, spans (code point offsets), items
-    (sorted ids as strings) and contaminated, true if there are hits and they
-    are at least `min_share` of the words. Null, empty and wordless texts have
-    no words and are clean. An item without words has no window; one of fewer
-    words than `window` is a window as a whole. Items that share an id count
-    as one. A benchmark of more than `max_words` words is split over several
-    automata, which scan one after the other, with the rows stored in between.
+    """One row per row of `docs`: its columns and `name`, which replaces a column so named.
+
+    It is a struct of n_words, n_hit, spans (code point offsets), items (sorted
+    ids as strings, a null id last) and contaminated, true if there are hits and
+    they are at least `min_share` of the words. Null, empty and wordless texts
+    have no words and are clean. An item without words has no window; one of
+    fewer words than `window` is a window as a whole. Items that share an id, or
+    have none, count as one. Benchmarks of more than about `max_words` words
+    are split over several automata; the texts are then read once for each,
+    and only their hits are stored and put together.
     """
     words = F.regexp_count(col(item_text_col), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]+"))
     items = written(
@@ -133,30 +135,69 @@ def scan(
         ).where("n > 0"),
         "items",
     )
-    kind = (
-        "struct<n_words: bigint, n_hit: bigint, spans: array<struct<first: bigint, past: bigint>>,"
-        " items: array<string>, contaminated: boolean, ranges: array<struct<first: bigint, past: bigint>>>"
-    )
-    columns = [c for c in docs.columns if c.lower() != "_scan"]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     base = docs.select(*[col(c) for c in columns])
-    schema = plus(base.schema, "_scan", kind)
-    out = base.withColumn("_scan", F.lit(None).cast(kind))
-    spark = docs.sparkSession
-    for k, shard in enumerate(_shards(items, max_words)):
-        out = out if k == 0 else written(out, "scan")
-        out = _pass(out, spark.sparkContext.broadcast(shard), schema, text_col, window, min_share)
-    return out.withColumn("_scan", F.col("_scan").dropFields("ranges"))
+    shards = _shards(items, max_words)
+    send = docs.sparkSession.sparkContext.broadcast
+    first = send(next(shards))
+    rest = [send(shard) for shard in shards]
+    hits = free_name(columns, "_hits")
+    if not rest:
+        base = base.withColumn(hits, F.lit(None).cast(_HITS))
+    else:
+        # A number of the stored rows tells them apart, whatever their ids.
+        row = free_name(columns, "_row")
+        base = written(base.withColumn(row, F.monotonically_increasing_id()), "scanned")
+        texts = base.select(col(row).alias("row"), col(text_col).alias("text"))
+        found = None
+        for shard in rest:
+            part = written(_hits(texts, shard, window), "hits")
+            found = part if found is None else found.unionAll(part)
+        # One entry for each automaton that hits the row.
+        whole = found.groupBy("row").agg(F.collect_list("hits").alias("hits"))
+        whole = whole.select(
+            F.col("row").alias(row),
+            F.struct(
+                F.flatten("hits.ranges").alias("ranges"),
+                F.array_distinct(F.flatten("hits.items")).alias("items"),
+            ).alias(hits),
+        )
+        base = base.join(whole, row, "left").select(*[col(c) for c in columns], col(hits))
+    return _judged(base, first, columns, hits, name, text_col, window, min_share)
+
+
+_HITS = "struct<ranges: array<struct<first: bigint, past: bigint>>, items: array<string>>"
+_SCAN = (
+    "struct<n_words: bigint, n_hit: bigint, spans: array<struct<first: bigint, past: bigint>>,"
+    " items: array<string>, contaminated: boolean>"
+)
+
+
+def _hits(texts: DataFrame, items, window: int) -> DataFrame:
+    """(row, hits) of the texts that one automaton hits."""
+
+    def rows(windows, numbers, raws):
+        for row, raw in zip(numbers, raws, strict=True):
+            ranges, found = windows.find(normal_words(raw))
+            if found:
+                ranges = [{"first": a, "past": b} for a, b in ranges]
+                yield row, {"ranges": ranges, "items": list(found)}
+
+    narrow = texts.select("row", F.col("text").cast("binary").alias("text"))
+    setup = lambda: Windows(items.value, window)
+    return map_rows(narrow, f"row long, hits {_HITS}", ["row", "text"], rows, setup)
 
 
-def _pass(df, items, schema, text_col: str, window: int, min_share: float) -> DataFrame:
+def _judged(df, items, columns, hits: str, name: str, text_col: str, window: int, min_share: float):
+    """`columns` of `df` and the verdict, from the hits it holds and those of one automaton."""
+    schema = plus(df.select(*[col(c) for c in columns]).schema, name, _SCAN)
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items.value, window)
-        at = target.names.index("_scan")
         for batch in batches:
-            texts = batch.column(target.names.index(text_col)).cast(pa.binary()).to_pylist()
-            before = batch.column(at).to_pylist()
+            texts = batch.column(columns.index(text_col)).cast(pa.binary()).to_pylist()
+            before = batch.column(len(columns)).to_pylist()
             rows = []
             for raw, old in zip(texts, before, strict=True):
                 words = normal_words(raw)
@@ -165,21 +206,19 @@ def _pass(df, items, schema, text_col: str, window: int, min_share: float) -> Da
                     ranges = merged(ranges + [(r["first"], r["past"]) for r in old["ranges"]])
                     found |= set(old["items"])
                 hit = sum(b - a for a, b in ranges)
+                cut = spans(raw, ranges) if ranges else []
                 rows.append(
                     {
                         "n_words": len(words),
                         "n_hit": hit,
-                        "spans": spans(raw, ranges) if ranges else [],
-                        "items": sorted(found),
+                        "spans": [{"first": a, "past": b} for a, b in cut],
+                        "items": sorted(found, key=lambda i: (i is None, i or "")),
                         "contaminated": hit > 0 and hit / len(words) >= min_share,
-                        "ranges": ranges,
                     }
                 )
-                for name in ("spans", "ranges"):
-                    rows[-1][name] = [{"first": a, "past": b} for a, b in rows[-1][name]]
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            columns[at] = pa.array(rows, type=target.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=target.names)
+            kept = [batch.column(i) for i in range(len(columns))]
+            kept.append(pa.array(rows, type=target.field(len(columns)).type))
+            yield pa.RecordBatch.from_arrays(kept, names=target.names)
 
     return df.mapInArrow(run, schema)
 
@@ -201,8 +240,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without contaminated rows."""
-    kept = scan(docs, benchmark, **options).where("not _scan.contaminated")
-    return kept.select(*[col(c) for c in docs.columns])
+    name = free_name(docs.columns, "_scan")
+    scanned = scan(docs, benchmark, name=name, **options)
+    return scanned.where(~col(name)["contaminated"]).select(*[col(c) for c in docs.columns])
 
 
 _WORDS = (

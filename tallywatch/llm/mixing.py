@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import WORD, col
+from tallywatch.llm.common import WORD, col, free_name
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
@@ -73,8 +73,9 @@ def source_targets(
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def copies(
+def _taken(
     docs: DataFrame,
+    name: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -83,46 +84,60 @@ def copies(
     most: float = MOST,
     seed: int = SEED,
 ) -> DataFrame:
-    """`docs` with size, source_size, target and copies; input columns so named are replaced.
-
-    Null and empty texts have size 0; a null source is a source. Repeated rows
-    draw alike. Without words every target is 0 and nothing is taken.
-    """
-    new = {"size", "source_size", "target", "copies"}
-    clash = [c for c in docs.columns if c.lower() in new]
-    held = {c: f"_mix_{i}" for i, c in enumerate((id_col, text_col, source_col))}
-    kept = docs.select(
-        *[col(c) for c in docs.columns if c not in clash],
-        *[col(c).alias(a) for c, a in held.items()],
-    )
-    kept = kept.withColumn("size", n_words(F.col(held[text_col])))
+    """`docs` and a struct `name` of size, source_size, target and copies."""
+    source, found = (free_name([*docs.columns, name], f"_mix_{c}") for c in ("source", "found"))
+    kept = docs.withColumn(name, n_words(col(text_col)))
     sources = written(
-        kept.groupBy(F.col(held[source_col]).alias("source")).agg(
-            F.sum("size").alias("source_size")
-        ),
+        kept.groupBy(col(source_col).alias("source")).agg(F.sum(col(name)).alias("source_size")),
         "source-sizes",
     )
+    targets = source_targets(sources, weights, budget, most)
     targets = written(
-        source_targets(sources, weights, budget, most).withColumnRenamed("source", "_mix_source"),
+        targets.select(
+            F.col("source").alias(source), F.struct("source_size", "target").alias(found)
+        ),
         "targets",
     )
-    joined = kept.join(targets, F.col(held[source_col]).eqNullSafe(F.col("_mix_source")))
-    rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    # 52 bits of the hash, as a number in [0, 1)
-    name = F.coalesce(F.col(held[id_col]).cast("string"), F.lit(""))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13)
+    joined = kept.join(targets, col(source_col).eqNullSafe(col(source)))
+    source_size, target = col(found)["source_size"], col(found)["target"]
+    rate = F.coalesce(target / F.nullif(source_size, F.lit(0)), F.lit(0.0))
+    # 52 bits of the hash, as a number in [0, 1); the text tells rows without an id apart.
+    id_ = F.coalesce(col(id_col).cast("string"), F.lit(""))
+    text = F.md5(F.coalesce(col(text_col).cast("binary"), F.lit("").cast("binary")))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_, F.lit(":"), text)), 1, 13)
     draw = F.conv(digits, 16, 10).cast("long") / float(1 << 52)
     taken = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("copies", taken).drop(*held.values(), "_mix_source")
+    all_ = {"size": col(name), "source_size": source_size, "target": target, "copies": taken}
+    return joined.withColumn(name, F.struct(*[c.alias(n) for n, c in all_.items()])).select(
+        *[col(c) for c in docs.columns], col(name)
+    )
+
+
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with size, source_size, target and copies; input columns so named are replaced.
+
+    Options are id_col, text_col, source_col, weights, budget, most and seed.
+    Null and empty texts have size 0; a null source is a source. The draw depends
+    on id and text, so rows without an id, or with a repeated one, draw apart, and only rows
+    equal in both draw alike. Without words every target is 0 and nothing is taken.
+    """
+    name = free_name(docs.columns, "_mix")
+    new = ("size", "source_size", "target", "copies")
+    kept = [col(c) for c in docs.columns if c.lower() not in new]
+    return _taken(docs, name, **options).select(*kept, *[col(name)[n].alias(n) for n in new])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: each document as many times as it is taken, numbered by `copy` from 1."""
-    return (
-        copies(docs, **options)
-        .where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .drop("size", "source_size", "target", "copies")
+    """The mixture: each document as many times as it is taken, numbered from 1.
+
+    All columns stay as they are. The number is `copy`, or `copy_` where the
+    input has such a column.
+    """
+    name = free_name(docs.columns, "_mix")
+    numbers = F.sequence(F.lit(1).cast("long"), col(name)["copies"])
+    taken = _taken(docs, name, **options).where(col(name)["copies"] > 0)
+    return taken.select(
+        *[col(c) for c in docs.columns], F.explode(numbers).alias(free_name(docs.columns, "copy"))
     )
 
 
@@ -131,7 +146,7 @@ _CASES = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
 # share of a unit of weight is final at the first that is not filled.
 SQL = rf"""
 WITH d AS (
-    SELECT doc_id, source,
+    SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
         CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
 ranked AS (
     SELECT source, sum(size)::BIGINT AS source_size,
@@ -152,7 +167,7 @@ targets AS (
 drawn AS (
     SELECT doc_id, size, source_size, target,
         coalesce(target / nullif(source_size, 0), 0) AS rate,
-        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT
+        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 13))::BIGINT
             / {1 << 52}::DOUBLE AS draw
     FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

@@ -27,7 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import col, connected_components, id_and_text, lower_words, map_rows, plus
+from tallywatch.llm.common import (
+    col,
+    connected_components,
+    free_name,
+    id_and_text,
+    lower_words,
+    map_rows,
+    plus,
+)
 
 SHINGLE = 3
 MAX_DISTANCE = 2
@@ -217,10 +225,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     document's id and fingerprint count as one. A group without any id keeps one
     of the rows of its least fingerprint.
     """
-    name = "_simhash_fingerprint"
+    name, id_name, print_name = (
+        free_name(docs.columns, f"_simhash_{c}") for c in ("fingerprint", "id", "print")
+    )
     marked = with_fingerprint(docs, text_col, name)
     prints = written(
-        marked.select(col(id_col).cast("long").alias("doc_id"), F.col(name).alias("fingerprint")),
+        marked.select(col(id_col).cast("long").alias("doc_id"), col(name).alias("fingerprint")),
         "simhash",
     )
     groups = components(prints)
@@ -228,15 +238,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         prints.join(groups, "fingerprint")
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("k"))
-        .select(
-            F.col("k.doc_id").alias("_simhash_id"), F.col("k.fingerprint").alias("_simhash_print")
-        ),
+        .select(F.col("k.doc_id").alias(id_name), F.col("k.fingerprint").alias(print_name)),
         "keepers",
     )
     rows = marked.join(
         keepers,
-        col(id_col).cast("long").eqNullSafe(F.col("_simhash_id")) & (F.col(name) == F.col("_simhash_print")),
-    )
-    return rows.dropDuplicates(["_simhash_id", "_simhash_print"]).select(
-        *[col(c) for c in docs.columns]
+        col(id_col).cast("long").eqNullSafe(col(id_name)) & (col(name) == col(print_name)),
     )
+    return rows.dropDuplicates([id_name, print_name]).select(*[col(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import col, plus
+from tallywatch.llm.common import col, free_name, plus
 from tallywatch.llm.decontaminate import normal_words
 
 BITS = 20
@@ -218,7 +218,7 @@ def drop_toxic(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """`docs` without rows that score `threshold` or more."""
-    name = "_toxicity"
+    name = free_name(docs.columns, "_toxicity")
     kept = with_score(docs, model, text_col, name).where(F.col(name) < threshold)
     return kept.select(*[col(c) for c in docs.columns])
 
