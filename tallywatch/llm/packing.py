@@ -13,6 +13,7 @@ import os
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from types import ModuleType
@@ -26,15 +27,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import LOWER, col
+from tallywatch.llm.common import col
 
 CAPACITY = 2048
 END_ID = 0
 # Pieces of one partition, on average; a partition is packed in one task.
 PIECES = 20_000
 MIN_SAVING, LARGEST = 1e-4, 16
-# Words whose ids a Python worker remembers, three times so many at most; longer words are not.
+# Parts whose ids a Python worker remembers, twice so many at most; longer parts are not.
 MAX_WORDS, MAX_WORD_BYTES = 500_000, 48
+_BEFORE_MARK = r"([a-z0-9])([.,;:!?)])"
 
 
 def default_tokenizer() -> str:
@@ -56,29 +58,15 @@ def worker_memory(run: str, make: Callable[[], object]) -> object:
     return memory[run]
 
 
-def word_parts(word: bytes) -> tuple[bytes, ...]:
-    """What a word's ids consist of: the word in lower case, and punctuation at its end.
-
-    The tokenizer lower-cases, and no token of it begins in a letter or digit and
-    goes on in punctuation. A word that may hold a special token stays whole.
-    """
-    if b"<|" in word:
-        return (word,)
-    low = word.translate(LOWER)
-    core = low.rstrip(b".,;:!?)")
-    if core and len(core) < len(low) and core[-1:].isalnum():
-        return core, low[len(core) :]
-    return (low,)
-
-
 class WordIds:
     """Token ids of texts, tokenized word by word.
 
-    Right for tokenizers that lower-case, drop white space and let no token reach
-    across it: a text's ids are then those of its words, one after the other, and
-    a word's are those of its parts. A part goes through the tokenizer when it
-    is new. Remembered are words, and the parts of late: once `MAX_WORDS` are
-    new, those not seen since the last such time are forgotten.
+    Right for tokenizers that lower-case, drop white space, and let no token reach
+    across it or from a letter or digit on into punctuation: a text's ids are
+    then those of its lower-cased parts, one after the other. Texts that may hold a special
+    token go through the tokenizer whole, others in parts, each when it is new.
+    Remembered are the parts of late: once `MAX_WORDS` are new, those not
+    seen since the last such time are forgotten.
     """
 
     def __init__(self, file: str):
@@ -90,47 +78,51 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _encoded(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        found = {p: self.parts.get(p) or self.older.get(p) for p in parts}
-        new = [p for p, ids in found.items() if ids is None]
-        decoded = [p.decode("utf-8", "replace") for p in new]
-        encoded = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
-        found.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, encoded, strict=True))
-        if len(self.parts) + len(found) > MAX_WORDS:
-            self.older, self.parts = self.parts, {}
-        if len(found) <= MAX_WORDS:
-            self.parts.update((p, i) for p, i in found.items() if len(p) <= MAX_WORD_BYTES)
-        return found
-
-    def _word_ids(self, words: list[bytes]) -> list[bytes]:
-        """The ids of some different words."""
-        ids = list(map(self.known.get, words))
-        missing = [w for w, i in zip(words, ids) if i is None]
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        found = self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
+        # array.array holds 32-bit numbers as this machine does, which numpy puts in order.
+        return [np.array(array("I", e.ids), "<u4").tobytes() for e in found]
+
+    def _part_ids(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of some different parts."""
+        ids = list(map(self.known.get, parts))
+        missing = [p for p, i in zip(parts, ids) if i is None]
         if missing:
-            made = {w: word_parts(w) for w in missing}
-            encoded = self._encoded({p for parts in made.values() for p in parts})
-            found = {w: b"".join([encoded[p] for p in parts]) for w, parts in made.items()}
-            ids = [found[w] if i is None else i for w, i in zip(words, ids)]
+            again = list(map(self.older.get, missing))
+            encoded = iter(self._encoded([p for p, i in zip(missing, again) if i is None]))
+            found = [next(encoded) if i is None else i for i in again]
+            fill = iter(found)
+            ids = [next(fill) if i is None else i for i in ids]
             if len(self.known) + len(found) > MAX_WORDS:
-                self.known = {}
+                self.older, self.known = self.known, {}
             if len(found) <= MAX_WORDS:
-                self.known.update((w, i) for w, i in found.items() if len(w) <= MAX_WORD_BYTES)
+                self.known.update((p, i) for p, i in zip(missing, found) if len(p) <= MAX_WORD_BYTES)
         return ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
-        words = split.flatten().dictionary_encode()
-        different = words.dictionary.view(pa.binary()).to_pylist()
-        # One array of all ids in the order of the words, and where each word's begin.
-        placed = pa.array(self._word_ids(different), pa.large_binary()).take(words.indices)
+        special = [i for i, t in enumerate(texts) if b"<|" in t]
+        plain = [b"" if b"<|" in t else t for t in texts] if special else texts
+        lower = pc.ascii_lower(pa.array(plain, pa.binary()).view(pa.string()))
+        cut = pc.replace_substring_regex(
+            lower.view(pa.binary()), pattern=_BEFORE_MARK, replacement=r"\1 \2"
+        )
+        split = pc.ascii_split_whitespace(cut.view(pa.string()))
+        parts = split.flatten().dictionary_encode()
+        different = parts.dictionary.view(pa.binary()).to_pylist()
+        # One array of all ids in the order of the parts, and where each part's begin.
+        placed = pa.array(self._part_ids(different), pa.large_binary()).take(parts.indices)
         begins = np.frombuffer(placed.buffers()[1], np.int64)[: len(placed) + 1]
         data = memoryview(placed.buffers()[2] or b"")
-        cuts = begins[split.offsets.to_numpy()].tolist()
-        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+        ends = begins[split.offsets.to_numpy()].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+        if special:
+            for i, ids in zip(special, self._encoded([texts[i] for i in special])):
+                out[i] = ids
+        return out
 
 
 def grouped(texts: Iterable[bytes], size: int = 1 << 22) -> Iterator[list[bytes]]:
