@@ -89,6 +89,11 @@ def _formatted_alerts(t: Tables) -> DataFrame:
     return _named(alerts.process(rows, rules))
 
 
+# All alert types.
+_TYPES = [
+    "enrolment_spike", "enrolment_drop", "high_risk", "anomaly_detected", "demographic_imbalance",
+    "volatility_high", "threshold_breach",
+]
 _OWN_SQL = _rule_sql(
     "low_child_share", "threshold_breach", "child_ratio", "child_ratio < 0.5", "info", 0.5
 )
@@ -190,7 +195,7 @@ ALERTS = [
         lambda t: alerts.count_by_type(_alerts(t)),
         f"""
         SELECT k.type, count(a.type) AS count
-        FROM (SELECT unnest({list(alerts.ALERT_TYPES)}) AS type) AS k
+        FROM (SELECT unnest({_TYPES}) AS type) AS k
         LEFT JOIN ({ALERTS_SQL}) AS a ON a.type = k.type GROUP BY k.type""",
     ),
     Query(

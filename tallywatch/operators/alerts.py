@@ -137,6 +137,7 @@ def threshold_rules(
     growth_drop: float = -0.3,
 ) -> tuple[AlertRule, ...]:
     """Six rules with chosen limits and short messages; no anomaly rule."""
+    # The short wording.
     return (
         AlertRule(
             "high_risk_score", "high_risk", "risk_score", above(risk_high), "critical",
