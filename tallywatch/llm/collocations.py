@@ -145,9 +145,8 @@ def _windows(docs: DataFrame, n: int) -> DataFrame:
 
 def _first_word(prefix: Column) -> Column:
     """The first word of a prefix and the language, which decide where a window goes."""
-    return F.concat(
-        F.regexp_extract(prefix, r"^[^ \t]*", 0), F.expr("substring(prefix, instr(prefix, '\t'))")
-    )
+    words = F.substring_index(F.substring_index(prefix, "\t", 1), " ", 1)
+    return F.concat(words, F.expr("substring(prefix, instr(prefix, '\t'))"))
 
 
 def _hot(docs: DataFrame, n: int) -> tuple[list[str], list[str]]:
