@@ -94,7 +94,8 @@ def grow_trees(sample: DataFrame, names: Sequence[str], seed: int, max_depth: in
             F.coalesce("_pick.i", F.lit(LEAF)).alias("feature"),
             F.coalesce("_cut", F.lit(0.0)).alias("threshold"),
             F.col("_size").cast("int").alias("size"),
-            F.lit(depth).alias("depth"),
+            # The same text at every level, so that Spark compiles it once.
+            F.size("_path").alias("depth"),
         )
         goes_right = (F.col("_pick.v") > F.col("_cut")).cast("long")
         path = F.when(F.col("_live"), F.array_append("_path", step)).otherwise(F.col("_path"))
