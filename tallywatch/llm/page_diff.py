@@ -1,11 +1,12 @@
-"""Main text of web pages: structure first, then differencing against the nearest URL.
+"""Main text of web pages: differencing against the nearest URLs, then the markup.
 
-Pages are cut into lines, one per block. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts and comments that the markup names are left
-out. A page with an article or main element is that element. Of other pages,
-each is paired with its neighbour by URL path within the host, the lines of the
-two are aligned by longest common subsequence, and shared lines are deleted,
-unless they are most of the page: then the neighbour is a copy.
+Pages are cut into lines, one per block, menus and all. Every page is paired
+with its neighbours by URL path within the host and aligned with them by longest
+common subsequence. Shared lines are the template and are deleted. The markup is
+an exact check of what is left: menus, headers, footers, sidebars, notices,
+adverts, forms and comments that it names go though they are the page's own, and
+paragraphs of an article or main element, which is the main text if there is
+one, come back though a neighbour has them too.
 
 Differencing alone is not enough where menus and footers change from page to
 page and neighbours share whole passages; see the README.
@@ -16,9 +17,12 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterable
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Sequence
+from hashlib import blake2b
+from os.path import commonprefix
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +30,14 @@ from tallywatch.functions.scale import written
 from tallywatch.llm.common import col, map_rows
 from tallywatch.llm.url_graph import host_of, path_of
 
+# Above this share of its text a page loses only what the pages on both sides hold.
 MOST_SHARED = 0.5
+# Above this share the neighbour is a copy, and the next page beyond its copies is taken.
+COPY_SHARED = 0.9
+
+# What the markup says of a line: part of a menu or the like, nothing, in an article
+# without being a paragraph, or article text.
+OUT, LOOSE, BARE, PROSE = range(4)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)"
@@ -91,6 +102,9 @@ _IMPLIED = {
 _P = (frozenset(["p"]), _CELLS | {"button"})
 _TRACKED = BLOCKS | _CELLS
 _PAGE = frozenset("html body article main".split())
+# Within an article a line that only these hold is no paragraph.
+_PLAIN = frozenset("center div section".split())
+_PARAGRAPHS = tuple("p li dd dt td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 
 
 def _names_skipped(value: str) -> bool:
@@ -174,31 +188,41 @@ class _Open:
         self.pop_through(frozenset([tag]), stops)
 
 
-def page_lines(page: str | None) -> tuple[list[str], bool]:
-    """Lines of the page's main text, and whether the markup says which these are.
+def page_blocks(page: str | None) -> list[tuple[str, int]]:
+    """All lines of the page, and what the markup says of each.
 
     An element that is left out ends with its end tag, with a start tag that
     implies it, or with its parent. Void elements hold nothing to leave out.
     An article or main element ends one that was left out by its name.
     """
     parts: list[str] = []
-    lines: list[tuple[str, bool]] = []
-    inside, at, seen = 0, 0, False
+    lines: list[tuple[str, int]] = []
+    inside, at, seen, plain = 0, 0, False, True
     opened = _Open()
     # The element left out: its tag, its place among the open ones, and why.
     skipped, place, why = "", 0, ""
 
-    def flush():
+    def add(text: str) -> None:
+        nonlocal plain
+        parts.append(text)
+        if plain and inside and not text.isspace():
+            plain = opened.tags[-1] in _PLAIN if opened.tags else False
+            plain = plain and not any(opened.count[t] for t in _PARAGRAPHS)
+
+    def flush() -> None:
+        nonlocal plain
         if parts:
             line = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if line:
-                lines.append((line, inside > 0))
+                kind = OUT if skipped else LOOSE if not inside else BARE if plain else PROSE
+                lines.append((line, kind))
             parts.clear()
+        plain = True
 
     page = page or ""
     for m in _TOKEN.finditer(page):
-        if not skipped and m.start() > at:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             continue
@@ -209,19 +233,26 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
                 opened.end(tag)
             elif tag != "a" or skipped == "a":
                 opened.start(tag)
+            ends = False
             if len(opened.tags) <= place:
-                own = closing and tag == skipped
-                skipped = ""
-                if own:
-                    continue
+                ends = True
             elif not closing and tag in ("article", "main", "body") and not _left_out(tag, m[4], False):
                 if skipped in _OPEN_ENDED or tag == "main" and why in ("name", "others"):
-                    skipped = ""
+                    ends = True
                 elif why == "name" and not opened.count["article"]:
-                    skipped = ""
+                    ends = True
                 elif why == "others" and not seen:
-                    skipped = ""
-            if skipped:
+                    ends = True
+            if ends or tag in BLOCKS:
+                flush()
+            elif tag in SPACED:
+                parts.append(" ")
+            if ends:
+                own = closing and tag == skipped and len(opened.tags) <= place
+                skipped = ""
+                if own:
+                    continue
+            else:
                 if not closing and not void and (tag in _TRACKED or tag == skipped):
                     if tag != "form" or not opened.count["form"]:
                         opened.push(tag)
@@ -246,17 +277,27 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
             seen = True
         if not closing and not void and tag in _TRACKED:
             opened.push(tag)
-    if not skipped:
-        parts.append(page[at:])
+    if at < len(page):
+        add(page[at:])
     flush()
-    if any(marked for _, marked in lines):
-        return [line for line, marked in lines if marked], True
-    return [line for line, _ in lines], False
+    return lines
+
+
+def main_kinds(blocks: list[tuple[str, int]]) -> tuple[int, ...]:
+    """Kinds of the lines that can be main text: an article's if the page has one."""
+    return (BARE, PROSE) if any(kind >= BARE for _, kind in blocks) else (LOOSE,)
+
+
+def page_lines(page: str | None) -> tuple[list[str], bool]:
+    """Lines that the markup alone leaves, and whether it says that these are the main text."""
+    blocks = page_blocks(page)
+    kinds = main_kinds(blocks)
+    return [line for line, kind in blocks if kind in kinds], PROSE in kinds
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in `a` of a longest common subsequence of `a` and `b`."""
-    where: dict[str, list[int]] = defaultdict(list)
+def _aligned(a: Sequence, b: Sequence) -> Iterable[int]:
+    """Places in `a` of a longest common subsequence, in steps as many as there are equal pairs."""
+    where: dict[object, list[int]] = defaultdict(list)
     for j in range(len(b) - 1, -1, -1):
         where[b[j]].append(j)
     ends: list[int] = []
@@ -270,66 +311,260 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
                 links.append(link)
             else:
                 ends[k], links[k] = j, link
-    out: set[int] = set()
     link = links[-1] if links else None
     while link:
-        out.add(link[0])
+        yield link[0]
         link = link[1]
+
+
+def _lengths(a: Sequence, b: Sequence) -> np.ndarray:
+    """Length of a longest common subsequence of `a` and each prefix of `b`, by bit vectors."""
+    masks: dict[object, int] = {}
+    for j, line in enumerate(b):
+        masks[line] = masks.get(line, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    bits = every
+    for line in a:
+        if line in masks:
+            both = bits & masks[line]
+            bits = (bits + both | bits - both) & every
+    raw = np.frombuffer(bits.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8)
+    unset = 1 - np.unpackbits(raw, bitorder="little")[: len(b)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(unset)])
+
+
+def shared_lines(a: Sequence, b: Sequence, pairs: int = 20_000) -> set[int]:
+    """Places in `a` of a longest common subsequence of `a` and `b`.
+
+    Lists with more equal pairs than `pairs` or four times their lines are halved
+    where the two parts have the longest ones, so repeated lines cost no more
+    than a bit per pair.
+    """
+    out: set[int] = set()
+    parts = [(0, len(a), 0, len(b))]
+    while parts:
+        low, high, first, last = parts.pop()
+        times = Counter(b[first:last])
+        equal = sum(times[line] for line in a[low:high])
+        if equal <= max(pairs, 4 * (high - low + last - first)) or high - low == 1:
+            out.update(low + i for i in _aligned(a[low:high], b[first:last]))
+            continue
+        while low < high and first < last and a[low] == b[first]:
+            out.add(low)
+            low, first = low + 1, first + 1
+        while low < high and first < last and a[high - 1] == b[last - 1]:
+            high, last = high - 1, last - 1
+            out.add(high)
+        if high - low > 1:
+            middle = (low + high) // 2
+            ahead = _lengths(a[low:middle], b[first:last])
+            behind = _lengths(a[middle:high][::-1], b[first:last][::-1])[::-1]
+            cut = first + int(np.argmax(ahead + behind))
+            parts += [(low, middle, first, cut), (middle, high, cut, last)]
+        else:
+            parts.append((low, high, first, last))
     return out
 
 
-def difference(a: list[str], b: list[str], most: float = MOST_SHARED) -> list[str]:
-    """Lines of `a` without those shared with `b`, or all if they are most of the text."""
-    shared = shared_lines(a, b)
-    size = sum(map(len, a))
-    if sum(len(a[i]) for i in shared) > most * size:
-        return a
-    return [line for i, line in enumerate(a) if i not in shared]
+def outline(host: str, path: str, blocks: list[tuple[str, int]]) -> tuple[bytes, list[int], list[int]]:
+    """What alignment needs of a page: its own key, and key and size of each line.
+
+    Keys are hashes, of 64 bits for lines. Lines that the markup rules out have no size.
+    """
+    kinds = main_kinds(blocks)
+    lines = [blake2b(line.encode(), digest_size=8).digest() for line, _ in blocks]
+    sizes = [len(line) if kind in kinds else 0 for line, kind in blocks]
+    page = blake2b(repr((host, path, sizes)).encode() + b"".join(lines), digest_size=16).digest()
+    return page, [int.from_bytes(x, "big", signed=True) for x in lines], sizes
+
+
+def compare(
+    keys: list[int], sizes: list[int], path: str, other: list[int], other_path: str
+) -> tuple[list[int], float, int]:
+    """Lines shared with another page, their share of the text, and how near its URL is."""
+    shared = sorted(shared_lines(keys, other))
+    share = sum(sizes[i] for i in shared) / max(1, sum(sizes))
+    return shared, share, len(commonprefix([path, other_path]))
+
+
+def template(sides: list[tuple[int, float, list[int]]], most: float) -> tuple[set[int], set[int]]:
+    """Places of a page's template lines, and of those that the pages on both sides hold.
+
+    `sides` has (nearness, share, shared lines) for the page before and the page
+    after, or one of them. The template is what the nearest one shares, or what
+    both do if that would be most of the page.
+    """
+    sides = sorted(sides, key=lambda s: -s[0])
+    both = set(sides[0][2]) & set(sides[1][2]) if len(sides) == 2 else set()
+    return (set(sides[0][2]) if sides and sides[0][1] <= most else both), both
+
 
+ORDER = ["host", "path", "page"]
+_ALIGNED = "cut array<int>, share double, near int"
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """(row, partner) by URL path within each host.
 
-    `pages` has row, host and path. The partner is the page before in the order
-    of path and row, or else the one after. Rows are sorted by range, so a host
-    with most pages is spread out; what lies beyond the edge of a range comes
-    from a table of one row per range.
+def neighbours(ordered: DataFrame) -> DataFrame:
+    """`ordered` with the pages before and after each in its host, or null.
+
+    `ordered` has host, path, page, keys and the number of the range of these
+    that a row is in, so a host with most pages is spread out. What lies beyond
+    the edge of a range comes from a table of one row per range.
     """
-    place = F.struct("host", "path", "row")
-    ranged = pages.where("host != ''").select("host", "path", "row").repartitionByRange(
-        "host", "path", "row"
+    place, value = F.struct(*ORDER), F.struct("host", "path", "page", "keys")
+    edges = ordered.groupBy("range").agg(
+        F.min_by(value, place).alias("first"), F.max_by(value, place).alias("last")
+    )
+    ranges = Window.orderBy(*[f"first.{c}" for c in ORDER])  # as many rows as ranges
+    edges = edges.select(
+        "range", F.lag("last").over(ranges).alias("beyond"), F.lead("first").over(ranges).alias("behind")
     )
-    ranged = written(ranged.withColumn("range", F.spark_partition_id()), "page-order")
-    edges = ranged.groupBy("range").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    edges = sorted(edges.collect(), key=lambda r: r["first"])  # as many rows as ranges
-    edges = [
-        (r["range"], edges[i - 1]["last"] if i else None, edges[i + 1]["first"] if i + 1 < len(edges) else None)
-        for i, r in enumerate(edges)
-    ]
-    kind = "struct<host: string, path: string, row: long>"
-    beyond = pages.sparkSession.createDataFrame(edges, f"range int, before {kind}, after {kind}")
-    window = Window.partitionBy("range").orderBy("host", "path", "row")
-    near = ranged.select(
+    window = Window.partitionBy("range").orderBy(*ORDER)
+    near = ordered.select(
+        "*", F.lag(value).over(window).alias("before"), F.lead(value).over(window).alias("after")
+    ).join(F.broadcast(edges), "range")
+    for side, edge in (("before", "beyond"), ("after", "behind")):
+        found = F.coalesce(side, edge)
+        near = near.withColumn(side, F.when(found["host"] == F.col("host"), found))
+    return near.drop("beyond", "behind")
+
+
+def beyond_copies(aligned: DataFrame, copy: float) -> DataFrame:
+    """(page, side, to) where the page beside one is a copy, sharing more than `copy`.
+
+    The page to take is the one beyond all copies that follow each other on that
+    side, up to the end of the host.
+    """
+    sides = ("before", "after")
+    is_copy = {s: F.coalesce(F.col(f"{s}.share"), F.lit(0.0)) > copy for s in sides}
+    # Where copies end: the page beside the last of them, null at the end of the host.
+    stop = {s: F.when(~is_copy[s], F.struct(f"{s}.to")) for s in sides}
+    pages = aligned.select(
         "range",
-        "host",
-        "row",
-        F.lag(place).over(window).alias("last"),
-        F.lead(place).over(window).alias("next"),
-    ).join(F.broadcast(beyond), "range")
-    last, next_ = F.coalesce("last", "before"), F.coalesce("next", "after")
-    partner = F.when(last["host"] == F.col("host"), last["row"]).otherwise(
-        F.when(next_["host"] == F.col("host"), next_["row"])
+        F.struct(*ORDER).alias("place"),
+        *[is_copy[s].alias(f"{s}_copy") for s in sides],
+        *[stop[s].alias(f"{s}_stop") for s in sides],
+    )
+    ends = {s: F.when(F.col(f"{s}_stop").isNotNull(), F.col("place")) for s in sides}
+    edges = pages.groupBy("range").agg(
+        F.min("place").alias("first"),
+        F.max_by("before_stop", ends["before"]).alias("before_stop"),
+        F.min_by("after_stop", ends["after"]).alias("after_stop"),
+    )
+
+    def nearest(side: str, by: Window, upto: int):
+        # A frame that reaches back; for the pages after, in the opposite order.
+        order = F.col("first" if upto else "place")
+        frame = by.orderBy(order if side == "before" else order.desc())
+        return F.last(f"{side}_stop", ignorenulls=True).over(
+            frame.rowsBetween(Window.unboundedPreceding, upto)
+        )
+
+    # As many rows as ranges.
+    edges = edges.select(
+        "range", *[nearest(s, Window.partitionBy(F.lit(0)), -1).alias(f"{s}_edge") for s in sides]
+    )
+    found = pages.select(
+        "range",
+        "place.page",
+        *[f"{s}_copy" for s in sides],
+        *[nearest(s, Window.partitionBy("range"), 0).alias(f"{s}_stop") for s in sides],
+    ).join(F.broadcast(edges), "range")
+    to = {s: F.coalesce(f"{s}_stop", f"{s}_edge")["to"].alias("to") for s in sides}
+    copies = [F.struct(F.lit(s).alias("side"), to[s], F.col(f"{s}_copy").alias("copy")) for s in sides]
+    return (
+        found.where("before_copy or after_copy")
+        .select("page", F.explode(F.array(*copies)).alias("found"))
+        .where("found.copy and found.to is not null")
+        .select("page", "found.side", "found.to")
+    )
+
+
+def differences(pages: DataFrame, copy: float = COPY_SHARED) -> DataFrame:
+    """(page, sides) of all different pages that have a neighbour.
+
+    `pages` has host, path and html; `page` is the key that `outline` gives, and
+    `sides` are the lines shared with the page before and with the page after
+    that are no copies.
+    """
+
+    def outlines(hosts, paths, texts) -> Iterable[tuple]:
+        for host, path, text in zip(hosts, paths, texts):
+            blocks = page_blocks(text)
+            if blocks:
+                yield host, path, *outline(host, path, blocks)
+
+    different = map_rows(
+        pages.where("host != ''"),
+        "host string, path string, page binary, keys array<long>, sizes array<int>",
+        ["host", "path", "html"],
+        outlines,
+    ).dropDuplicates(["page"])
+    ranged = different.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id())
+    ordered = written(ranged, "page-order")
+
+    def beside(ranges, hosts, paths, wholes, lists, sizes, befores, afters) -> Iterable[tuple]:
+        for number, host, path, whole, keys, size, *sides in zip(
+            ranges, hosts, paths, wholes, lists, sizes, befores, afters
+        ):
+            yield number, host, path, whole, *[
+                side and (*compare(keys, size, path, side["keys"], side["path"]), side["page"])
+                for side in sides
+            ]
+
+    kind = f"struct<{_ALIGNED}, to binary>"
+    aligned = map_rows(
+        neighbours(ordered),
+        f"range int, host string, path string, page binary, before {kind}, after {kind}",
+        ["range", *ORDER, "keys", "sizes", "before", "after"],
+        beside,
+    )
+    aligned = written(aligned, "page-aligned")
+
+    other = ordered.select(
+        F.col("page").alias("to"), F.col("path").alias("other_path"), F.col("keys").alias("other_keys")
+    )
+    pairs = beyond_copies(aligned, copy).join(ordered.select("page", "path", "keys", "sizes"), "page")
+
+    def beyond(wholes, paths, sides, lists, sizes, other_paths, others) -> Iterable[tuple]:
+        for whole, path, side, keys, size, other_path, found in zip(
+            wholes, paths, sides, lists, sizes, other_paths, others
+        ):
+            yield whole, side, *compare(keys, size, path, found, other_path)
+
+    sides = map_rows(
+        pairs.join(other, "to"),
+        f"page binary, side string, {_ALIGNED}",
+        ["page", "path", "side", "keys", "sizes", "other_path", "other_keys"],
+        beyond,
+    )
+    for side in ("before", "after"):
+        near = aligned.where(F.col(side).isNotNull())
+        sides = sides.unionAll(
+            near.select("page", F.lit(side), *[f"{side}.{c}" for c in ("cut", "share", "near")])
+        )
+    # Of equally near pages the one before comes first.
+    side = F.struct((F.col("side") == "after").alias("later"), "near", "share", "cut")
+    return (
+        sides.where(F.col("share") <= copy)
+        .groupBy("page")
+        .agg(F.array_sort(F.collect_list(side)).alias("sides"))
     )
-    return near.select("row", partner.alias("partner")).where("partner is not null")
 
 
 def main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    most: float = MOST_SHARED,
+    copy: float = COPY_SHARED,
 ) -> DataFrame:
-    """(page_id, url, text) for every row of `pages`.
+    """(page_id, url, text, n_cut) for every row of `pages`.
 
-    Null, empty and textless pages give an empty text. Pages without a host are
-    not paired, nor are hosts with one page. Repeated rows are pages of their own.
+    `n_cut` counts the lines, menus and all, that differencing deleted. Null,
+    empty and textless pages give an empty text. Pages without a host are not
+    paired, nor are hosts with one page. Equal pages at one path of a host are
+    one page, and each row gets its text.
     """
     base = pages.select(
         col(id_col).alias("page_id"),
@@ -340,44 +575,33 @@ def main_text(
     )
     id_type = base.schema["page_id"].dataType.simpleString()
 
-    def marked(ids, urls, texts) -> Iterable[tuple]:
-        for page, url, text in zip(ids, urls, texts):
-            lines, known = page_lines(text)
-            if known or not lines:
-                yield page, url, "\n".join(lines)
-
-    def loose(ids, urls, hosts, paths, texts) -> Iterable[tuple]:
+    def parsed(ids, urls, hosts, paths, texts) -> Iterable[tuple]:
         for page, url, host, path, text in zip(ids, urls, hosts, paths, texts):
-            lines, known = page_lines(text)
-            if lines and not known:
-                yield page, url, host, path, lines
+            blocks = page_blocks(text)
+            kinds = main_kinds(blocks)
+            left = [(i, line, kind) for i, (line, kind) in enumerate(blocks) if kind in kinds]
+            at, lines, marks = zip(*left, strict=True) if left else ((), (), ())
+            yield page, url, outline(host, path, blocks)[0], at, "\n".join(lines), marks
 
-    whole = map_rows(
-        base, f"page_id {id_type}, url string, text string", ["page_id", "url", "html"], marked
-    )
-    rest = map_rows(
+    checked = map_rows(
         base,
-        f"page_id {id_type}, url string, host string, path string, lines array<string>",
+        f"page_id {id_type}, url string, page binary, at array<int>, lines string, marks array<byte>",
         ["page_id", "url", "host", "path", "html"],
-        loose,
-    )
-    rest = written(rest.withColumn("row", F.monotonically_increasing_id()), "loose-pages")
-    pairs = written(neighbours(rest), "page-pairs")
-    other = rest.select(F.col("row").alias("partner"), F.col("lines").alias("other"))
-    paired = (
-        rest.join(pairs, "row", "left")
-        .join(other, "partner", "left")
-        .select("page_id", "url", "lines", "other")
-    )
-
-    def differ(ids, urls, lists, others) -> Iterable[tuple]:
-        for page, url, lines, other in zip(ids, urls, lists, others):
-            yield page, url, "\n".join(difference(lines, other) if other else lines)
-
-    cut = map_rows(
-        paired,
-        f"page_id {id_type}, url string, text string",
-        ["page_id", "url", "lines", "other"],
+        parsed,
+    ).join(differences(base, copy), "page", "left")
+
+    def differ(ids, urls, places, texts, kinds, found) -> Iterable[tuple]:
+        for page, url, at, lines, marks, sides in zip(ids, urls, places, texts, kinds, found):
+            shared, both = template([(s["near"], s["share"], s["cut"]) for s in sides or ()], most)
+            gone = {LOOSE: shared, BARE: both, PROSE: ()}
+            keep = [i not in gone[mark] for i, mark in zip(at, marks)]
+            back = sum(kept and i in shared for i, kept in zip(at, keep))
+            text = "\n".join(x for x, kept in zip(lines.split("\n"), keep) if kept)
+            yield page, url, text, len(shared) - back
+
+    return map_rows(
+        checked,
+        f"page_id {id_type}, url string, text string, n_cut int",
+        ["page_id", "url", "at", "lines", "marks", "sides"],
         differ,
     )
-    return whole.unionAll(cut)

@@ -143,7 +143,7 @@ ORACLES["op9_mixing"] = mixing.SQL
 @query
 def op10_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = page_diff.main_text(table(spark, sf_dir, "pages"))
-    return text.withColumn("n_chars", F.length("text").cast("long"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 @query
