@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import LOWER, col, free_name, map_rows, plus
+from tallywatch.llm.common import LOWER, PART_ROWS, col, free_name, map_rows, parts, plus
 
 MIN_WORDS = 4
 MAX_WORDS = 64
@@ -158,7 +158,8 @@ def owned_elsewhere(docs: DataFrame) -> DataFrame:
                     yield digest, doc, key
 
     names = ["doc_id", "key", "text"]
-    held = written(map_rows(docs, "digest long, doc_id long, key long", names, rows), "chunks")
+    kind = "digest long, doc_id long, key long"
+    held = written(map_rows(docs, kind, names, rows, part_rows=PART_ROWS), "chunks")
     shared = (
         held.groupBy("digest")
         .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
@@ -211,7 +212,7 @@ def _remover(schema, place: int, n: int, min_run: int):
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             new, said = [], []
             for raw, found in zip(texts, batch.column(n).to_pylist(), strict=True):

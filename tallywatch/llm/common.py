@@ -16,6 +16,8 @@ LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 # Java and Spark regular expression of one word; bytes.split() cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+# Rows of a batch that a task turns into Python objects at a time.
+PART_ROWS = 256
 
 
 def lower_words(raw: bytes | None) -> list[bytes]:
@@ -43,24 +45,37 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows.
+
+    A task then holds Python's copies of a slice and not of a batch, and what it
+    sends back is no larger either. An empty batch is one slice.
+    """
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(
     df: DataFrame,
     schema: str,
     names: Sequence[str],
     function: Callable[..., Iterable[tuple]],
     setup: Callable[[], object] | None = None,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Map each Arrow batch of `df` to rows of `schema`.
 
     `function` gets one Python list per column of `names` (and what `setup`
-    returned, once per task) and yields output rows.
+    returned, once per task) and yields output rows. With `part_rows` it gets the
+    batch in slices of so many rows, for functions that yield many rows for one.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
     names = list(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
+        for batch in parts(batches, part_rows) if part_rows else batches:
             lists = [batch.column(n).to_pylist() for n in names]
             rows = list(function(state, *lists) if setup else function(*lists))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in out]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import col, free_name, map_rows, plus
+from tallywatch.llm.common import col, free_name, map_rows, parts, plus
 
 WINDOW = 13
 MIN_HIT_SHARE = 0.05
@@ -195,7 +195,7 @@ def _judged(df, items, columns, hits: str, name: str, text_col: str, window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items.value, window)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(columns.index(text_col)).cast(pa.binary()).to_pylist()
             before = batch.column(len(columns)).to_pylist()
             rows = []

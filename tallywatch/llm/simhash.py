@@ -34,6 +34,7 @@ from tallywatch.llm.common import (
     id_and_text,
     lower_words,
     map_rows,
+    parts,
     plus,
 )
 
@@ -72,7 +73,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finge
     schema = plus(docs.select(*[col(c) for c in rest]).schema, name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
             prints = pa.array([fingerprint(t) for t in texts], type=pa.int64())
             columns = [*batch.columns, prints]

@@ -9,12 +9,13 @@ the model is a short list of places and weights.
 The fit uses a bounded sample of labelled rows: `MAX_SAMPLE` rows in the order
 of a hash of their id. Features are made where the texts are; one task then
 passes over the sample's feature lists in that order, which makes the fit
-repeatable. Features of fewer than `MIN_DOCS` sampled texts are left out.
+repeatable. Features of fewer than `MIN_DOCS` sampled texts are left out. Lists
+travel and stay packed, at two bytes a place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.functions.scale import written
-from tallywatch.llm.common import col, free_name, plus
+from tallywatch.llm.common import col, free_name, parts, plus
 from tallywatch.llm.decontaminate import normal_words
 
 BITS = 20
@@ -77,12 +78,40 @@ class Features:
         return self.hashes[ids]
 
 
+_UPPER = np.arange(1 << (BITS - 16), dtype=np.int32) << 16
+
+
+def pack(places: np.ndarray) -> bytes:
+    """Ascending places, without repeats: how many have each upper part, then the lower 16 bits."""
+    counts = np.bincount(places >> 16, minlength=len(_UPPER)).astype("<u4")
+    return counts.tobytes() + (places & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpack(raw: bytes | pa.Buffer) -> np.ndarray:
+    """The places of a packed list."""
+    counts = np.frombuffer(raw, dtype="<u4", count=len(_UPPER))
+    return np.repeat(_UPPER, counts) + np.frombuffer(raw, dtype="<u2", offset=counts.nbytes)
+
+
+class PackedLists:
+    """Packed lists, each unpacked when its turn comes."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(unpack, self.packed)
+
+
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
 
-def ftrl(features: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights, the last of them the bias, after `epochs` passes in the given order."""
+def ftrl(features: Iterable[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights, the last of them the bias, after `epochs` passes in the given order.
+
+    `features` is iterated once an epoch.
+    """
     z = np.zeros((1 << BITS) + 1)
     n = np.zeros((1 << BITS) + 1)
 
@@ -155,41 +184,46 @@ def fit(
         .agg(F.min("text").alias("text"))
     )
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Features()
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            lists = [np.unique(find.of(t)).astype(np.int32).tobytes() for t in texts]
-            columns = [batch.column(i) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lists, type=pa.binary())], names=["doc_id", "y", "at", "places"]
-            )
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One list at a time: a batch's copies and sums would be several times its size.
-        rows, docs_with = [], np.zeros(1 << BITS, dtype=np.int64)
-        for batch in batches:
-            ids, ys, ats = (batch.column(i).to_pylist() for i in range(3))
-            for at, doc, y, raw in zip(ats, ids, ys, batch.column(3), strict=True):
-                places = np.frombuffer(raw.as_buffer(), dtype=np.int32)
-                docs_with[places] += 1  # a list holds a place once
-                rows.append((at, doc, y, places))
-        found = []
-        while rows:
-            *key, places = rows.pop()
-            found.append((*key, places[docs_with[places] >= MIN_DOCS]))
-        found.sort(key=lambda r: r[:2])
-        w = ftrl([r[3] for r in found], np.array([r[2] for r in found], dtype=float))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["place", "weight"])
-
-    lists = rows.mapInArrow(features, "doc_id long, y int, at long, places binary")
-    weights = lists.repartition(1).mapInArrow(train, "place long, weight double").toPandas()
+    lists = rows.mapInArrow(_packed_features, "doc_id long, y int, at long, places binary")
+    weights = lists.repartition(1).mapInArrow(_train, "place long, weight double").toPandas()
     places, values = weights["place"].to_numpy(dtype=np.int64), weights["weight"].to_numpy(dtype=float)
     is_bias = places == 1 << BITS
     return Model(places[~is_bias], values[~is_bias], float(values[is_bias].sum()))
 
 
+def _packed_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    find = Features()
+    for batch in parts(batches):
+        lists = [pack(np.unique(find.of(t))) for t in batch.column(3).to_pylist()]
+        columns = [batch.column(i) for i in range(3)]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(lists, type=pa.binary())], names=["doc_id", "y", "at", "places"]
+        )
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.Buffer]]:
+    for batch in batches:
+        ids, ys, ats = (batch.column(i).to_pylist() for i in range(3))
+        for at, doc, y, raw in zip(ats, ids, ys, batch.column(3), strict=True):
+            yield at, doc, y, raw.as_buffer()
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Packed, and one list at a time: copies and sums of all would be several times their size.
+    rows, docs_with = list(_packed_rows(batches)), np.zeros(1 << BITS, dtype=np.int32)
+    for *_, packed in rows:
+        docs_with[unpack(packed)] += 1  # a list holds a place once
+    found = []
+    while rows:
+        *key, packed = rows.pop()
+        places = unpack(packed)
+        found.append((*key, pack(places[docs_with[places] >= MIN_DOCS])))
+    found.sort(key=lambda r: r[:2])
+    w = ftrl(PackedLists([r[3] for r in found]), np.array([r[2] for r in found], dtype=float))
+    at = np.flatnonzero(w)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["place", "weight"])
+
+
 def with_score(
     docs: DataFrame, model: Model, text_col: str = "text", name: str = "score"
 ) -> DataFrame:
@@ -206,7 +240,7 @@ def with_score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias, find = sent.value.table(), sent.value.bias, Features()
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             scores = pa.array([score(find.of(t), table, bias) for t in texts], type=pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*rest, name])
